@@ -17,14 +17,20 @@ def score_band(score: Column) -> Column:
 
 
 def human_size(n_bytes: Column) -> Column:
-    """Bytes with one decimal in the largest unit that keeps the value >= 1."""
+    """Bytes with one decimal in the largest unit that keeps the value >= 1.
+
+    ``bround`` first: ties go to the even digit, as in C and Python, while
+    ``format_string`` alone would round them up.
+    """
     size = n_bytes.cast("double")
-    text = F.format_string("%.1f TB", size / 1024.0**4)
-    for power in range(3, -1, -1):
-        text = F.when(
-            size < 1024.0 ** (power + 1),
-            F.format_string(f"%.1f {_UNITS[power]}", size / 1024.0**power),
-        ).otherwise(text)
+
+    def shown(power: int) -> Column:
+        value = F.bround(size / 1024.0**power, 1)
+        return F.format_string(f"%.1f {_UNITS[power]}", value)
+
+    text = shown(len(_UNITS) - 1)
+    for power in range(len(_UNITS) - 2, -1, -1):
+        text = F.when(size < 1024.0 ** (power + 1), shown(power)).otherwise(text)
     return text
 
 
