@@ -1,8 +1,10 @@
 r"""Text normalisation as Column expressions.
 
-Everything here stays in the JVM and inside whole-stage codegen: the
-line-oriented rules are expressed as whole-text regular expressions instead of
-a split / transform / join over an array of lines.
+Everything here stays in the JVM. The line-oriented rules are expressed over the
+whole text instead of a split / transform / join over an array of lines, and
+byte-wise functions (``replace``, ``trim``, ``contains``) come first: a regular
+expression runs only over texts that need it, and starts with a test that fails
+fast on ordinary characters.
 """
 
 from __future__ import annotations
@@ -10,16 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Every character str.isspace() accepts, as a Java character class
-# body. Java's \s alone is ASCII-only.
+# Every character str.isspace() accepts, as the body of a Java
+# character class (whose own \s is ASCII-only) and as a plain string.
 SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-# The same without the line feed.
-_INLINE_SPACE = SPACE.replace(r"\s", r" \t\r\f\x0B")
+_SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+# What is left of them inside a line after NFKC, apart from the plain blank.
+_RARE = r"\x1c-\x1f\x85\u1680\u2028\u2029"
 
 
 def strip(c: Column) -> Column:
-    """Unicode-aware strip of both ends (``trim`` only knows U+0020)."""
-    return F.regexp_replace(c, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    """Unicode-aware strip of both ends (plain ``trim`` only knows U+0020)."""
+    return F.trim(c, F.lit(_SPACES))
 
 
 def nfkc(c: Column) -> Column:
@@ -34,42 +37,76 @@ def nfkc(c: Column) -> Column:
     return F.when(c.isNotNull(), composed)
 
 
+def _replace(c: Column, old: str, new: str) -> Column:
+    return F.replace(c, F.lit(old), F.lit(new))
+
+
 def unify_newlines(c: Column) -> Column:
-    return F.regexp_replace(c, r"\r\n?", "\n")
+    return _replace(_replace(c, "\r\n", "\n"), "\r", "\n")
+
+
+def _contains_any(c: Column, *texts: str) -> Column:
+    found = c.contains(texts[0])
+    for text in texts[1:]:
+        found = found | c.contains(text)
+    return found
 
 
-def normalize_spacing(c: Column) -> Column:
-    r"""All of normalisation after NFKC.
+def normalization_steps() -> list:
+    r"""Normalisation after NFKC, one function of Column per step.
 
     1. CRLF / CR become LF.
-    2. Runs of blank characters become one space; every line is stripped.
-    3. Lines of two or more ``- | : =`` characters and spaces are removed with
+    2. Runs of blank characters become one space.
+    3. Every line is stripped.
+    4. Lines of two or more ``- | : =`` characters and spaces are removed with
        their line feed, so the blank lines around them still merge.
-    4. Three or more line feeds become two; the whole text is stripped.
+    5. Three or more line feeds become two; the whole text is stripped.
     """
-    unified = unify_newlines(c)
-    single = F.regexp_replace(unified, r"[ \t\f\x0B]+", " ")
-    stripped = strip(
-        F.regexp_replace(single, rf"[{_INLINE_SPACE}]*\n[{_INLINE_SPACE}]*", "\n")
-    )
-    no_rules = F.regexp_replace(
-        stripped, rf"(?<=\A|\n)[-|:=][-|:={_INLINE_SPACE}]+(?:\n|\z)", ""
-    )
-    return strip(F.regexp_replace(no_rules, r"\n{3,}", "\n\n"))
+
+    def single_blanks(c: Column) -> Column:
+        squeezed = F.regexp_replace(c, r"[\t\f\x0B][ \t\f\x0B]*| [ \t\f\x0B]+", " ")
+        return F.when(_contains_any(c, "  ", "\t", "\f", "\x0b"), squeezed).otherwise(c)
+
+    def stripped_lines(c: Column) -> Column:
+        edges = F.regexp_replace(c, rf"[ {_RARE}]+\n[ {_RARE}]*|\n[ {_RARE}]+", "\n")
+        plain = _replace(_replace(c, " \n", "\n"), "\n ", "\n")
+        return strip(F.when(c.rlike(f"[{_RARE}]"), edges).otherwise(plain))
+
+    def no_rules(c: Column) -> Column:
+        start = r"[-|:=](?<=\A[-|:=]|\n[-|:=])"
+        return F.regexp_replace(c, rf"{start}[-|:= {_RARE}]+(?:\n|\z)", "")
+
+    def short_gaps(c: Column) -> Column:
+        closed = F.regexp_replace(c, r"\n\n\n+", "\n\n")
+        return strip(F.when(c.contains("\n\n\n"), closed).otherwise(c))
+
+    return [unify_newlines, single_blanks, stripped_lines, no_rules, short_gaps]
+
+
+def _through(c: Column, steps: list) -> Column:
+    """Apply the steps in turn, each to the value (not the expression) before.
+
+    ``transform`` over a one-element array binds each intermediate text to a
+    lambda variable, so a step that reads its input twice computes it once.
+    """
+    value = F.array(c)
+    for step in steps:
+        value = F.transform(value, step)
+    return F.get(value, F.lit(0))
 
 
 def normalize_text(c: Column) -> Column:
-    return normalize_spacing(nfkc(c))
+    return _through(nfkc(c), normalization_steps())
 
 
 def sentence_spacing(c: Column) -> Column:
     """Turn each single line feed into a full stop and a paragraph break."""
-    return F.regexp_replace(c, r"(?<!\n)\n(?!\n)", ".\n\n")
+    return F.regexp_replace(c, r"\n(?<!\n\n)(?!\n)", ".\n\n")
 
 
 def final_text(c: Column) -> Column:
     """The text that is hashed, counted and chunked."""
-    return sentence_spacing(normalize_text(c))
+    return _through(nfkc(c), normalization_steps() + [sentence_spacing])
 
 
 def split_sections(c: Column) -> Column:

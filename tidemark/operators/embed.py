@@ -7,12 +7,14 @@ never fails the job (``failed_documents`` finds the documents to leave out).
 
 from __future__ import annotations
 
+import hashlib
 import logging
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import unit_rows
@@ -29,41 +31,40 @@ def _to_arrow(matrix: np.ndarray) -> pa.Array:
 class HashingEmbedder:
     """Signed feature hashing of words (Weinberger et al., 2009).
 
-    Tokens and hashes are built-in expressions; only small integers reach
-    Python, where a whole batch is scattered into its matrix at once.
+    Works on whole Arrow batches: words are cut and dictionary-encoded by Arrow,
+    each distinct word of a batch is hashed once, and the batch is scattered
+    into its matrix at once.
     """
 
     def __init__(self, vector_size: int = 256):
         self.vector_size = vector_size
 
-    @staticmethod
-    def token_hashes(text: Column) -> Column:
-        words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
-        return F.transform(
-            words, lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("int")
-        )
-
     def embed(self, df: DataFrame, text: str) -> DataFrame:
         size = self.vector_size
 
         @F.arrow_udf("array<float>")
-        def scatter(hashes: pa.Array) -> pa.Array:
-            rows = len(hashes)
-            lengths = hashes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            flat = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        def hashed(texts: pa.Array) -> pa.Array:
+            filled = pc.utf8_lower(texts.fill_null(""))
+            words = pc.split_pattern_regex(filled, pattern=r"[^\p{L}\p{N}]+")
+            rows = np.repeat(np.arange(len(texts)), words.value_lengths().to_numpy())
+            encoded = words.flatten().dictionary_encode()
+            vocabulary = encoded.dictionary.to_pylist()
+            hashes = np.array([_word_hash(w) for w in vocabulary], dtype=np.int64)
+            sign = np.where(hashes & 1, 1.0, -1.0)
+            # Cutting leaves an empty word at either end of a text.
+            sign[[i for i, w in enumerate(vocabulary) if not w]] = 0.0
+            word = encoded.indices.to_numpy()
             # The lowest bit is the sign, the rest picks the dimension.
-            slot = np.repeat(np.arange(rows) * size, lengths) + (flat >> 1) % size
-            sign = np.where(flat & 1, 1.0, -1.0)
-            sums = np.bincount(slot, weights=sign, minlength=rows * size).reshape(rows, size)
-            return _to_arrow(unit_rows(sums))
-
-        # Reading the hashes twice keeps their lambdas out of the UDF's arguments.
-        hashes = F.col("_hashes")
-        return (
-            df.withColumn("_hashes", self.token_hashes(F.col(text)))
-            .withColumn("embedding", F.when(hashes.isNotNull(), scatter(hashes)))
-            .drop("_hashes")
-        )
+            slot = rows * size + ((hashes >> 1) % size)[word]
+            sums = np.bincount(slot, weights=sign[word], minlength=len(texts) * size)
+            return _to_arrow(unit_rows(sums.reshape(len(texts), size)))
+
+        return df.withColumn("embedding", hashed(F.col(text)))
+
+
+def _word_hash(word: str) -> int:
+    """28 bits of MD5: the same on every machine and in any SQL engine."""
+    return int(hashlib.md5(word.encode()).hexdigest()[:7], 16)
 
 
 class ModelEmbedder:

@@ -163,7 +163,7 @@ def linearize_md_tables(spark, folder):
         F.col("doc_id").cast("string"), F.lit(" | `"), "lang", F.lit("` | "), "source",
         F.lit(" | extra |\n| x | y |\n\n"), "text",
     )
-    docs = table(spark, folder, "documents")
+    docs = files.spread(table(spark, folder, "documents"))
     return docs.select("doc_id", X.linearize_markdown_tables(markup).alias("text"))
 
 
@@ -186,7 +186,7 @@ def linearize_html_tables(spark, folder):
 
 
 def _documents_with(spark, folder, **columns: Column) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = files.spread(table(spark, folder, "documents"))
     return docs.select("doc_id", *[c.alias(name) for name, c in columns.items()])
 
 
@@ -216,7 +216,7 @@ def strip_md_inline(spark, folder):
 
 @query
 def split_sections(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = files.spread(table(spark, folder, "documents"))
     headed = F.concat("source", F.lit("\n### "), F.replace("text", F.lit("\n"), F.lit("\n# ")))
     return docs.select("doc_id", F.posexplode(X.split_sections(headed)).alias("pos", "section"))
 
@@ -434,11 +434,11 @@ def dimension_guard(spark, folder):
 
 @query
 def text_search(spark, folder):
-    """Each benchmark text as a search over all chunks, best five each."""
+    """Each benchmark text as a search over all documents, best five each."""
     embedder = E.HashingEmbedder(HASH_SIZE)
     items = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     queries = embedder.embed(items, "text").select("query_id", "embedding")
-    docs = table(spark, folder, "documents")
+    docs = files.spread(table(spark, folder, "documents"))
     source = docs.select(F.col("doc_id").alias("vec_id"), X.final_text(F.col("text")).alias("text"))
     points = embedder.embed(source, "text").select("vec_id", "embedding")
     best = Q.top_k_many(points, queries)
