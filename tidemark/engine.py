@@ -15,7 +15,7 @@ from tidemark.operators import extract as X
 from tidemark.operators import search as Q
 from tidemark.operators import upsert as U
 from tidemark.operators.tables import IndexTables
-from tidemark.session import stage
+from tidemark.session import Staging, file_system, work_dir
 from tidemark.sources import files
 from tidemark.sources.pdf import PdfReader
 
@@ -56,7 +56,7 @@ class Engine:
         paths = [files.resolve_path(p) for p in inputs]
         documents = self.ingest_frame(files.scan_files(self.spark, paths))
         order = self.spark.createDataFrame(list(enumerate(paths)), "ordinal long, source_path string")
-        report = order.join(documents.drop("text"), "source_path").orderBy("ordinal")
+        report = order.join(documents, "source_path").orderBy("ordinal")
         log.info("ingest_complete", extra={"event": "ingest_complete"})
         return report.select("document_id", "source_path", "source_kind", "metadata")
 
@@ -64,29 +64,34 @@ class Engine:
         """Ingest ``source_path, source_kind, content, byte_size`` rows.
 
         Extraction and embedding each run once, into the shared folder; the
-        writes that follow read the columns they need from there.
+        writes that follow read the columns they need from there. Returns one
+        metadata row per source row.
         """
-        extracted = stage(X.extract(source, self.pdf_reader), "extracted")
-        now = U.utc_now()
-        # The same path and content twice is one document.
-        unique = extracted.dropDuplicates(["document_id"])
-        self.tables.upsert_documents(
-            stage(U.document_rows(unique.drop("text"), now), "documents")
+        staging = Staging(
+            self.spark, work_dir(self.spark, f"{self.config.paths.data_dir}/work")
         )
+        extracted = staging.write(X.extract(source, self.pdf_reader), "extracted")
+        unique = U.unique_documents(extracted)
+        now = U.utc_now()
+        rows = staging.write(U.document_rows(unique.drop("text"), now), "documents")
+        self.tables.upsert_documents(rows)
         chunked = C.chunk_documents(unique.select("document_id", "source_path", "text"))
-        embedded = stage(self.embedder.embed(chunked, "chunk_text"), "embedded")
+        embedded = staging.write(self.embedder.embed(chunked, "chunk_text"), "embedded")
         failed = E.failed_documents(embedded)
-        kept = U.delete_by_document(embedded, failed)
-        for row in failed.limit(20).collect():
-            log.warning(
-                "embedding_failed for document %s, metadata saved",
-                row["document_id"],
-                extra={"event": "embedding_failed"},
-            )
-        self.tables.replace_chunks(
-            U.chunk_rows(kept, now), kept.select("document_id").distinct()
-        )
-        return extracted
+        complete = embedded
+        if not failed.isEmpty():
+            complete = U.delete_by_document(embedded, failed)
+            for row in failed.limit(20).collect():
+                log.warning(
+                    "embedding_failed for document %s, metadata saved",
+                    row["document_id"],
+                    extra={"event": "embedding_failed"},
+                )
+        chunk_rows = U.chunk_rows(complete, now)
+        self.tables.replace_chunks(chunk_rows, chunk_rows.select("document_id").distinct())
+        staging.discard("documents")
+        staging.discard("embedded")
+        return extracted.drop("text")
 
     # -- search -----------------------------------------------------------
 
@@ -118,14 +123,9 @@ class Engine:
         row = self.tables.find_document(document_id).first()
         return row.asDict(recursive=True) if row else None
 
-    def _file_system(self, path: str):
-        """Hadoop file system that serves ``path``: sizes and deletion are
-        name-node calls, not jobs."""
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
-
     def path_bytes(self, path: str) -> int:
-        fs, target = self._file_system(path)
+        """Size of a file or folder: one name-node call, not a job."""
+        fs, target = file_system(self.spark, path)
         return fs.getContentSummary(target).getLength() if fs.exists(target) else 0
 
     def storage_usage(self) -> dict:
@@ -145,7 +145,7 @@ class Engine:
         named = {"sqlite": p.metadata_path, "qdrant": p.vector_path}
         found = {}
         for name, path in named.items():
-            fs, target = self._file_system(path)
+            fs, target = file_system(self.spark, path)
             if fs.exists(target):
                 found[name] = path
         return found
@@ -154,7 +154,7 @@ class Engine:
         """Delete both stores; the names of those that existed."""
         deleted = []
         for name, path in self.stores().items():
-            fs, target = self._file_system(path)
+            fs, target = file_system(self.spark, path)
             fs.delete(target, True)
             deleted.append(name)
         return deleted

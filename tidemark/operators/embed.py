@@ -114,7 +114,7 @@ class ModelEmbedder:
         return df.withColumn("embedding", encode_all(F.col(text)))
 
 
-def _load_sentence_transformer(name: str, cache_dir: str, batch_size: int) -> EncodeTexts:
+def load_sentence_transformer(name: str, cache_dir: str, batch_size: int) -> EncodeTexts:
     try:
         from sentence_transformers import SentenceTransformer
     except ImportError:
@@ -130,7 +130,7 @@ def _load_sentence_transformer(name: str, cache_dir: str, batch_size: int) -> En
     )
 
 
-def _load_mlx(name: str, batch_size: int, max_tokens: int = 512) -> EncodeTexts:
+def load_mlx(name: str, batch_size: int, max_tokens: int = 512) -> EncodeTexts:
     try:
         from mlx_embeddings import load
     except ImportError:
@@ -153,13 +153,13 @@ def _hashing(config) -> HashingEmbedder:
 def _sentence_transformers(config) -> ModelEmbedder:
     name, cache, size = config.model.name, str(config.model.cache_dir), config.runtime.max_batch_size
     return ModelEmbedder(
-        lambda: _load_sentence_transformer(name, cache, size), config.model.vector_size, size
+        lambda: load_sentence_transformer(name, cache, size), config.model.vector_size, size
     )
 
 
 def _mlx(config) -> ModelEmbedder:
     name, size = config.model.name, config.runtime.max_batch_size
-    return ModelEmbedder(lambda: _load_mlx(name, size), config.model.vector_size, size)
+    return ModelEmbedder(lambda: load_mlx(name, size), config.model.vector_size, size)
 
 
 _BACKENDS: dict[str, Callable] = {

@@ -1,9 +1,10 @@
 """The stored index: Parquet tables partitioned by a prefix of the document hash.
 
-A change rewrites only the partitions it touches, through dynamic partition
-overwrite: tasks write to a staging folder and the job commit swaps partitions
-in, so a lost executor or a failed job leaves the table as it was. Identifiers
-are deterministic; running a change twice gives the same table.
+New documents are appended. A change to stored ones rewrites only the partitions
+that hold them, through dynamic partition overwrite: tasks write to a staging
+folder and the job commit swaps partitions in, so a lost executor or a failed
+task leaves the table as it was. Identifiers are deterministic; running a change
+again gives the same table.
 """
 
 from __future__ import annotations
@@ -135,65 +136,72 @@ class IndexTables:
         """Partitions the rows fall into: at most 16 ** hex_digits short strings."""
         return {r[0] for r in df.select(self._bucket().alias("b")).distinct().collect()}
 
-    def _rewrite(
-        self, table: str, ids: DataFrame, incoming: DataFrame | None, change, order: list[str]
-    ) -> None:
-        """Replace the partitions that ``ids`` fall into by ``change(current)``."""
+    def _write(self, rows: DataFrame, table: str, mode: str) -> None:
+        """Rebalancing splits an oversized bucket (one huge document) over
+        tasks; sorting keeps the min / max of the id narrow per row group."""
         path, schema = self._paths[table]
-        touched = self._buckets(ids)
-        if not touched:
+        order = [c for c in ("bucket", "document_id", "chunk_index") if c in rows.columns]
+        (
+            rows.select(*schema.fieldNames(), "bucket")
+            .hint("rebalance", "bucket")
+            .sortWithinPartitions(*order)
+            .write.mode(mode)
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("bucket")
+            .parquet(path)
+        )
+
+    def _change(self, table: str, ids: DataFrame, incoming: DataFrame | None, change) -> None:
+        """Apply ``change(current)``, which only concerns documents in ``ids``.
+
+        Partitions that hold none of those documents yet get their incoming
+        rows appended; only the others are rewritten.
+        """
+        named = self._buckets(ids)
+        if not named:
             return
-        current = self._read(table).where(F.col("bucket").isin(*touched)).drop("bucket")
-        after = change(current).select(*schema.fieldNames()).withColumn("bucket", self._bucket())
-        # A partition that loses its last row is absent from the new data, and
-        # dynamic overwrite would leave it alone. Only a partition that gets no
-        # incoming row can be one.
-        filled = self._buckets(incoming) if incoming is not None else set()
-        doubtful = touched - filled
-        if doubtful:
-            filled |= self._buckets(after.where(F.col("bucket").isin(*doubtful)))
-        if filled:
-            # Rebalancing splits an oversized bucket (one huge document) over tasks.
-            (
-                after.hint("rebalance", "bucket")
-                .sortWithinPartitions("bucket", *order)
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("bucket")
-                .parquet(path)
-            )
-        emptied = touched - filled
-        if emptied:
-            held = self._buckets(self._read(table).where(F.col("bucket").isin(*emptied)))
+        stored = self._read(table).where(F.col("bucket").isin(*named))
+        known = stored.select("document_id").join(ids.select("document_id"), "document_id", "left_semi")
+        held = self._buckets(known)
+        new = None if incoming is None else incoming.withColumn("bucket", self._bucket())
+        if held:
+            current = stored.where(F.col("bucket").isin(*held)).drop("bucket")
+            after = change(current).withColumn("bucket", self._bucket())
+            after = after.where(F.col("bucket").isin(*held))
+            # A partition that loses its last row is absent from the new data,
+            # and dynamic overwrite would leave it alone. Only one that gets no
+            # incoming row can be such.
+            filled = held & self._buckets(incoming) if incoming is not None else set()
+            if held - filled:
+                filled |= self._buckets(after.where(F.col("bucket").isin(*(held - filled))))
+            if filled:
+                self._write(after, table, "overwrite")
+            path, schema = self._paths[table]
             nothing = self.spark.createDataFrame([], schema)
-            for name in held:
+            for name in held - filled:
                 nothing.write.mode("overwrite").parquet(f"{path}/bucket={name}")
+        if new is not None and named - held:
+            self._write(new.where(F.col("bucket").isin(*(named - held))), table, "append")
 
     def upsert_documents(self, incoming: DataFrame) -> None:
-        self._rewrite(
-            "documents",
-            incoming,
-            incoming,
-            lambda current: U.upsert_documents(current, incoming),
-            ["document_id"],
+        self._change(
+            "documents", incoming, incoming, lambda current: U.upsert_documents(current, incoming)
         )
 
     def replace_chunks(self, incoming: DataFrame, document_ids: DataFrame) -> None:
         size = self.vector_size()
         checked = incoming if size is None else U.check_dimension(incoming, size)
-        self._rewrite(
+        self._change(
             "chunks",
             document_ids,
-            incoming,
+            checked,
             lambda current: U.replace_chunks(current, checked, document_ids),
-            ["document_id", "chunk_index"],
         )
 
-    def delete_documents_chunks(self, document_ids: DataFrame) -> None:
-        self._rewrite(
+    def delete_chunks(self, document_ids: DataFrame) -> None:
+        self._change(
             "chunks",
             document_ids,
             None,
             lambda current: U.delete_by_document(current, document_ids),
-            ["document_id", "chunk_index"],
         )

@@ -34,6 +34,21 @@ def document_rows(extracted: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def unique_documents(extracted: DataFrame) -> DataFrame:
+    """One row per ``document_id``: the same path and content is one document.
+
+    Repeats are found on the ids alone. Usually there are none, and then no
+    text is shuffled; otherwise only the repeated documents are.
+    """
+    counted = extracted.groupBy("document_id").agg(F.count("*").alias("n"))
+    repeated = counted.where(F.col("n") > 1).select("document_id")
+    if repeated.isEmpty():
+        return extracted
+    once = extracted.join(repeated, "document_id", "left_anti")
+    merged = extracted.join(repeated, "document_id", "left_semi").dropDuplicates(["document_id"])
+    return once.unionByName(merged)
+
+
 def upsert_documents(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Insert or overwrite by ``document_id``; the first ``created_at`` stays.
 

@@ -23,25 +23,40 @@ def get_spark(app_name: str = "tidemark", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+def work_dir(spark: SparkSession, default: str | None = None) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``, else ``default``.
 
-    Staged results go there so that a lost executor costs a re-read, not a
-    re-extraction. There is deliberately no machine-local default.
+    Intermediate results go there so that a lost executor costs a re-read, not
+    a re-extraction. Every executor must reach it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or default
     if not folder:
         raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach.")
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+class Staging:
+    """Results written once to the shared folder and read back.
 
     Columnar, so each later consumer reads only the columns it needs, and
     lineage is cut: an expensive step upstream never runs twice.
     """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        self.root = f"{folder}/staged/{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def discard(self, name: str) -> None:
+        fs, target = file_system(self.spark, f"{self.root}/{name}")
+        fs.delete(target, True)
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop file system that serves ``path``, and the path for it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target

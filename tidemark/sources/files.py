@@ -41,7 +41,7 @@ def resolve_path(path: str | Path) -> str:
     return str(resolved)
 
 
-def _plain_path(uri: Column) -> Column:
+def plain_path(uri: Column) -> Column:
     """``file:/a/b`` as ``/a/b``; any other scheme unchanged."""
     return F.regexp_replace(uri, r"\Afile:/+", "/")
 
@@ -88,7 +88,7 @@ def scan_files(spark: SparkSession, paths: Iterable[str | Path]) -> DataFrame:
 def scan_folder(spark: SparkSession, *patterns: str) -> DataFrame:
     """Binary scan of folders or glob patterns, listed and read by the cluster."""
     files = spark.read.format("binaryFile").load(list(patterns))
-    path = _plain_path(F.col("path"))
+    path = plain_path(F.col("path"))
     return files.select(
         path.alias("source_path"),
         P.source_kind(path).alias("source_kind"),
