@@ -30,6 +30,8 @@ def resolve_path(path: str | Path) -> str:
     if is_uri(text):
         if Path(text).suffix.lower() not in P.KIND_BY_SUFFIX:
             raise ValueError(P.unsupported_message(text))
+        if Path(text).name[0] in "._":
+            raise ValueError(f"Spark does not list files whose name starts with . or _: {text}")
         return text
     resolved = Path(text).expanduser().resolve()
     if not resolved.exists():
@@ -46,7 +48,7 @@ def plain_path(uri: Column) -> Column:
     return F.regexp_replace(uri, r"\Afile:/+", "/")
 
 
-def _read_hidden(batches: Iterable[pa.RecordBatch]):
+def _read_directly(batches: Iterable[pa.RecordBatch]):
     for batch in batches:
         names = batch.column("source_path").to_pylist()
         contents = [Path(n).read_bytes() for n in names]
@@ -64,25 +66,40 @@ def _glob_literal(path: str) -> str:
     return "".join("\\" + ch if ch in "\\{}[]*?" else ch for ch in path)
 
 
+def _skipped_by_listing(path: str) -> bool:
+    """The binary source passes over empty files and names like ``.x`` or ``_x``."""
+    return Path(path).name[0] in "._" or Path(path).stat().st_size == 0
+
+
 def scan_files(spark: SparkSession, paths: Iterable[str | Path]) -> DataFrame:
     """Binary scan of the given files, each once."""
     resolved = list(dict.fromkeys(resolve_path(p) for p in paths))
-    # The binary source skips names starting with '.' or '_'; the reference set
-    # of accepted files does not, so those are read by the tasks themselves.
-    hidden = [p for p in resolved if not is_uri(p) and Path(p).name[0] in "._"]
-    listed = [p for p in resolved if p not in set(hidden)]
+    if not resolved:
+        raise ValueError("No input files.")
+    uris = [p for p in resolved if is_uri(p)]
+    direct = [p for p in resolved if not is_uri(p) and _skipped_by_listing(p)]
+    rest = set(resolved) - set(direct)
+    listed = [p for p in resolved if p in rest]
     scans = []
     if listed:
         scans.append(scan_folder(spark, *map(_glob_literal, listed)).drop("source_kind"))
-    if hidden:
-        names = spark.createDataFrame([(p,) for p in hidden], "source_path string")
+    if uris:
+        # A listed object that the scan does not return is empty: a missing one
+        # would have failed. Only paths are compared, no content is read.
+        names = spark.createDataFrame([(p,) for p in uris], "source_path string")
+        empty = names.join(scans[0].select("source_path"), "source_path", "left_anti")
         scans.append(
-            names.mapInArrow(_read_hidden, "source_path string, content binary, byte_size long")
+            empty.select("source_path", F.lit(b"").alias("content"), F.lit(0).cast("long").alias("byte_size"))
         )
-    if not scans:
-        raise ValueError("No input files.")
-    files = scans[0].unionByName(scans[1]) if len(scans) == 2 else scans[0]
-    return files.withColumn("source_kind", P.source_kind(F.col("source_path")))
+    if direct:
+        names = spark.createDataFrame([(p,) for p in direct], "source_path string")
+        scans.append(
+            names.mapInArrow(_read_directly, "source_path string, content binary, byte_size long")
+        )
+    found = scans[0]
+    for other in scans[1:]:
+        found = found.unionByName(other)
+    return found.withColumn("source_kind", P.source_kind(F.col("source_path")))
 
 
 def scan_folder(spark: SparkSession, *patterns: str) -> DataFrame:
