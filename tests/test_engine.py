@@ -2,6 +2,7 @@
 
 import io
 import json
+import uuid
 from pathlib import Path
 
 import numpy as np
@@ -120,7 +121,7 @@ def test_streaming_equals_batch(spark, work, config, tmp_path):
     for i in range(3):
         (folder / f"{i}.txt").write_text(f"document {i}")
     engine = Engine(spark, config)
-    ingest_stream(engine, read_folder(spark, str(folder)), tmp_path.name).awaitTermination()
+    ingest_stream(engine, read_folder(spark, str(folder)), uuid.uuid4().hex).awaitTermination()
     streamed = sorted((r.chunk_id, r.chunk_text) for r in engine.tables.chunks().collect())
     assert [t for _, t in sorted(streamed, key=lambda x: x[1])] == [f"document {i}" for i in range(3)]
     engine.ingest(sorted(folder.iterdir()))

@@ -74,6 +74,9 @@ class Engine:
         unique = U.unique_documents(extracted)
         now = U.utc_now()
         rows = staging.write(U.document_rows(unique.drop("text"), now), "documents")
+        # Only a document stored before can have chunks to replace; asked of the
+        # documents table first, so that new ones never cost a scan of the chunks.
+        known = staging.write(self.tables.stored_ids(rows), "known")
         self.tables.upsert_documents(rows)
         chunked = C.chunk_documents(unique.select("document_id", "source_path", "text"))
         embedded = staging.write(self.embedder.embed(chunked, "chunk_text"), "embedded")
@@ -88,9 +91,10 @@ class Engine:
                     extra={"event": "embedding_failed"},
                 )
         chunk_rows = U.chunk_rows(complete, now)
-        self.tables.replace_chunks(chunk_rows, chunk_rows.select("document_id").distinct())
-        staging.discard("documents")
-        staging.discard("embedded")
+        ids = chunk_rows.select("document_id").distinct()
+        self.tables.replace_chunks(chunk_rows, ids, known)
+        for name in ("documents", "known", "embedded"):
+            staging.discard(name)
         return extracted.drop("text")
 
     # -- search -----------------------------------------------------------

@@ -151,18 +151,24 @@ class IndexTables:
             .parquet(path)
         )
 
-    def _change(self, table: str, ids: DataFrame, incoming: DataFrame | None, change) -> None:
+    def stored_ids(self, ids: DataFrame, table: str = "documents") -> DataFrame:
+        """The rows of ``table`` with one of these document ids, ids only."""
+        stored = self._read(table).select("document_id")
+        return stored.join(ids.select("document_id"), "document_id", "left_semi")
+
+    def _change(
+        self, table: str, ids: DataFrame, incoming: DataFrame | None, change, known: DataFrame
+    ) -> None:
         """Apply ``change(current)``, which only concerns documents in ``ids``.
 
-        Partitions that hold none of those documents yet get their incoming
-        rows appended; only the others are rewritten.
+        Partitions that hold none of those documents yet (going by ``known``)
+        get their incoming rows appended; only the others are rewritten.
         """
         named = self._buckets(ids)
         if not named:
             return
-        stored = self._read(table).where(F.col("bucket").isin(*named))
-        known = stored.select("document_id").join(ids.select("document_id"), "document_id", "left_semi")
-        held = self._buckets(known)
+        held = self._buckets(known) & named
+        stored = self._read(table)
         new = None if incoming is None else incoming.withColumn("bucket", self._bucket())
         if held:
             current = stored.where(F.col("bucket").isin(*held)).drop("bucket")
@@ -171,7 +177,10 @@ class IndexTables:
             # A partition that loses its last row is absent from the new data,
             # and dynamic overwrite would leave it alone. Only one that gets no
             # incoming row can be such.
-            filled = held & self._buckets(incoming) if incoming is not None else set()
+            given = set()
+            if incoming is not None:
+                given = named if incoming is ids else self._buckets(incoming)
+            filled = held & given
             if held - filled:
                 filled |= self._buckets(after.where(F.col("bucket").isin(*(held - filled))))
             if filled:
@@ -185,10 +194,18 @@ class IndexTables:
 
     def upsert_documents(self, incoming: DataFrame) -> None:
         self._change(
-            "documents", incoming, incoming, lambda current: U.upsert_documents(current, incoming)
+            "documents",
+            incoming,
+            incoming,
+            lambda current: U.upsert_documents(current, incoming),
+            self.stored_ids(incoming),
         )
 
-    def replace_chunks(self, incoming: DataFrame, document_ids: DataFrame) -> None:
+    def replace_chunks(
+        self, incoming: DataFrame, document_ids: DataFrame, known: DataFrame | None = None
+    ) -> None:
+        """``known``: ids that may have chunks already; looked up among all
+        stored chunks if not given."""
         size = self.vector_size()
         checked = incoming if size is None else U.check_dimension(incoming, size)
         self._change(
@@ -196,6 +213,7 @@ class IndexTables:
             document_ids,
             checked,
             lambda current: U.replace_chunks(current, checked, document_ids),
+            self.stored_ids(document_ids, "chunks") if known is None else known,
         )
 
     def delete_chunks(self, document_ids: DataFrame) -> None:
@@ -204,4 +222,5 @@ class IndexTables:
             document_ids,
             None,
             lambda current: U.delete_by_document(current, document_ids),
+            self.stored_ids(document_ids, "chunks"),
         )

@@ -43,13 +43,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows take real work each: spread over all cores if small."""
+    return files.spread(table(spark, folder, name))
+
+
 def document_path() -> Column:
     return F.concat(F.lit("doc://"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
 
 
 def text_source(spark: SparkSession, folder: str) -> DataFrame:
     """The documents table as plain text files."""
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder, "documents")
     return files.from_table(docs, document_path(), F.lit("txt"), F.col("text"))
 
 
@@ -112,7 +117,7 @@ def scan_txt(spark, folder):
 @query
 def scan_md(spark, folder):
     """The documents read as Markdown: whole texts, whatever marks they hold."""
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder, "documents")
     source = files.from_table(docs, document_path(), F.lit("md"), F.col("text"))
     return XT.raw_text(source).select("source_path", "raw_text")
 
@@ -120,7 +125,7 @@ def scan_md(spark, folder):
 @query
 def markdown_document(spark, folder):
     """A Markdown document built around each row, with its table and whole text."""
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder, "documents")
     code = F.regexp_replace("text", r"(?m)^", "    ")
     markup = F.concat(
         F.lit("# Doc *"), "source", F.lit("*\n\n| id | lang |\n|----|------|\n| "),
@@ -134,7 +139,7 @@ def markdown_document(spark, folder):
 
 @query
 def html_extract(spark, folder):
-    pages = table(spark, folder, "pages")
+    pages = texts(spark, folder, "pages")
     path = F.concat(F.lit("page://"), F.col("page_id").cast("string"), F.lit(".html"))
     source = files.from_table(pages, path, F.lit("html"), F.col("html"))
     return XT.extract(source).select("source_path", "document_id", "text")
@@ -143,7 +148,7 @@ def html_extract(spark, folder):
 @query
 def mixed_sources(spark, folder):
     """Text, Markdown and HTML in one scan, told apart row by row."""
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder, "documents")
     kind = F.when(F.col("lang") == "en", F.lit("txt")).when(F.col("lang") == "fr", F.lit("md"))
     markup = F.when(F.col("lang") == "en", F.col("text")).when(
         F.col("lang") == "fr", F.concat(F.lit("# "), "source")
@@ -163,14 +168,14 @@ def linearize_md_tables(spark, folder):
         F.col("doc_id").cast("string"), F.lit(" | `"), "lang", F.lit("` | "), "source",
         F.lit(" | extra |\n| x | y |\n\n"), "text",
     )
-    docs = files.spread(table(spark, folder, "documents"))
+    docs = texts(spark, folder, "documents")
     return docs.select("doc_id", X.linearize_markdown_tables(markup).alias("text"))
 
 
 @query
 def linearize_html_tables(spark, folder):
     """Tables inside list items, where their text survives the projection."""
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder, "documents")
     cell = [F.col("doc_id").cast("string"), F.col("lang"), F.col("source")]
     markup = F.concat(
         F.lit("<ul><li><table><tr><th>Id</th><th>Lang</th><th>Src</th></tr><tr><td>"),
@@ -186,7 +191,7 @@ def linearize_html_tables(spark, folder):
 
 
 def _documents_with(spark, folder, **columns: Column) -> DataFrame:
-    docs = files.spread(table(spark, folder, "documents"))
+    docs = texts(spark, folder, "documents")
     return docs.select("doc_id", *[c.alias(name) for name, c in columns.items()])
 
 
@@ -216,7 +221,7 @@ def strip_md_inline(spark, folder):
 
 @query
 def split_sections(spark, folder):
-    docs = files.spread(table(spark, folder, "documents"))
+    docs = texts(spark, folder, "documents")
     headed = F.concat("source", F.lit("\n### "), F.replace("text", F.lit("\n"), F.lit("\n# ")))
     return docs.select("doc_id", F.posexplode(X.split_sections(headed)).alias("pos", "section"))
 
@@ -333,9 +338,9 @@ def index_status(spark, folder):
 def _second_batch(spark: SparkSession, folder: str) -> DataFrame:
     """The labelled documents again, now as Markdown, and every conversation turn."""
     labelled = table(spark, folder, "labels").select("doc_id")
-    docs = table(spark, folder, "documents").join(labelled, "doc_id", "left_semi")
+    docs = texts(spark, folder, "documents").join(labelled, "doc_id", "left_semi")
     again = files.from_table(docs, document_path(), F.lit("md"), F.col("text"))
-    turns = table(spark, folder, "conversations")
+    turns = texts(spark, folder, "conversations")
     path = F.concat_ws("/", F.lit("conv:/"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     new = files.from_table(turns, path, F.lit("txt"), F.col("text"))
     now = F.lit(SECOND_RUN).cast("timestamp")
@@ -356,7 +361,7 @@ def _labelled(spark: SparkSession, folder: str, toxic_only: bool = False) -> Dat
     labels = table(spark, folder, "labels")
     if toxic_only:
         labels = labels.where(F.col("toxic") == 1)
-    docs = table(spark, folder, "documents").join(labels.select("doc_id"), "doc_id", "left_semi")
+    docs = texts(spark, folder, "documents").join(labels.select("doc_id"), "doc_id", "left_semi")
     source = files.from_table(docs, document_path(), F.lit("txt"), F.col("text"))
     return XT.extract_plain(source)
 
@@ -438,7 +443,7 @@ def text_search(spark, folder):
     embedder = E.HashingEmbedder(HASH_SIZE)
     items = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     queries = embedder.embed(items, "text").select("query_id", "embedding")
-    docs = files.spread(table(spark, folder, "documents"))
+    docs = texts(spark, folder, "documents")
     source = docs.select(F.col("doc_id").alias("vec_id"), X.final_text(F.col("text")).alias("text"))
     points = embedder.embed(source, "text").select("vec_id", "embedding")
     best = Q.top_k_many(points, queries)

@@ -114,23 +114,23 @@ def scan_folder(spark: SparkSession, *patterns: str) -> DataFrame:
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(scan: DataFrame) -> DataFrame:
     """Use every core for a source too small to be split into enough tasks.
 
     A source with at least one partition per core, as any large one has, is
-    left as it is: no shuffle.
+    left as it is: no shuffle. Only for a plain scan; asking a plan with
+    shuffles for its partitions would run them.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
 def from_table(df: DataFrame, source_path: Column, source_kind: Column, text: Column) -> DataFrame:
     """Rows that already carry their text or markup in a string column."""
     content = text.cast("binary")
-    rows = df.select(
+    return df.select(
         source_path.alias("source_path"),
         source_kind.alias("source_kind"),
         content.alias("content"),
         F.octet_length(content).cast("long").alias("byte_size"),
     )
-    return spread(rows)
