@@ -7,22 +7,30 @@ only white space is the space and the line feed.
 
 from __future__ import annotations
 
-_NORMALIZED = r"""
-l AS (
-  SELECT doc_id, source, lang, text AS raw,
+def _final_text(source: str, carried: str, p: str = "") -> str:
+    """CTEs from ``source(carried..., text)`` to ``f(carried..., raw, t, text)``:
+    ``t`` is normalised, ``text`` has its sentence spacing too."""
+    return rf"""
+{p}l AS (
+  SELECT {carried}, text AS raw,
     list_filter(list_transform(
         string_split(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g'), chr(10)),
         lambda x: trim(regexp_replace(x, '[ \t\f\x0B]+', ' ', 'g'))),
       lambda x: NOT regexp_full_match(x, '[-|:=][-|:=\s]+')) AS a
-  FROM documents),
-n AS (
-  SELECT doc_id, source, lang, raw,
-    trim(regexp_replace(array_to_string(a, chr(10)), '\n{3,}', chr(10)||chr(10), 'g'), chr(10)||' ') AS t
-  FROM l),
-f AS (
-  SELECT doc_id, source, lang, raw,
+  FROM {source}),
+{p}n AS (
+  SELECT {carried}, raw,
+    trim(regexp_replace(array_to_string(a, chr(10)), '\n{{3,}}', chr(10)||chr(10), 'g'), chr(10)||' ') AS t
+  FROM {p}l),
+{p}f AS (
+  SELECT {carried}, raw, t,
     replace(replace(replace(t, chr(10)||chr(10), chr(1)), chr(10), '.'||chr(10)||chr(10)), chr(1), chr(10)||chr(10)) AS text
-  FROM n),
+  FROM {p}n)"""
+
+
+_NORMALIZED = (
+    _final_text("documents", "doc_id, source, lang")
+    + r""",
 d AS (
   SELECT doc_id, raw, text, 'doc://' || source || '/' || doc_id || '.txt' AS source_path,
     sha256(text) AS content_hash,
@@ -31,6 +39,47 @@ d AS (
     CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS line_count
   FROM f)
 """
+)
+
+# The pages as a stream of tags and texts with the stack of open elements. Holds
+# for their markup: no '>' inside an attribute, only these named references.
+_PAGES = (
+    r"""
+tok AS (
+  SELECT page_id, unnest(ts) AS t, unnest(range(len(ts))) AS i
+  FROM (SELECT page_id, regexp_extract_all(html,
+    '(?s)<!--.*?-->|<script>.*?</script>|<style>.*?</style>|<[^>]*>|[^<]+') AS ts FROM pages)),
+kinds AS (
+  SELECT page_id, i, t, lower(regexp_extract(t, '^</?([a-zA-Z0-9]+)', 1)) AS name,
+    CASE WHEN t LIKE '</%' THEN 'close'
+      WHEN regexp_matches(t, '^<(!|script>|style>|br|meta)') THEN 'skip'
+      WHEN t LIKE '<%' THEN 'open' ELSE 'text' END AS kind
+  FROM tok),
+walk AS (
+  SELECT page_id, -1::BIGINT AS i, []::STRUCT(name VARCHAR, pos BIGINT)[] AS stack FROM pages
+  UNION ALL
+  SELECT w.page_id, k.i, CASE k.kind
+      WHEN 'open' THEN list_append(w.stack, {'name': k.name, 'pos': k.i})
+      WHEN 'close' THEN w.stack[1:coalesce(
+        len(w.stack) - list_position(list_reverse(list_transform(w.stack, lambda x: x.name)), k.name),
+        len(w.stack))]
+      ELSE w.stack END
+  FROM walk w JOIN kinds k ON k.page_id = w.page_id AND k.i = w.i + 1),
+shown AS (
+  SELECT k.page_id, k.i, unnest(w.stack) AS e,
+    trim(replace(replace(replace(regexp_replace(t, '&amp;?', '&', 'g'), '&copy;', chr(169)), '&middot;', chr(183)),
+      '&quot;', '"'), ' ' || chr(10)) AS text
+  FROM kinds k JOIN walk w ON w.page_id = k.page_id AND w.i = k.i WHERE k.kind = 'text'),
+lines AS (
+  SELECT page_id, e.pos AS pos, e.name AS name, string_agg(text, '' ORDER BY i) AS line
+  FROM shown WHERE e.name IN ('h1', 'h2', 'h3', 'p', 'li') GROUP BY ALL),
+extracted AS (
+  SELECT page_id, coalesce(string_agg(
+    CASE name WHEN 'h1' THEN '# ' WHEN 'h2' THEN '## ' WHEN 'h3' THEN '### ' WHEN 'li' THEN '- ' ELSE '' END || line,
+    chr(10) ORDER BY pos) FILTER (line <> ''), '') AS text
+  FROM pages LEFT JOIN lines USING (page_id) GROUP BY page_id),"""
+    + _final_text("extracted", "page_id")
+)
 
 # Paragraph pieces keep the break before them. A run of short ones is one group;
 # a long one (or a text without breaks) is a group of words.
@@ -140,6 +189,10 @@ ORACLE: dict[str, str] = {
           '# Doc' || source || chr(10) || 'id: ' || doc_id || chr(10) || 'lang: ' || lang || chr(10)
           || '- first' || n_chars || chr(10) || '- second' || chr(10) || 'quoted' || chr(10)
           || '## Last' AS raw_text FROM documents""",
+    "html_extract": f"""
+        WITH RECURSIVE {_PAGES}
+        SELECT 'page://' || page_id || '.html' AS source_path,
+          sha256('page://' || page_id || '.html:' || sha256(text)) AS document_id, text FROM f""",
     "mixed_sources": _documents("""
         , k AS (SELECT doc_id, lang, source, source_path, content_hash, text,
             CASE lang WHEN 'en' THEN 'txt' WHEN 'fr' THEN 'md' ELSE 'html' END AS source_kind,
@@ -214,18 +267,11 @@ ORACLE: dict[str, str] = {
     "upsert_documents": f"""
         WITH {_NORMALIZED}, dl AS (SELECT * FROM d), turns AS (
           SELECT ('conv://' || conv_id || '/' || turn) AS source_path, text FROM conversations),
-        l2 AS (SELECT source_path, text AS raw, list_filter(list_transform(
-            string_split(regexp_replace(nfc_normalize(text), '\\r\\n?', chr(10), 'g'), chr(10)),
-            lambda x: trim(regexp_replace(x, '[ \\t\\f\\x0B]+', ' ', 'g'))),
-            lambda x: NOT regexp_full_match(x, '[-|:=][-|:=\\s]+')) AS a FROM turns),
-        n2 AS (SELECT source_path, raw, trim(regexp_replace(array_to_string(a, chr(10)), '\\n{{3,}}',
-            chr(10)||chr(10), 'g'), chr(10)||' ') AS t FROM l2),
-        f2 AS (SELECT source_path, raw, replace(replace(replace(t, chr(10)||chr(10), chr(1)), chr(10),
-            '.'||chr(10)||chr(10)), chr(1), chr(10)||chr(10)) AS text FROM n2),
+        {_final_text("turns", "source_path", "c_")},
         allrows AS (
           SELECT document_id, source_path, raw, text, doc_id, 'txt' AS kind, '2024-01-01' AS made FROM dl
           UNION ALL
-          SELECT sha256(source_path || ':' || sha256(text)), source_path, raw, text, NULL, 'txt', '2024-02-01' FROM f2)
+          SELECT sha256(source_path || ':' || sha256(text)), source_path, raw, text, NULL, 'txt', '2024-02-01' FROM c_f)
         SELECT document_id, source_path,
           CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'md' ELSE kind END AS source_kind,
           strlen(raw)::BIGINT AS byte_size, length(text)::BIGINT AS char_count,
