@@ -23,8 +23,12 @@ def oracle_rows(folder: str, sql: str):
     for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     cursor = con.execute(sql)
-    names = [c[0] for c in cursor.description]
-    return names, cursor.fetchall()
+    types = {c[0]: str(c[1]) for c in cursor.description}
+    return types, cursor.fetchall()
+
+
+# What DuckDB calls the Spark types used in the results.
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
 
 
 def same(spark, folder: str, name: str) -> tuple[bool, str]:
@@ -36,10 +40,12 @@ def same(spark, folder: str, name: str) -> tuple[bool, str]:
     if name not in entry.oracle_sql():
         return bool(rows), f"{len(rows)} rows (no SQL) {took:.1f}s"
     start = time.time()
-    names, expected = oracle_rows(folder, entry.oracle_sql()[name])
+    types, expected = oracle_rows(folder, entry.oracle_sql()[name])
+    names = list(types)
     sql_took = time.time() - start
-    if sorted(names) != sorted(df.columns):
-        return False, f"columns {df.columns} != {names}"
+    wanted = {c: SQL_TYPES[t] for c, t in df.dtypes}
+    if wanted != types:
+        return False, f"schema {wanted} != {types}"
     order_a = sorted(range(len(names)), key=lambda i: df.columns[i])
     order_b = sorted(range(len(names)), key=lambda i: names[i])
     a = sorted((tuple(r[i] for i in order_a) for r in rows), key=repr)

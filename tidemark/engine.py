@@ -84,7 +84,7 @@ class Engine:
         complete = embedded
         if not failed.isEmpty():
             complete = U.delete_by_document(embedded, failed)
-            for row in failed.limit(20).collect():
+            for row in failed.toLocalIterator():
                 log.warning(
                     "embedding_failed for document %s, metadata saved",
                     row["document_id"],

@@ -184,6 +184,10 @@ ORACLE: dict[str, str] = {
     "scan_txt": r"""
         SELECT 'doc://' || source || '/' || doc_id || '.txt' AS source_path,
           regexp_replace(text, '\r\n?', chr(10), 'g') AS raw_text FROM documents""",
+    # The documents hold no Markdown marks: each is one paragraph.
+    "scan_md": """
+        SELECT 'doc://' || source || '/' || doc_id || '.txt' AS source_path,
+          trim(text, ' ' || chr(10)) AS raw_text FROM documents""",
     "markdown_document": """
         SELECT 'doc://' || source || '/' || doc_id || '.txt' AS source_path,
           '# Doc' || source || chr(10) || 'id: ' || doc_id || chr(10) || 'lang: ' || lang || chr(10)

@@ -14,7 +14,6 @@ def get_spark(app_name: str = "tidemark", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.parquet.filterPushdown", "true")
     )
     if master:
         builder = builder.master(master)
