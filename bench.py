@@ -35,6 +35,7 @@ HEADLINE = (
     "replace_chunks",
     "delete_document",
     "index_status",
+    "stored_index",
 )
 
 

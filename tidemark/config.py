@@ -61,6 +61,8 @@ class Runtime:
     max_batch_size: int
     max_concurrency: int
     query_cache_size: int
+    # Digits of the document hash that name a partition of a new index.
+    partition_hex_digits: int
 
 
 @dataclass(frozen=True)
@@ -147,6 +149,10 @@ def parse_config(doc: dict[str, Any]) -> Config:
             max_batch_size=runtime.positive("max_batch_size", 64),
             max_concurrency=runtime.positive("max_concurrency", 4),
             query_cache_size=runtime.positive("query_cache_size", 2048),
+            # 16 partitions in a local folder, 4096 on a shared file system.
+            partition_hex_digits=runtime.positive(
+                "partition_hex_digits", 3 if is_uri(data_dir) else 1
+            ),
         ),
     )
 
@@ -173,6 +179,7 @@ def render_config(config: Config) -> str:
             "max_batch_size": r.max_batch_size,
             "max_concurrency": r.max_concurrency,
             "query_cache_size": r.query_cache_size,
+            "partition_hex_digits": r.partition_hex_digits,
         },
     }
 

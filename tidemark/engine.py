@@ -29,14 +29,16 @@ class Engine:
         config: Config,
         embedder=None,
         pdf_reader: PdfReader | None = None,
-        hex_digits: int = 2,
     ):
         self.spark = spark
         self.config = config
         self.embedder = embedder or E.create_embedder(config)
         self.pdf_reader = pdf_reader
         self.tables = IndexTables(
-            spark, config.paths.metadata_path, config.paths.vector_path, hex_digits=hex_digits
+            spark,
+            config.paths.metadata_path,
+            config.paths.vector_path,
+            hex_digits=config.runtime.partition_hex_digits,
         )
 
     def initialize(self) -> dict:

@@ -9,6 +9,9 @@ again gives the same table.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import cached_property
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +21,7 @@ from tidemark import schemas as S
 from tidemark.functions import identity as I
 from tidemark.operators import status as ST
 from tidemark.operators import upsert as U
+from tidemark.sources.files import glob_literal
 
 SCHEMA_VERSION = 1
 DEFAULT_COLLECTION = "document_chunks"
@@ -27,7 +31,7 @@ _BUCKET = T.StructField("bucket", T.StringType())
 class IndexTables:
     """``metadata_path`` holds documents and bookkeeping, ``vector_path`` the
     collections. ``hex_digits`` of the document hash name the partition: 2 give
-    256 partitions, 3 give 4096."""
+    256 partitions, 3 give 4096. An existing index keeps its own number."""
 
     def __init__(
         self,
@@ -39,8 +43,9 @@ class IndexTables:
     ):
         self.spark = spark
         self.collection = collection
-        self.hex_digits = hex_digits
+        self._new_hex_digits = hex_digits
         self._paths = {
+            "layout": (f"{metadata_path}/layout", S.LAYOUT),
             "documents": (f"{metadata_path}/documents", S.DOCUMENTS),
             "schema_migrations": (f"{metadata_path}/schema_migrations", S.SCHEMA_MIGRATIONS),
             "ingestion_jobs": (f"{metadata_path}/ingestion_jobs", S.INGESTION_JOBS),
@@ -50,25 +55,36 @@ class IndexTables:
 
     # -- reading ----------------------------------------------------------
 
-    def _stored(self, table: str) -> DataFrame | None:
+    def _stored(self, table: str, buckets: Iterable[str] | None = None) -> DataFrame | None:
         path, schema = self._paths[table]
+        reader = self.spark.read
         if table in ("documents", "chunks"):
             schema = T.StructType([*schema.fields, _BUCKET])
+            reader = reader.option("basePath", path)
+            if buckets is not None:
+                # Only these folders are listed.
+                names = ",".join(sorted(map(glob_literal, buckets)))
+                path = f"{path}/bucket={{{names}}}"
         try:
-            return self.spark.read.schema(schema).parquet(path)
+            return reader.schema(schema).parquet(path)
         except AnalysisException as exc:
             if exc.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
 
-    def _read(self, table: str) -> DataFrame:
-        stored = self._stored(table)
+    def _read(self, table: str, buckets: Iterable[str] | None = None) -> DataFrame:
+        stored = self._stored(table, buckets)
         if stored is not None:
             return stored
         schema = self._paths[table][1]
         empty = self.spark.createDataFrame([], schema)
         return empty.withColumn("bucket", F.lit("")) if table in ("documents", "chunks") else empty
 
+    @cached_property
+    def hex_digits(self) -> int:
+        row = self._read("layout").first()
+        return row["hex_digits"] if row else self._new_hex_digits
+
     def documents(self) -> DataFrame:
         return self._read("documents").drop("bucket")
 
@@ -86,9 +102,9 @@ class IndexTables:
 
     def find_document(self, document_id: str) -> DataFrame:
         """Point lookup: one partition, then row groups by min / max."""
-        stored = self._read("documents")
-        in_bucket = F.col("bucket") == document_id[: self.hex_digits]
-        return ST.find_document(stored.where(in_bucket), document_id).drop("bucket")
+        bucket = document_id[: self.hex_digits]
+        stored = self._read("documents", [bucket]).where(F.col("bucket") == bucket)
+        return ST.find_document(stored, document_id).drop("bucket")
 
     def status(self) -> DataFrame:
         return ST.index_status(
@@ -99,6 +115,10 @@ class IndexTables:
 
     def migrate(self) -> None:
         """Create what is missing; a second run changes nothing."""
+        if self._stored("layout") is None:
+            self.spark.createDataFrame([(self._new_hex_digits,)], S.LAYOUT).write.mode(
+                "ignore"
+            ).parquet(self._paths["layout"][0])
         if self._stored("schema_migrations") is None:
             row = self.spark.range(1).select(
                 F.lit(SCHEMA_VERSION).alias("version"), U.utc_now().alias("applied_at")
@@ -153,7 +173,7 @@ class IndexTables:
 
     def stored_ids(self, ids: DataFrame, table: str = "documents") -> DataFrame:
         """The rows of ``table`` with one of these document ids, ids only."""
-        stored = self._read(table).select("document_id")
+        stored = self._read(table, self._buckets(ids)).select("document_id")
         return stored.join(ids.select("document_id"), "document_id", "left_semi")
 
     def _change(
@@ -168,10 +188,9 @@ class IndexTables:
         if not named:
             return
         held = self._buckets(known) & named
-        stored = self._read(table)
         new = None if incoming is None else incoming.withColumn("bucket", self._bucket())
         if held:
-            current = stored.where(F.col("bucket").isin(*held)).drop("bucket")
+            current = self._read(table, held).drop("bucket")
             after = change(current).withColumn("bucket", self._bucket())
             after = after.where(F.col("bucket").isin(*held))
             # A partition that loses its last row is absent from the new data,

@@ -6,11 +6,14 @@ tables. Names and column names match ``oracle.py``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.config import parse_config
+from tidemark.engine import Engine
 from tidemark.functions import display as D
 from tidemark.functions import identity as I
 from tidemark.functions import paths as P
@@ -22,6 +25,7 @@ from tidemark.operators import extract as XT
 from tidemark.operators import search as Q
 from tidemark.operators import status as ST
 from tidemark.operators import upsert as U
+from tidemark.session import work_dir
 from tidemark.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -383,6 +387,28 @@ def delete_document(spark, folder):
     return U.delete_by_document(current, _labelled(spark, folder, toxic_only=True))
 
 
+@query
+def stored_index(spark, folder):
+    """The whole ingest on stored tables, in a fresh index in the shared folder:
+    all documents, the labelled ones again as Markdown, toxic ones without chunks."""
+    shared = work_dir(spark, spark.conf.get("spark.sql.warehouse.dir"))
+    config = parse_config({"paths": {"data_dir": f"{shared}/index-{uuid.uuid4().hex}"}})
+    engine = Engine(spark, config, E.HashingEmbedder(HASH_SIZE))
+    engine.initialize()
+    engine.ingest_frame(text_source(spark, folder))
+    docs = texts(spark, folder, "documents")
+    labels = table(spark, folder, "labels").select("doc_id")
+    labelled = docs.join(labels, "doc_id", "left_semi")
+    engine.ingest_frame(files.from_table(labelled, document_path(), F.lit("md"), F.col("text")))
+    engine.tables.delete_chunks(_labelled(spark, folder, toxic_only=True).select("document_id"))
+    counts = engine.tables.chunks().groupBy("document_id").agg(F.count("*").alias("n"))
+    return (
+        engine.tables.documents()
+        .join(counts, "document_id", "left")
+        .select("document_id", "source_kind", F.coalesce("n", F.lit(0)).alias("n_chunks"))
+    )
+
+
 # -- vectors ----------------------------------------------------------------------------------
 
 

@@ -291,6 +291,11 @@ ORACLE: dict[str, str] = {
     "delete_document": _chunks("""
         SELECT document_id, chunk_index, chunk_id FROM ch
         WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"""),
+    "stored_index": _chunks("""
+        , counts AS (SELECT document_id, count(*) AS n FROM ch
+          WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY document_id)
+        SELECT d.document_id, CASE WHEN d.doc_id IN (SELECT doc_id FROM labels) THEN 'md' ELSE 'txt' END AS source_kind,
+          coalesce(n, 0)::BIGINT AS n_chunks FROM d LEFT JOIN counts USING (document_id)"""),
     "semantic_search_topk": f"""
         SELECT e.vec_id, e.label, round({_COSINE}, 6) AS score FROM embeddings e CROSS JOIN {_FIRST}
         ORDER BY round({_COSINE}, 9) DESC, e.vec_id LIMIT 5""",

@@ -61,7 +61,7 @@ def _read_directly(batches: Iterable[pa.RecordBatch]):
         )
 
 
-def _glob_literal(path: str) -> str:
+def glob_literal(path: str) -> str:
     """Escape the characters Hadoop would expand in a path."""
     return "".join("\\" + ch if ch in "\\{}[]*?" else ch for ch in path)
 
@@ -82,7 +82,7 @@ def scan_files(spark: SparkSession, paths: Iterable[str | Path]) -> DataFrame:
     listed = [p for p in resolved if p in rest]
     scans = []
     if listed:
-        scans.append(scan_folder(spark, *map(_glob_literal, listed)).drop("source_kind"))
+        scans.append(scan_folder(spark, *map(glob_literal, listed)).drop("source_kind"))
     if uris:
         # A listed object that the scan does not return is empty: a missing one
         # would have failed. Only paths are compared, no content is read.
