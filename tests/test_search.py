@@ -71,6 +71,7 @@ def test_plan_is_scan_score_take_ordered(spark, vectors):
 def test_both_batch_strategies_match_brute_force(spark, vectors, monkeypatch, k):
     points, queries = vectors
     monkeypatch.setattr(Q, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(Q, "SCORE_CELLS", 400)
     p, q = frame(spark, points), frame(spark, queries, "query_id")
     expected = brute_force(points, np.asarray(queries, dtype=np.float32), k)
     assert_hits(Q.top_k_many(p, q, k), expected)

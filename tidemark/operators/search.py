@@ -25,6 +25,8 @@ RANK_DECIMALS = 9
 MAX_BROADCAST_BYTES = 32 << 20
 # Rows of one block of the block join.
 BLOCK_ROWS = 20_000
+# Entries of one matrix of scores in a task.
+SCORE_CELLS = 4 << 20
 
 
 class EmptyIndexError(RuntimeError):
@@ -73,9 +75,15 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 def _local_hits(
     qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    scores = queries @ points.T
-    rows, cols = _best(scores, ids, k)
-    return qids[rows], ids[cols], scores[rows, cols]
+    """Query id, point id and score of the k best points per query, scoring a
+    slab of queries at a time so that the score matrix stays small."""
+    slab = max(1, SCORE_CELLS // max(1, len(ids)))
+    parts = []
+    for at in range(0, len(qids), slab):
+        scores = queries[at : at + slab] @ points.T
+        rows, cols = _best(scores, ids, k)
+        parts.append((qids[at : at + slab][rows], ids[cols], scores[rows, cols]))
+    return tuple(np.concatenate(column) for column in zip(*parts))
 
 
 def _merge_hits(hits: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,13 +163,8 @@ def _block_join(points: DataFrame, queries: DataFrame, k: int, n_points: int, n_
         matrix = unit_rows(as_matrix(vectors, size))
         rows = unit_rows(as_matrix(p["point"].combine_chunks(), size))
         qids, ids = q["query_id"].to_numpy(), p["vec_id"].to_numpy()
-        # A slab of queries at a time bounds the score matrix.
-        slab = max(1, (16 << 20) // max(1, len(ids)))
-        parts = [
-            _local_hits(qids[a : a + slab], matrix[a : a + slab], ids, rows, k)
-            for a in range(0, len(qids), slab)
-        ]
-        return pa.Table.from_batches([_hit_batch(x, kinds) for x in parts])
+        hits = _local_hits(qids, matrix, ids, rows, k)
+        return pa.Table.from_batches([_hit_batch(hits, kinds)])
 
     return (
         left.groupBy("pb", "qb")

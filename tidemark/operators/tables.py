@@ -211,13 +211,14 @@ class IndexTables:
         if new is not None and named - held:
             self._write(new.where(F.col("bucket").isin(*(named - held))), table, "append")
 
-    def upsert_documents(self, incoming: DataFrame) -> None:
+    def upsert_documents(self, incoming: DataFrame, known: DataFrame | None = None) -> None:
+        """``known``: the incoming ids that are stored; looked up if not given."""
         self._change(
             "documents",
             incoming,
             incoming,
             lambda current: U.upsert_documents(current, incoming),
-            self.stored_ids(incoming),
+            self.stored_ids(incoming) if known is None else known,
         )
 
     def replace_chunks(

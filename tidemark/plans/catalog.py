@@ -322,8 +322,10 @@ def chunk_stats(spark, folder):
 @query
 def embed_chunks(spark, folder):
     """Non-zero dimensions of every chunk's embedding."""
+    # The outer form: for the inner one Spark adds a filter on the array below the
+    # generator, and the embedding would be computed once more for that filter.
     rows = embedded_chunks(spark, folder).select(
-        "chunk_id", F.posexplode("embedding").alias("dim", "value")
+        "chunk_id", F.posexplode_outer("embedding").alias("dim", "value")
     )
     value = F.col("value").cast("double")
     return rows.where(value != 0).select("chunk_id", "dim", F.round(value, 5).alias("value"))
