@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from html.entities import html5
 
 _FENCE = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})")
 _HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+|$)(.*?)(?:(?:^|[ \t]+)#+)?[ \t]*$")
@@ -122,8 +123,11 @@ def _inline(text: str, defined: set[str]) -> str:
             out.append(f"<code>{html.escape(code, quote=False)}</code>")
         elif m[4]:
             out.append(f"<a>{html.escape(m[4], quote=False)}</a>")
-        elif m[5] or m[6]:
-            out.append(m[0])
+        elif m[5]:
+            out.append(m[5])
+        elif m[6]:
+            known = m[6][1] == "#" or m[6][1:] in html5
+            out.append(m[6] if known else html.escape(m[6]))
         elif m[8]:
             can_open, can_close = _flanking(text, m.start(), m.end())
             marks.append([len(out), m[8][0], can_open, can_close, len(m[8]), len(m[8]), [], []])
