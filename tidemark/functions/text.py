@@ -18,6 +18,8 @@ SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 # What is left of them inside a line after NFKC, apart from the plain blank.
 _RARE = r"\x1c-\x1f\x85\u1680\u2028\u2029"
+_RARE_CHARS = "\x1c\x1d\x1e\x1f\x85\u1680\u2028\u2029"
+_RULE_CHARS = "-|:="
 
 
 def strip(c: Column) -> Column:
@@ -70,11 +72,15 @@ def normalization_steps() -> list:
     def stripped_lines(c: Column) -> Column:
         edges = F.regexp_replace(c, rf"[ {_RARE}]+\n[ {_RARE}]*|\n[ {_RARE}]+", "\n")
         plain = _replace(_replace(c, " \n", "\n"), "\n ", "\n")
-        return strip(F.when(c.rlike(f"[{_RARE}]"), edges).otherwise(plain))
+        return strip(F.when(_contains_any(c, *_RARE_CHARS), edges).otherwise(plain))
 
     def no_rules(c: Column) -> Column:
         start = r"[-|:=](?<=\A[-|:=]|\n[-|:=])"
-        return F.regexp_replace(c, rf"{start}[-|:= {_RARE}]+(?:\n|\z)", "")
+        without = F.regexp_replace(c, rf"{start}[-|:= {_RARE}]+(?:\n|\z)", "")
+        # The first character of a rule, with a line feed put before the text.
+        lines = F.concat(F.lit("\n"), c)
+        possible = _contains_any(lines, *("\n" + x for x in _RULE_CHARS))
+        return F.when(possible, without).otherwise(c)
 
     def short_gaps(c: Column) -> Column:
         closed = F.regexp_replace(c, r"\n\n\n+", "\n\n")
@@ -101,7 +107,10 @@ def normalize_text(c: Column) -> Column:
 
 def sentence_spacing(c: Column) -> Column:
     """Turn each single line feed into a full stop and a paragraph break."""
-    return F.regexp_replace(c, r"\n(?<!\n\n)(?!\n)", ".\n\n")
+    exact = F.regexp_replace(c, r"\n(?<!\n\n)(?!\n)", ".\n\n")
+    # Without longer runs, pairs can step aside while single ones are replaced.
+    pairs = _replace(_replace(_replace(c, "\n\n", "\0"), "\n", ".\n\n"), "\0", "\n\n")
+    return F.when(_contains_any(c, "\n\n\n", "\0"), exact).otherwise(pairs)
 
 
 def final_text(c: Column) -> Column:

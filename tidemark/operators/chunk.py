@@ -6,6 +6,8 @@ the text column; rows, order and identifiers are then plain DataFrame work.
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,11 @@ def _cuts(text: str, lo: int, hi: int, separator: str) -> list[int]:
     return cuts
 
 
+def _long_piece(separator: str, size: int) -> re.Pattern:
+    """Matches where a piece may reach ``size`` characters, its separator included."""
+    return re.compile(f"[^{separator}]{{{size - 1},}}")
+
+
 def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[str]:
     """Chunks of at most ``size`` characters that share up to ``overlap``.
 
@@ -57,10 +64,26 @@ def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP)
                     first += 1
         emit(cuts[first], cuts[-1])
 
+    def pack_short(lo: int, hi: int, separator: str) -> None:
+        """``pack`` when every occurrence of a one-character separator is a cut
+        and no piece is too long: jumps from window to window by search."""
+        start = lo
+        while hi - start > size:
+            cut = text.rfind(separator, start + 1, start + size + 1)
+            emit(start, cut)
+            stop = text.find(separator, cut + 1, hi)
+            floor = max(cut - overlap, (hi if stop == -1 else stop) - size, start + 1)
+            start = text.find(separator, floor, cut + 1)
+        emit(start, hi)
+
     def walk(lo: int, hi: int, level: int) -> None:
         while SEPARATORS[level] and text.find(SEPARATORS[level], lo, hi) == -1:
             level += 1
-        cuts = _cuts(text, lo, hi, SEPARATORS[level])
+        separator = SEPARATORS[level]
+        if len(separator) == 1 and not _long_piece(separator, size).search(text, lo, hi):
+            pack_short(lo, hi, separator)
+            return
+        cuts = _cuts(text, lo, hi, separator)
         run = [lo]
         for start, stop in zip(cuts, cuts[1:]):
             if stop - start < size:
