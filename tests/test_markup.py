@@ -88,3 +88,18 @@ def test_html_tables():
 )
 def test_markdown(text, expected):
     assert html_lines(markdown_to_html(text)) == expected
+
+
+def test_hostile_markdown_is_read_in_bounded_time():
+    import time
+
+    start = time.monotonic()
+    for text in (">" * 5000 + " x", "- " * 3000 + "x", "*a " * 20000 + "b_ " * 20000, "[" * 5000 + "]" * 5000):
+        html_lines(markdown_to_html(text))
+    assert html_lines(markdown_to_html("> > x")) == [("p", "x")]
+    assert time.monotonic() - start < 20
+
+
+def test_deeply_nested_html():
+    assert html_lines("<div>" * 5000 + "<p>x") == [("p", "x")]
+    assert html_lines("<p>a" * 50)[0][1] == "a" * 50

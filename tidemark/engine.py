@@ -66,8 +66,8 @@ class Engine:
         """Ingest ``source_path, source_kind, content, byte_size`` rows.
 
         Extraction and embedding each run once, into the shared folder; the
-        writes that follow read the columns they need from there. Returns one
-        metadata row per source row.
+        writes that follow read the columns they need from there. Returns the
+        metadata of each document; texts and vectors are removed again.
         """
         staging = Staging(
             self.spark, work_dir(self.spark, f"{self.config.paths.data_dir}/work")
@@ -95,9 +95,9 @@ class Engine:
         chunk_rows = U.chunk_rows(complete, now)
         ids = chunk_rows.select("document_id").distinct()
         self.tables.replace_chunks(chunk_rows, ids, known)
-        for name in ("documents", "known", "embedded"):
+        for name in ("extracted", "known", "embedded"):
             staging.discard(name)
-        return extracted.drop("text")
+        return rows.select("document_id", "source_path", "source_kind", "metadata")
 
     # -- search -----------------------------------------------------------
 

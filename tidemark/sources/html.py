@@ -8,6 +8,7 @@ is never closed runs to the end of whatever contains it.
 
 from __future__ import annotations
 
+from collections import Counter
 from html.entities import html5
 from html.parser import HTMLParser
 
@@ -35,7 +36,7 @@ class _Events(HTMLParser):
         self._open_names: dict[str, int] = {}
         self._silent = 0
         self._text: list[str] = []
-        self._closed_void: list[str] = []
+        self._closed_void: Counter[str] = Counter()
         self.feed(markup)
         self.close()
         self._flush()
@@ -76,16 +77,16 @@ class _Events(HTMLParser):
         self._push(tag, attrs)
         if tag in VOID:
             self._pop_to(tag)
-            self._closed_void.append(tag)
+            self._closed_void[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self._push(tag, attrs)
-        self._pop_to(tag)
+        self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         # <br></br>: the start tag already closed it.
-        if tag in self._closed_void:
-            self._closed_void.remove(tag)
+        if self._closed_void[tag]:
+            self._closed_void[tag] -= 1
         else:
             self._pop_to(tag)
 

@@ -12,6 +12,9 @@ import html
 import re
 from html.entities import html5
 
+# Fixed value: blocks nested deeper than this are not read (a list takes two).
+MAX_NESTING = 20
+
 _FENCE = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})")
 _HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+|$)(.*?)(?:(?:^|[ \t]+)#+)?[ \t]*$")
 _RULE = re.compile(r" {0,3}([-*_])[ \t]*(?:\1[ \t]*){2,}$")
@@ -73,21 +76,29 @@ def _flanking(text: str, start: int, end: int) -> tuple[bool, bool]:
 
 def _pair_emphasis(out: list[str], marks: list[list]) -> None:
     """Match opening and closing marks; leftovers stay literal."""
-    openers: list[list] = []
-    for mark in marks:
-        where, char, can_open, can_close, total = mark[:5]
+    openers: dict[str, list[tuple[int, list]]] = {"*": [], "_": []}
+    # Per kind of closing mark, where the last one found nothing before it.
+    searched: dict[tuple, int] = {}
+    for order, mark in enumerate(marks):
+        char, can_open, can_close, total = mark[1:5]
+        stack, kind = openers[char], (char, can_open, total % 3)
+
+        def fits(o: list) -> bool:
+            both = o[3] or can_open
+            return not (both and (o[4] + total) % 3 == 0 and (o[4] % 3 or total % 3))
+
         while can_close and mark[5]:
-            fits = [
-                k
-                for k, o in enumerate(openers)
-                if o[1] == char
-                and o[5]
-                and not ((o[3] or can_open) and (o[4] + total) % 3 == 0 and (o[4] % 3 or total % 3))
-            ]
-            if not fits:
+            at = len(stack) - 1
+            since = searched.get(kind, 0)
+            while at >= 0 and stack[at][0] >= since and not fits(stack[at][1]):
+                at -= 1
+            if at < 0 or stack[at][0] < since:
+                searched[kind] = order
                 break
-            opener = openers[fits[-1]]
-            del openers[fits[-1] + 1 :]
+            opened, opener = stack[at]
+            for other in openers.values():
+                while other and other[-1][0] > opened:
+                    other.pop()
             used = 2 if opener[5] >= 2 and mark[5] >= 2 else 1
             opener[5] -= used
             mark[5] -= used
@@ -95,9 +106,9 @@ def _pair_emphasis(out: list[str], marks: list[list]) -> None:
             opener[6].insert(0, f"<{name}>")
             mark[7].append(f"</{name}>")
             if not opener[5]:
-                openers.remove(opener)
+                stack.pop()
         if can_open and mark[5]:
-            openers.append(mark)
+            stack.append((order, mark))
     for where, char, *_, left, opened, closed in marks:
         out[where] = "".join(closed) + char * left + "".join(opened)
 
@@ -145,9 +156,9 @@ def _inline(text: str, defined: set[str]) -> str:
             label = _LABEL.match(text, at)
             if target:
                 at = target.end()
-            elif label and _label(label[1] or inner) in defined:
+            elif defined and label and _label(label[1] or inner) in defined:
                 at = label.end()
-            elif _label(inner) not in defined:
+            elif not defined or _label(inner) not in defined:
                 continue
             _pair_emphasis(out, marks[first:])
             del marks[first:]
@@ -182,7 +193,9 @@ class _Blocks:
             self.parts += [("", text), "\n"] if bare else [f"<{tag}>", ("", text), f"</{tag}>\n"]
         lines.clear()
 
-    def parse(self, lines: list[str], tight: bool = False) -> None:
+    def parse(self, lines: list[str], tight: bool = False, depth: int = 0) -> None:
+        if depth >= MAX_NESTING:
+            return
         para: list[str] = []
         i = 0
         while i < len(lines):
@@ -216,9 +229,9 @@ class _Blocks:
             elif _RULE.match(line):
                 self.parts.append("<hr />\n")
             elif _QUOTE.match(line):
-                i = self._quote(lines, i - 1)
+                i = self._quote(lines, i - 1, depth)
             elif _ITEM.match(line):
-                i = self._list(lines, i - 1)
+                i = self._list(lines, i - 1, depth)
             else:
                 i = self._raw(lines, i - 1)
         self.paragraph(para, tight)
@@ -253,7 +266,7 @@ class _Blocks:
         self.parts.append("\n".join(lines[start:i]) + "\n")
         return i
 
-    def _quote(self, lines: list[str], i: int) -> int:
+    def _quote(self, lines: list[str], i: int, depth: int) -> int:
         inner: list[str] = []
         while i < len(lines) and lines[i].strip():
             m = _QUOTE.match(lines[i])
@@ -263,11 +276,11 @@ class _Blocks:
             inner.append(lines[i][m.end() :] if m else lines[i])
             i += 1
         self.parts.append("<blockquote>\n")
-        self.parse(inner)
+        self.parse(inner, depth=depth + 1)
         self.parts.append("</blockquote>\n")
         return i
 
-    def _list(self, lines: list[str], i: int) -> int:
+    def _list(self, lines: list[str], i: int, depth: int) -> int:
         kind = _ITEM.match(lines[i])[2][-1]
         items: list[list[str]] = []
         loose = gap = False
@@ -305,7 +318,7 @@ class _Blocks:
         self.parts.append(f"<{name}>\n")
         for item in items:
             self.parts.append("<li>")
-            self.parse(item, tight=not loose)
+            self.parse(item, tight=not loose, depth=depth + 2)
             self.parts.append("</li>\n")
         self.parts.append(f"</{name}>\n")
         return i
