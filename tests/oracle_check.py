@@ -28,7 +28,8 @@ def oracle_rows(folder: str, sql: str):
 
 
 # What DuckDB calls the Spark types used in the results.
-SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+             "boolean": "BOOLEAN"}
 
 
 def same(spark, folder: str, name: str) -> tuple[bool, str]:
