@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tidemark.llm import language
 from tidemark.llm import quality as quality_rules
 from tidemark.llm.staging import table
 
@@ -25,3 +28,12 @@ def op2_quality(spark, folder):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept",
     )
+
+
+@query
+def op4_language(spark, folder):
+    """The language of every document, learned from three folds of four."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = language.predict(docs.select("doc_id", "text"), language.learn_from(docs))
+    held_out = F.coalesce(language.remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

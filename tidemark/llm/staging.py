@@ -4,15 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark import llm
 from tidemark.session import file_system
 
-# Executors need no copy of this package: functions travel with their code.
-cloudpickle.register_pickle_by_value(llm)
+PACKAGE = Path(__file__).resolve().parent.parent
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, so that they need no copy of it."""
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", False):
+        return
+    target = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(PACKAGE.rglob("*.py")):
+            archive.write(file, f"{PACKAGE.name}/{file.relative_to(PACKAGE)}")
+    context.addPyFile(str(target))
+    context._tidemark_shipped = True
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,9 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or (
-            spark.sparkContext.master.startswith("local-cluster")
-        ):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach.")
         folder = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
