@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import language
+from tidemark.llm import bpe, language, latent, minmax
 from tidemark.llm import quality as quality_rules
 from tidemark.llm.staging import table
 
 QUERIES = {}
+SHINGLE_WORDS = 4
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def query(fn):
@@ -37,3 +44,32 @@ def op4_language(spark, folder):
     found = language.predict(docs.select("doc_id", "text"), language.learn_from(docs))
     held_out = F.coalesce(language.remainder(F.col("doc_id"), 4) == 2, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_minmax(spark, folder):
+    """Near-duplicate components of all documents."""
+    return minmax.near_duplicates(documents(spark, folder), SHINGLE_WORDS)
+
+
+def token_digests(codec, docs):
+    """Count and digest of each text's ids, and digest of what they decode to."""
+    both = codec.decode(codec.encode(docs.select("doc_id", "text")))
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op8_bpe(spark, folder):
+    """Every document encoded and decoded again."""
+    return token_digests(bpe.Codec(spark, tokenizer_path()), documents(spark, folder))
+
+
+@query
+def op1_latent(spark, folder):
+    """Benchmark passages found in documents, one row per document and item."""
+    return latent.contaminated(documents(spark, folder), table(spark, folder, "benchmark"))
