@@ -26,6 +26,13 @@ STOP_WORDS = (
 ).split()
 
 
+# The names of the measures.
+MEASURES = (
+    "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_exclamations n_letters "
+    "n_capitals n_stop_words"
+).split()
+
+
 @dataclass(frozen=True)
 class Rule:
     """Rejects a text whose ``part`` lies outside [least, most] of ``whole``."""
@@ -37,7 +44,7 @@ class Rule:
     most: float | None = None
 
 
-# The table. Parts and wholes are measures of ``measures``.
+# The table. Parts and wholes are names in MEASURES.
 RULES = (
     Rule("word_length", "word_chars", "n_words", 2.0, 12.0),
     Rule("symbols", "n_symbols", "n_words", most=0.1),
@@ -60,7 +67,7 @@ def _split(text: Column) -> Column:
 
 def _left(text: Column, others: str) -> Column:
     """Characters left when the runs of ``others`` are taken out."""
-    return F.char_length(F.regexp_replace(text, others, "")).cast("long")
+    return F.char_length(F.regexp_replace(text, others, ""))
 
 
 def repeated_words(words: Column) -> Column:
@@ -110,57 +117,60 @@ def repeated_words(words: Column) -> Column:
     )
 
 
-NAMES = (
-    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
-    "n_exclamations", "n_letters", "n_capitals", "n_stop_words", "base_failed", "kept",
-)
-
-
-def measures(text: Column) -> list[Column]:
-    """The counts that rules may refer to; ``text`` is not null, ``_words`` holds its words."""
-    words = F.col("_words")
+def measures(text: Column, words: Column) -> list[Column]:
+    """The counts that rules may refer to, of a text that is not null and of its words."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
-    return [
-        F.size(words).cast("long"),
-        F.char_length(F.array_join(words, "")).cast("long"),
-        _left(text, f"[^{SYMBOLS}]+"),
-        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        repeated_words(words),
-        F.size(lines).cast("long"),
-        _left(text, "[^!]+"),
-        _left(text, r"\P{L}+"),
-        _left(text, r"\P{Lu}+"),
-        F.size(
-            F.filter(words, lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?")).isin(STOP_WORDS))
-        ).cast("long"),
-    ]
-
-
-def verdict(rules=RULES) -> Column:
-    """All rules as one condition over the measures."""
+    stops = F.filter(words, lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?")).isin(STOP_WORDS))
+    counts = {
+        "n_words": F.size(words),
+        "word_chars": F.char_length(F.array_join(words, "")),
+        "n_symbols": _left(text, f"[^{SYMBOLS}]+"),
+        "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
+        "n_repeat_words": repeated_words(words),
+        "n_lines": F.size(lines),
+        "n_exclamations": _left(text, "[^!]+"),
+        "n_letters": _left(text, r"\P{L}+"),
+        "n_capitals": _left(text, r"\P{Lu}+"),
+        "n_stop_words": F.size(stops),
+    }
+    return [value.cast("long").alias(name) for name, value in counts.items()]
+
+
+def verdict(counts: Column, rules=RULES) -> Column:
+    """All rules as one condition over a struct of measures."""
     passed = F.lit(True)
     for rule in rules:
         if rule.least is not None:
-            passed &= F.col(rule.part) >= F.lit(rule.least) * F.col(rule.whole)
+            passed &= counts[rule.part] >= F.lit(rule.least) * counts[rule.whole]
         if rule.most is not None:
-            passed &= F.col(rule.part) <= F.lit(rule.most) * F.col(rule.whole)
+            passed &= counts[rule.part] <= F.lit(rule.most) * counts[rule.whole]
     return passed
 
 
-def failed_base() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def judged(text: Column, rules=RULES) -> Column:
+    """A struct of the measures, ``base_failed`` and ``kept``.
+
+    One expression that computes every part once, so that it may also stand in a filter.
+    """
+
+    def judge(counts: Column) -> Column:
+        repeated = 100 * counts["n_repeat_words"] > 50 * counts["n_words"]
+        failed = (counts["n_words"] < 50) | repeated
+        return F.struct(
+            counts.alias("counts"),
+            failed.alias("base_failed"),
+            (~failed & verdict(counts, rules)).alias("kept"),
+        )
+
+    return _let(
+        F.coalesce(text, F.lit("")),
+        lambda t: _let(_split(t), lambda w: _let(F.struct(*measures(t, w)), judge)),
+    )
 
 
 def judge(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """Add the measures, ``base_failed`` and ``kept``."""
-    counts = measures(F.col("_text"))
-    added = [c for c in df.columns if c in NAMES]
-    return (
-        df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-        .withColumn("_words", _split(F.col("_text")))
-        .drop(*added)
-        .select("*", *(c.alias(n) for c, n in zip(counts, NAMES)))
-        .withColumn("base_failed", failed_base())
-        .withColumn("kept", ~F.col("base_failed") & verdict(rules))
-        .drop("_words", "_text")
-    )
+    added = ["_judged", "base_failed", "kept", *MEASURES]
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in added]
+    found = df.select(*rest, judged(F.col(text), rules).alias("_judged"))
+    return found.select(*rest, "_judged.counts.*", "_judged.base_failed", "_judged.kept")
