@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm import licences as L
 from tidemark.llm.quality import RULES, STOP_WORDS
 
 # Runs between blanks; E'' strings hold the control characters themselves.
@@ -56,4 +57,43 @@ def quality(source: str = "documents") -> str:
     FROM m"""
 
 
-ORACLE = {"op2_quality": quality()}
+def licences(source: str = "documents") -> str:
+    """Sentences unnested, joined with the known ones and put together again by place."""
+    known = ", ".join(f"('{text}', '{name}')" for text, name in L.known_sentences().items())
+    rules = ", ".join(
+        f"({k}, '{licence}', '{L.pattern(ids)}', {fallback})"
+        for k, (licence, ids, fallback) in enumerate(L.RULES)
+    )
+    return rf"""
+    WITH known(sentence, name) AS (VALUES {known}),
+    rules(place, licence, pattern, fallback) AS (VALUES {rules}),
+    t AS (
+      SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM {source}
+    ), versions AS (
+      SELECT k, 0 AS v, text FROM t UNION ALL
+      SELECT k, 1 AS v, replace(replace(text, chr(10), ' '), chr(13), ' ') FROM t
+    ), cut AS (
+      SELECT k, v, string_split(regexp_replace(text, E'([.!?:;])[ \t-\r]+', E'\\1\n', 'g'), chr(10)) AS parts
+      FROM versions
+    ), said AS (
+      SELECT k, v, generate_subscripts(parts, 1) AS place, unnest(parts) AS part FROM cut
+    ), plain AS (
+      SELECT k, v, place, replace(trim(regexp_replace(lower(part), '[^\p{{L}}\p{{N}}]+', ' ', 'g')),
+        'licence', 'license') AS sentence FROM said
+    ), sequences AS (
+      SELECT k, v, ' ' || string_agg(name, ' ' ORDER BY place) || ' ' AS ids
+      FROM plain JOIN known USING (sentence) GROUP BY k, v
+    ), hit AS (
+      SELECT DISTINCT k, licence, first(place) OVER (PARTITION BY k, licence ORDER BY place) AS place, fallback
+      FROM sequences JOIN rules ON regexp_matches(ids, pattern)
+    ), best AS (
+      SELECT k, string_agg(licence, ',' ORDER BY place) AS licences FROM hit
+      WHERE NOT fallback OR k NOT IN (SELECT k FROM hit WHERE NOT fallback) GROUP BY k
+    ), longest AS (
+      SELECT k, trim(arg_max(ids, 2 * length(ids) - v)) AS sentences FROM sequences GROUP BY k
+    )
+    SELECT doc_id, coalesce(sentences, '') AS sentences, coalesce(licences, '') AS licences
+    FROM t LEFT JOIN longest USING (k) LEFT JOIN best USING (k)"""
+
+
+ORACLE = {"op2_quality": quality(), "op10_licences": licences()}

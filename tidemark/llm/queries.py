@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, language, latent, minmax
+from tidemark.llm import bpe, language, latent, licences, minmax
 from tidemark.llm import quality as quality_rules
 from tidemark.llm.staging import table
 
@@ -73,3 +73,9 @@ def op8_bpe(spark, folder):
 def op1_latent(spark, folder):
     """Benchmark passages found in documents, one row per document and item."""
     return latent.contaminated(documents(spark, folder), table(spark, folder, "benchmark"))
+
+
+@query
+def op10_licences(spark, folder):
+    """Licence sentences and licences of every document."""
+    return licences.scan(documents(spark, folder)).select("doc_id", "sentences", "licences")
