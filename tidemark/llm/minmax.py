@@ -4,11 +4,19 @@ Each permutation of the shingle hashes gives two values of a text's signature, i
 and its largest image, so 126 permutations fill 252 places. Bands of six places put texts
 with a common band into one bucket; equal sets meet before that, as one class.
 
-In a bucket no pairs are listed. Each class names one leader (drawn per bucket) and is
-compared with it on the full sets; what linked becomes one component. After ``ROUNDS`` such
-rounds, buckets that still hold two components give the pairs across components that share
-two bands or more, and those are compared too, so a link is lost only if hashing missed it:
-at similarity 0.8 with a chance of 5 in 100,000, above 0.85 of less than 1 in a million.
+In a bucket no pairs are listed. Shingles that only one class has (``alone``) cannot be shared,
+which bounds the similarity of a pair from above: classes that cannot link with anything go
+first, and of two classes only those are compared whose bound allows a link. Each class names
+one leader, the one of its buckets with the smallest share of such shingles, and is compared
+with it on the full sets; what linked becomes one component.
+
+After ``ROUNDS`` such rounds the buckets that still hold two components are settled by group
+(classes that such buckets connect). Groups of at most ``PAIRED`` classes, so at most half as
+many pairs a class, list the pairs across components that share two bands or more. Larger
+groups are cut into blocks by hash, every two blocks meet in one task, and all sets in them
+are compared by one matrix product; no pair becomes a row unless it is a link, and of those
+one for each two components is enough. Both ways lose no link that hashing has not missed: at
+similarity 0.8 that has a chance of 5 in 100,000, above 0.85 of less than 1 in a million.
 
 Defined cases: null or blank text has no shingles and is linked with nothing; fewer words
 than a shingle make one shingle of the whole sequence; a row without an id is linked with
@@ -37,6 +45,7 @@ FACTORS = np.random.Generator(np.random.Philox(key=7)).integers(
     0, 1 << 63, PERMUTATIONS, dtype=np.uint64
 ) * U64(2) + U64(1)
 ROUNDS = 2
+PAIRED, BLOCK, COLUMNS = 32, 256, 8192
 ROWS = 256
 SETS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("set_key", pa.binary()), ("shingles", pa.large_binary())])
 SKETCH_SCHEMA = pa.schema(
@@ -118,10 +127,35 @@ def common(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([count(a, b) for a, b in zip(left, right)], dtype="int64")
 
 
-def _similar_size(x: str, y: str, least: int) -> Column:
-    """Whether two set sizes allow the similarity ``least`` (in hundredths)."""
-    small, large = F.least(x, y), F.greatest(x, y)
-    return 100 * small >= least * large
+def _may_link(least: int) -> Column:
+    """Whether two classes (n, alone) and (m, alone_b) can be similar enough: they share at
+    most what neither has alone."""
+    shared = F.least(F.col("n") - F.col("alone"), F.col("m") - F.col("alone_b"))
+    return 100 * shared >= least * (F.col("n") + F.col("m") - shared)
+
+
+def _alone(sets: DataFrame) -> DataFrame:
+    """(rep, alone): number of a class's shingles that no other class has, if any."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                values = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+                owners = np.repeat(np.asarray(part.column(0)), [len(v) for v in values])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(owners), pa.array(np.concatenate(values))], ["rep", "shingle"]
+                )
+
+    return (
+        sets.select("doc_id", "shingles")
+        .mapInArrow(spread, "rep long, shingle long")
+        .groupBy("shingle")
+        .agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
+        .where("rep = other")
+        .groupBy("rep")
+        .agg(F.count("*").alias("alone"))
+    )
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -146,11 +180,12 @@ def _with_labels(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _proposals(buckets: DataFrame, tested: DataFrame | None, turn: int, least: int) -> DataFrame:
     """For each class the leader it shares most buckets with, not of its own component."""
-    draw = F.xxhash64("key", "rep", F.lit(turn))
+    share = F.when(F.lit(turn) == 0, F.col("alone") / F.col("n")).otherwise(F.lit(0.0))
+    draw = F.struct(share.alias("share"), F.xxhash64("key", "rep", F.lit(turn)).alias("any"))
     leaders = (
         buckets.groupBy("key")
         .agg(
-            F.min(F.struct(draw.alias("draw"), "rep", "n", "label")).alias("lead"),
+            F.min(F.struct(draw.alias("draw"), "rep", "n", "alone", "label")).alias("lead"),
             F.min("label").alias("low"),
             F.max("label").alias("high"),
         )
@@ -159,13 +194,14 @@ def _proposals(buckets: DataFrame, tested: DataFrame | None, turn: int, least: i
             "key",
             F.col("lead.rep").alias("b"),
             F.col("lead.n").alias("m"),
+            F.col("lead.alone").alias("alone_b"),
             F.col("lead.label").alias("label_b"),
         )
     )
     pairs = (
         buckets.withColumnRenamed("rep", "a")
         .join(leaders, "key")
-        .where((F.col("label") != F.col("label_b")) & _similar_size("n", "m", least))
+        .where((F.col("label") != F.col("label_b")) & _may_link(least))
         .groupBy("a", "b")
         .agg(F.count("*").alias("shared"))
     )
@@ -175,20 +211,30 @@ def _proposals(buckets: DataFrame, tested: DataFrame | None, turn: int, least: i
     return pairs.groupBy("a").agg(best).select("a", F.col("best.b").alias("b"))
 
 
-def _rest(buckets: DataFrame, tested: DataFrame, least: int) -> DataFrame:
-    """All untested pairs of different components that share two buckets or more."""
+def _mixed(stage: Stage, buckets: DataFrame) -> DataFrame:
+    """Rows of the buckets with two components or more, with the class's group and its size."""
     mixed = (
         buckets.groupBy("key")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("rep").alias("first"))
         .where("low < high")
-        .select("key")
+        .select("key", "first")
     )
-    left = buckets.join(mixed, "key", "left_semi").withColumnRenamed("rep", "a")
-    right = buckets.withColumnsRenamed({"rep": "b", "n": "m", "label": "label_b"})
+    rows = stage.table(buckets.join(mixed, "key"), "mixed")
+    links = rows.where("rep != first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    groups = components(stage, links, "groups").withColumnsRenamed({"node": "rep", "label": "group"})
+    sizes = groups.groupBy("group").agg(F.count("*").alias("size"))
+    return stage.table(rows.drop("first").join(groups.join(sizes, "group"), "rep"), "grouped")
+
+
+def _pairs(mixed: DataFrame, tested: DataFrame, least: int) -> DataFrame:
+    """Untested pairs of different components in small groups that share two buckets or more."""
+    small = mixed.where(F.col("size") <= PAIRED).drop("group", "size")
+    right = small.withColumnsRenamed({"rep": "b", "n": "m", "alone": "alone_b", "label": "label_b"})
     pairs = (
-        left.join(right, "key")
+        small.withColumnRenamed("rep", "a")
+        .join(right, "key")
         .where((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")))
-        .where(_similar_size("n", "m", least))
+        .where(_may_link(least))
         .groupBy("a", "b")
         .agg(F.count("*").alias("shared"))
         .where("shared > 1")
@@ -198,6 +244,51 @@ def _rest(buckets: DataFrame, tested: DataFrame, least: int) -> DataFrame:
     return pairs.join(tested.unionByName(turned), ["a", "b"], "left_anti")
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, from products of 0/1 matrices of some columns each."""
+    values, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(seen > 1) - 1  # what only one set holds is in no intersection
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[seen[at] > 1]
+    columns = place[at][seen[at] > 1]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    total = np.zeros((len(sets), len(sets)))
+    for start in range(0, int(columns[-1]) + 1 if len(columns) else 0, COLUMNS):
+        a, b = np.searchsorted(columns, [start, start + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[rows[a:b], columns[a:b] - start] = 1
+        total += part @ part.T
+    return total
+
+
+def _blocks(mixed: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """Links between components of large groups, at least one for any two that have one."""
+    large = mixed.where(F.col("size") > PAIRED).select("rep", "label", "group", "size").distinct()
+    blocks = F.ceil(F.col("size") / BLOCK)
+    own = large.withColumn("own", F.pmod(F.xxhash64("rep"), blocks))
+    dealt = own.select(
+        "rep", "label", "group", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    ).select(
+        "rep", "label", "group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    )
+
+    def compare(block: pa.Table) -> pa.Table:
+        reps, labels = np.asarray(block.column("rep")), np.asarray(block.column("label"))
+        held = [np.frombuffer(x.as_buffer(), U64) for c in block.column("shingles").chunks for x in c]
+        length = np.array([len(s) for s in held], float)
+        both = overlaps(held)
+        linked = 100 * both >= least * (length[:, None] + length[None, :] - both)
+        linked &= labels[:, None] < labels[None, :]
+        a, b = np.nonzero(linked)
+        _, first = np.unique(np.stack([labels[a], labels[b]]), axis=1, return_index=True)
+        return pa.table({"a": pa.array(reps[a[first]]), "b": pa.array(reps[b[first]])})
+
+    held = sets.withColumnRenamed("doc_id", "rep")
+    return (
+        dealt.join(held, "rep").groupBy("group", "i", "j").applyInArrow(compare, "a long, b long")
+    )
+
+
 def near_duplicates(
     df: DataFrame, k: int = 5, least: int = 80, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -236,18 +327,25 @@ def near_duplicates(
         .select("doc_id", "shingles"),
         "sets",
     )
+    able = 100 * F.col("alone") <= (100 - least) * F.col("n")
+    counted = buckets.join(_alone(sets), "rep", "left").fillna(0, ["alone"])
+    buckets = stage.table(counted.where(able), "candidates")
     links = labels = tested = None
     for turn in range(ROUNDS + 1):
         current = _with_labels(buckets, labels)
-        last = turn == ROUNDS
-        pairs = _rest(current, tested, least) if last else _proposals(current, tested, turn, least)
-        pairs = stage.table(pairs, f"pairs-{turn}")
-        found = stage.table(_linked(pairs, sets, least), f"links-{turn}")
+        if turn == ROUNDS:
+            mixed = _mixed(stage, current)
+            pairs = stage.table(_pairs(mixed, tested, least), f"pairs-{turn}")
+            found = _linked(pairs, sets, least).unionByName(_blocks(mixed, sets, least))
+        else:
+            pairs = stage.table(_proposals(current, tested, turn, least), f"pairs-{turn}")
+            found = _linked(pairs, sets, least)
+        found = stage.table(found, f"links-{turn}")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         if labels is None or not found.isEmpty():
             labels = components(stage, links, f"labels-{turn}")
-    stage.drop("buckets", "sets")
+    stage.drop("buckets", "candidates", "sets")
     own = classes.select("set_key", "rep")
     named = labels.withColumnRenamed("node", "rep")
     found = (
