@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm import licences as L
+from tidemark.llm import shards as S
 from tidemark.llm.quality import RULES, STOP_WORDS
 
 # Runs between blanks; E'' strings hold the control characters themselves.
@@ -96,4 +97,23 @@ def licences(source: str = "documents") -> str:
     FROM t LEFT JOIN longest USING (k) LEFT JOIN best USING (k)"""
 
 
-ORACLE = {"op2_quality": quality(), "op10_licences": licences()}
+def shards(source: str = "documents", limit: int = S.SHARD_BYTES) -> str:
+    """The shortest address prefix whose rows fit; rows equal in key and text must fit."""
+    hash_bits = "lpad(bin(('0x' || substr(md5({}), 1, 15))::BIGINT), 60, '0')"
+    return f"""
+    WITH t AS (
+      SELECT row_number() OVER () AS k, doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
+        {hash_bits.format("coalesce(doc_id::VARCHAR, '')")} ||
+        {hash_bits.format("coalesce(text, '')")} AS path
+      FROM {source}
+    ), sizes AS (
+      SELECT depth, left(path, depth) AS prefix FROM t, range(0, 121) AS d(depth)
+      GROUP BY ALL HAVING sum(n_bytes) <= {limit} OR count(*) = 1
+    ), found AS (
+      SELECT k, min(depth) AS depth FROM t JOIN sizes ON left(path, depth) = prefix GROUP BY k
+    )
+    SELECT doc_id, n_bytes, left(path, depth) AS shard, depth::INTEGER AS depth
+    FROM t JOIN found USING (k)"""
+
+
+ORACLE = {"op2_quality": quality(), "op9_shards": shards(), "op10_licences": licences()}

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, language, latent, licences, minmax
+from tidemark.llm import bpe, language, latent, licences, minmax, shards
 from tidemark.llm import quality as quality_rules
-from tidemark.llm.staging import table
+from tidemark.llm.staging import Stage, table
 
 QUERIES = {}
 SHINGLE_WORDS = 4
@@ -79,3 +79,11 @@ def op1_latent(spark, folder):
 def op10_licences(spark, folder):
     """Licence sentences and licences of every document."""
     return licences.scan(documents(spark, folder)).select("doc_id", "sentences", "licences")
+
+
+@query
+def op9_shards(spark, folder):
+    """All documents written to shards of 64 MiB of text at most, as read back."""
+    docs = table(spark, folder, "documents")
+    path = Stage(spark, "shard-files").path("documents")
+    return shards.write_shards(docs, path).select("doc_id", "n_bytes", "shard", "depth")
