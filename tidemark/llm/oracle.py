@@ -116,4 +116,22 @@ def shards(source: str = "documents", limit: int = S.SHARD_BYTES) -> str:
     FROM t JOIN found USING (k)"""
 
 
-ORACLE = {"op2_quality": quality(), "op9_shards": shards(), "op10_licences": licences()}
+WARC = """
+    WITH t AS (
+      SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+        sha256(coalesce(html, '')) AS payload_digest FROM pages
+    ), f AS (
+      SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first
+      FROM t
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+      CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN page_id > first THEN first END AS refers_to
+    FROM f"""
+
+ORACLE = {
+    "op2_quality": quality(),
+    "op6_warc": WARC,
+    "op9_shards": shards(),
+    "op10_licences": licences(),
+}

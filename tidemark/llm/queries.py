@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, language, latent, licences, minmax, shards
+from tidemark.llm import bpe, language, latent, licences, minmax, shards, warc
 from tidemark.llm import quality as quality_rules
 from tidemark.llm.staging import Stage, table
 
@@ -87,3 +87,17 @@ def op9_shards(spark, folder):
     docs = table(spark, folder, "documents")
     path = Stage(spark, "shard-files").path("documents")
     return shards.write_shards(docs, path).select("doc_id", "n_bytes", "shard", "depth")
+
+
+@query
+def op6_warc(spark, folder):
+    """All pages written as WARC records and read back."""
+    records = warc.archive(table(spark, folder, "pages"))
+    content = F.when(F.col("record_type") == "response", F.sha2("payload", 256))
+    return records.where(F.col("record_type").isin("response", "revisit")).select(
+        "page_id",
+        "payload_bytes",
+        F.coalesce(content, "payload_digest").alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
