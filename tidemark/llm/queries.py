@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, language, latent, licences, minmax, shards, warc
+from tidemark.llm import bpe, language, latent, licences, minmax, pitman_yor, shards, warc
 from tidemark.llm import quality as quality_rules
 from tidemark.llm.staging import Stage, table
 
@@ -101,3 +101,9 @@ def op6_warc(spark, folder):
         "record_type",
         "refers_to",
     )
+
+
+@query
+def op3_pitman_yor(spark, folder):
+    """Every document's log10 probability, learned from six folds of seven."""
+    return pitman_yor.score(documents(spark, folder))
