@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, language, latent, licences, minmax, pitman_yor, shards, warc
+from tidemark.llm import bpe, idcoder, language, latent, licences, minmax, pitman_yor, shards, warc
 from tidemark.llm import quality as quality_rules
 from tidemark.llm.staging import Stage, table
 
@@ -107,3 +107,17 @@ def op6_warc(spark, folder):
 def op3_pitman_yor(spark, folder):
     """Every document's log10 probability, learned from six folds of seven."""
     return pitman_yor.score(documents(spark, folder))
+
+
+@query
+def op5_idcoder(spark, folder):
+    """Every document's token ids written to packed files and read back."""
+    path = Stage(spark, "ids").path("files")
+    written = idcoder.write_ids(documents(spark, folder), path, tokenizer_path())
+    ids = idcoder.read_ids(written)
+    return ids.select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
