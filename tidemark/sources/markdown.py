@@ -12,9 +12,6 @@ import html
 import re
 from html.entities import html5
 
-# Fixed value: blocks nested deeper than this are not read (a list takes two).
-MAX_NESTING = 20
-
 _FENCE = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})")
 _HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+|$)(.*?)(?:(?:^|[ \t]+)#+)?[ \t]*$")
 _RULE = re.compile(r" {0,3}([-*_])[ \t]*(?:\1[ \t]*){2,}$")
@@ -193,9 +190,18 @@ class _Blocks:
             self.parts += [("", text), "\n"] if bare else [f"<{tag}>", ("", text), f"</{tag}>\n"]
         lines.clear()
 
-    def parse(self, lines: list[str], tight: bool = False, depth: int = 0) -> None:
-        if depth >= MAX_NESTING:
-            return
+    def parse(self, lines: list[str]) -> None:
+        """Read blocks of any depth: what a block holds waits on a stack of its own."""
+        open_blocks = [self._read(lines, False)]
+        while open_blocks:
+            inner = next(open_blocks[-1], None)
+            if inner is None:
+                open_blocks.pop()
+            else:
+                open_blocks.append(self._read(*inner))
+
+    def _read(self, lines: list[str], tight: bool):
+        """Read the blocks of ``lines``; yields the lines inside each block, to be read next."""
         para: list[str] = []
         i = 0
         while i < len(lines):
@@ -229,9 +235,9 @@ class _Blocks:
             elif _RULE.match(line):
                 self.parts.append("<hr />\n")
             elif _QUOTE.match(line):
-                i = self._quote(lines, i - 1, depth)
+                i = yield from self._quote(lines, i - 1)
             elif _ITEM.match(line):
-                i = self._list(lines, i - 1, depth)
+                i = yield from self._list(lines, i - 1)
             else:
                 i = self._raw(lines, i - 1)
         self.paragraph(para, tight)
@@ -266,7 +272,7 @@ class _Blocks:
         self.parts.append("\n".join(lines[start:i]) + "\n")
         return i
 
-    def _quote(self, lines: list[str], i: int, depth: int) -> int:
+    def _quote(self, lines: list[str], i: int):
         inner: list[str] = []
         while i < len(lines) and lines[i].strip():
             m = _QUOTE.match(lines[i])
@@ -276,11 +282,11 @@ class _Blocks:
             inner.append(lines[i][m.end() :] if m else lines[i])
             i += 1
         self.parts.append("<blockquote>\n")
-        self.parse(inner, depth=depth + 1)
+        yield inner, False
         self.parts.append("</blockquote>\n")
         return i
 
-    def _list(self, lines: list[str], i: int, depth: int) -> int:
+    def _list(self, lines: list[str], i: int):
         kind = _ITEM.match(lines[i])[2][-1]
         items: list[list[str]] = []
         loose = gap = False
@@ -318,7 +324,7 @@ class _Blocks:
         self.parts.append(f"<{name}>\n")
         for item in items:
             self.parts.append("<li>")
-            self.parse(item, tight=not loose, depth=depth + 2)
+            yield item, not loose
             self.parts.append("</li>\n")
         self.parts.append(f"</{name}>\n")
         return i
