@@ -13,8 +13,10 @@ import tidemark
 from tidemark import cli, daemon, rpc
 from tidemark.config import load_config
 from tidemark.engine import Engine
+from tidemark.operators import embed as E
 from tidemark.operators.embed import ModelEmbedder
 from tidemark.operators.search import EmptyIndexError
+from tidemark.sources import files as sources
 from tidemark.sources.pdf import EncryptedPdfError
 
 
@@ -264,3 +266,32 @@ def test_package_is_not_needed_on_executors():
         [sys.executable, "-c", program], input=cloudpickle.dumps(_project), cwd="/", capture_output=True
     )
     assert run.stdout.decode().split("\n")[:2] == ["# a", "b"], run.stderr.decode()
+
+
+def test_uri_is_the_file_it_names(spark, work, config):
+    engine = Engine(spark, config)
+    (work / "a.txt").write_text("some words")
+    (work / "empty.txt").write_text("")
+    names = [f"file://{work}/a.txt", f"file:{work}/a.txt", f"{work}/a.txt", f"file:{work}/empty.txt"]
+    rows = sources.scan_files(spark, names).orderBy("source_path").collect()
+    assert [(r.source_path, r.byte_size) for r in rows] == [(f"{work}/a.txt", 10), (f"{work}/empty.txt", 0)]
+    report = engine.ingest(names[:1]).collect()
+    assert [r.source_path for r in report] == [f"{work}/a.txt"]
+    assert engine.status()["documents_count"] == 1
+    with pytest.raises(FileNotFoundError):
+        engine.ingest([f"file://{work}/missing.txt"])
+
+
+def test_wrong_vector_size_stops_before_any_write(spark, work, config):
+    wrong = E.ModelEmbedder(lambda: lambda texts: [[1.0, 2.0]] * len(texts), vector_size=3)
+    (work / "a.txt").write_text("some words")
+    engine = Engine(spark, config, wrong)
+    with pytest.raises(Exception, match="2 dimensions"):
+        engine.ingest([work / "a.txt"])
+    assert engine.stores() == {}
+
+
+def test_missing_text_has_no_vector(spark):
+    df = spark.createDataFrame([("x",), (None,)], "t string")
+    rows = E.HashingEmbedder(4).embed(df, "t").collect()
+    assert rows[0].embedding and rows[1].embedding is None

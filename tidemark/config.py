@@ -9,7 +9,7 @@ from pathlib import Path
 from typing import Any
 
 from tidemark.operators.embed import backends
-from tidemark.sources.files import is_uri
+from tidemark.sources.files import is_uri, local_path
 
 DEFAULT_CONFIG_PATH = Path.home() / ".tidemark" / "config.toml"
 
@@ -74,7 +74,7 @@ class Config:
 
 
 def expand(path: str | Path) -> str:
-    text = os.path.expandvars(str(path))
+    text = local_path(os.path.expandvars(str(path)))
     return text.rstrip("/") if is_uri(text) else str(Path(text).expanduser().resolve())
 
 
@@ -85,7 +85,7 @@ class _Section:
         self.name = name
         self.values = doc.get(name, {})
         if not isinstance(self.values, dict):
-            raise ValueError(f"Section [{name}] must be a TOML table.")
+            raise ValueError(f"[{name}] is not a table of keys.")
 
     def _fail(self, key: str, what: str):
         raise ValueError(f"{self.name}.{key} must be {what}.")
@@ -118,14 +118,14 @@ def parse_config(doc: dict[str, Any]) -> Config:
     )
     backend = model.values.get("backend", DEFAULT_BACKEND)
     if backend not in backends():
-        raise ValueError(f"model.backend must be one of {backends()}, got '{backend}'")
+        raise ValueError(f"model.backend '{backend}' is unknown; known are {', '.join(backends())}.")
     model_name, vector_size = DEFAULT_MODELS.get(backend, (backend, 256))
     data_dir = paths.path("data_dir", str(DEFAULT_CONFIG_PATH.parent))
 
     def inside(key: str, name: str) -> str:
         path = paths.path(key, f"{data_dir}/{name}")
         if not f"{path}/".startswith(f"{data_dir}/"):
-            raise ValueError(f"paths.{key} must be inside paths.data_dir.")
+            raise ValueError(f"paths.{key} lies outside paths.data_dir.")
         return path
 
     return Config(

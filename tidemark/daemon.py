@@ -23,18 +23,18 @@ def _serve_socket(path: Path, dispatcher: Dispatcher) -> None:
     class Connection(socketserver.StreamRequestHandler):
         def handle(self) -> None:
             event = "rpc_client_connected"
-            log.info(event, extra={"event": event, "client": str(self.client_address)})
+            log.info(event, extra={"context": {"event": event, "client": str(self.client_address)}})
             dispatcher.serve(self.rfile, self.wfile)
 
     path.parent.mkdir(parents=True, exist_ok=True)
     path.unlink(missing_ok=True)
     with socketserver.UnixStreamServer(str(path), Connection) as server:
         os.chmod(path, 0o600)
-        log.info("daemon_started", extra={"event": "daemon_started"})
+        log.info("daemon_started", extra={"context": {"event": "daemon_started"}})
         try:
             server.serve_forever()
         except KeyboardInterrupt:
-            log.info("daemon_stopped", extra={"event": "daemon_stopped"})
+            log.info("daemon_stopped", extra={"context": {"event": "daemon_stopped"}})
         finally:
             path.unlink(missing_ok=True)
 
@@ -49,9 +49,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     if config.model.preload_on_start:
         ok, detail = validate_model(config, offline_only=False)
         if not ok:
-            log.error("model_preload_failed: %s", detail, extra={"event": "model_preload_failed"})
+            log.error("model_preload_failed: %s", detail, extra={"context": {"event": "model_preload_failed"}})
             return 2
-        log.info("model_preloaded", extra={"event": "model_preloaded"})
+        log.info("model_preloaded", extra={"context": {"event": "model_preloaded"}})
     engine = Engine(spark or get_spark(config.app_name), config)
     engine.initialize()
     dispatcher = Dispatcher(engine)

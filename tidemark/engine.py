@@ -34,6 +34,7 @@ class Engine:
         self.config = config
         self.embedder = embedder or E.create_embedder(config)
         self.pdf_reader = pdf_reader
+        self._size: int | None = None
         self.tables = IndexTables(
             spark,
             config.paths.metadata_path,
@@ -42,10 +43,23 @@ class Engine:
         )
 
     def initialize(self) -> dict:
+        size = self.measured_size()
         self.tables.migrate()
-        self.tables.ensure_collection(self.embedder.vector_size)
+        self.tables.ensure_collection(size)
         return self.status()
 
+    def measured_size(self) -> int:
+        """Dimensions of the model, asked of the model itself, once; they must be those it
+        was configured with."""
+        if self._size is None:
+            size = len(self.embed_query("size"))
+            if size != self.embedder.vector_size:
+                raise E.WrongVectorSize(
+                    f"The model produces {size} dimensions, configured are {self.embedder.vector_size}."
+                )
+            self._size = size
+        return self._size
+
     # -- ingest -----------------------------------------------------------
 
     def ingest(self, inputs: Iterable[str | Path]) -> DataFrame:
@@ -53,13 +67,12 @@ class Engine:
 
         Any unreadable input stops the call before anything is written.
         """
-        inputs = list(inputs)
+        paths = [files.locate(self.spark, p)[0] for p in inputs]
         self.initialize()
-        paths = [files.resolve_path(p) for p in inputs]
         documents = self.ingest_frame(files.scan_files(self.spark, paths))
         order = self.spark.createDataFrame(list(enumerate(paths)), "ordinal long, source_path string")
         report = order.join(documents, "source_path").orderBy("ordinal")
-        log.info("ingest_complete", extra={"event": "ingest_complete"})
+        log.info("ingest_complete", extra={"context": {"event": "ingest_complete"}})
         return report.select("document_id", "source_path", "source_kind", "metadata")
 
     def ingest_frame(self, source: DataFrame) -> DataFrame:
@@ -72,6 +85,15 @@ class Engine:
         staging = Staging(
             self.spark, work_dir(self.spark, f"{self.config.paths.data_dir}/work")
         )
+        try:
+            rows = self._ingest(source, staging)
+        except BaseException:
+            staging.discard()
+            raise
+        staging.discard("extracted", "known", "embedded")
+        return rows.select("document_id", "source_path", "source_kind", "metadata")
+
+    def _ingest(self, source: DataFrame, staging: Staging) -> DataFrame:
         extracted = staging.write(X.extract(source, self.pdf_reader), "extracted")
         unique = U.unique_documents(extracted)
         now = U.utc_now()
@@ -84,20 +106,17 @@ class Engine:
         embedded = staging.write(self.embedder.embed(chunked, "chunk_text"), "embedded")
         failed = E.failed_documents(embedded)
         complete = embedded
-        if not failed.isEmpty():
+        if count := failed.count():
             complete = U.delete_by_document(embedded, failed)
-            for row in failed.toLocalIterator():
-                log.warning(
-                    "embedding_failed for document %s, metadata saved",
-                    row["document_id"],
-                    extra={"event": "embedding_failed"},
-                )
+            log.warning(
+                "embedding_failed for %d documents, metadata saved",
+                count,
+                extra={"context": {"event": "embedding_failed"}},
+            )
         chunk_rows = U.chunk_rows(complete, now)
         ids = chunk_rows.select("document_id").distinct()
         self.tables.replace_chunks(chunk_rows, ids, known)
-        for name in ("extracted", "known", "embedded"):
-            staging.discard(name)
-        return rows.select("document_id", "source_path", "source_kind", "metadata")
+        return rows
 
     # -- search -----------------------------------------------------------
 
@@ -115,7 +134,7 @@ class Engine:
         """The ``limit`` chunks closest to ``query``, best first."""
         vector = self.embed_query(query)
         self.tables.migrate()
-        self.tables.ensure_collection(self.embedder.vector_size)
+        self.tables.ensure_collection(self.measured_size())
         if self.tables.chunks().isEmpty():
             raise Q.EmptyIndexError("No documents indexed yet. Run 'ingest <files>' first.")
         return self.search_vector(vector, limit)

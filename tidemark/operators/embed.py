@@ -19,13 +19,20 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import unit_rows
 
+
+
+class WrongVectorSize(ValueError):
+    """A model gives vectors of another size than it was configured with."""
+
+
 EncodeTexts = Callable[[list[str]], Sequence[Sequence[float]]]
 
 
-def _to_arrow(matrix: np.ndarray) -> pa.Array:
+def _to_arrow(matrix: np.ndarray, missing: pa.Array) -> pa.Array:
     rows, size = matrix.shape
     values = pa.array(np.ascontiguousarray(matrix, dtype=np.float32).ravel())
-    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * size), values)
+    offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * size)
+    return pa.ListArray.from_arrays(offsets, values, mask=missing)
 
 
 class HashingEmbedder:
@@ -57,7 +64,7 @@ class HashingEmbedder:
             # The lowest bit is the sign, the rest picks the dimension.
             slot = rows * size + ((hashes >> 1) % size)[word]
             sums = np.bincount(slot, weights=sign[word], minlength=len(texts) * size)
-            return _to_arrow(unit_rows(sums.reshape(len(texts), size)))
+            return _to_arrow(unit_rows(sums.reshape(len(texts), size)), texts.is_null())
 
         return df.withColumn("embedding", hashed(F.col(text)))
 
@@ -89,12 +96,14 @@ class ModelEmbedder:
             def vectors(texts: list[str]) -> list:
                 matrix = np.asarray(encode(texts), dtype=np.float64).reshape(len(texts), -1)
                 if matrix.shape[1] != size:
-                    raise ValueError(f"model produced {matrix.shape[1]} dimensions, not {size}")
+                    raise WrongVectorSize(f"model produced {matrix.shape[1]} dimensions, not {size}")
                 return list(unit_rows(matrix).astype(np.float32))
 
             def tolerant(texts: list[str]) -> list:
                 try:
                     return vectors(texts)
+                except WrongVectorSize:
+                    raise
                 except Exception:
                     if len(texts) == 1:
                         logging.getLogger(__name__).exception("embedding_failed")

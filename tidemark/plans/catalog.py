@@ -128,9 +128,10 @@ def scan_md(spark, folder):
 
 @query
 def markdown_document(spark, folder):
-    """A Markdown document built around each row, with its table and whole text."""
+    """A Markdown document built around each row: its whole text as paragraphs, once more as
+    code (which the projection drops), and a table."""
     docs = texts(spark, folder, "documents")
-    code = F.regexp_replace("text", r"(?m)^", "    ")
+    code = F.concat("text", F.lit("\n\n"), F.regexp_replace("text", r"(?m)^", "    "))
     markup = F.concat(
         F.lit("# Doc *"), "source", F.lit("*\n\n| id | lang |\n|----|------|\n| "),
         F.col("doc_id").cast("string"), F.lit(" | `"), "lang", F.lit("` |\n\n- first **"),
@@ -155,7 +156,7 @@ def mixed_sources(spark, folder):
     docs = texts(spark, folder, "documents")
     kind = F.when(F.col("lang") == "en", F.lit("txt")).when(F.col("lang") == "fr", F.lit("md"))
     markup = F.when(F.col("lang") == "en", F.col("text")).when(
-        F.col("lang") == "fr", F.concat(F.lit("# "), "source")
+        F.col("lang") == "fr", F.concat(F.lit("# "), "source", F.lit("\n\n"), "text")
     )
     escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     html = F.concat(F.lit("<div><h2>"), "source", F.lit("</h2><p>"), escaped, F.lit("</p></div>"))
@@ -178,19 +179,25 @@ def linearize_md_tables(spark, folder):
 
 @query
 def linearize_html_tables(spark, folder):
-    """Tables inside list items, where their text survives the projection."""
+    """Tables inside list items, where their text survives the projection; one cell holds the
+    whole text."""
     docs = texts(spark, folder, "documents")
+    escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     cell = [F.col("doc_id").cast("string"), F.col("lang"), F.col("source")]
     markup = F.concat(
         F.lit("<ul><li><table><tr><th>Id</th><th>Lang</th><th>Src</th></tr><tr><td>"),
         cell[0], F.lit("</td><td>"), cell[1], F.lit("</td><td> "), cell[2],
-        F.lit(" </td><td>more</td></tr></table></li><li><table><tr><td>k</td><td>v</td></tr><tr><td>"),
+        F.lit(" </td><td>"), escaped,
+        F.lit("</td></tr></table></li><li><table><tr><td>k</td><td>v</td></tr><tr><td>"),
         cell[1], F.lit("</td><td>"), cell[2], F.lit("</td></tr></table></li></ul>"),
     )
     source = files.from_table(docs, document_path(), F.lit("html"), markup)
     return XT.raw_text(source).select("source_path", "raw_text")
 
 
+# The compatibility characters of "aeiounrst" and of the blank.
+WIDE_LETTERS = "".join(chr(0xFF41 + ord(c) - ord("a")) for c in "aeiounrst") + "\xa0"
+
 # -- text functions -------------------------------------------------------------
 
 
@@ -201,7 +208,9 @@ def _documents_with(spark, folder, **columns: Column) -> DataFrame:
 
 @query
 def normalize_nfkc(spark, folder):
-    return _documents_with(spark, folder, text=X.nfkc(F.col("text")))
+    """Each text, and the text again with full-width letters and no-break blanks."""
+    wide = F.translate("text", "aeiounrst ", WIDE_LETTERS)
+    return _documents_with(spark, folder, text=X.nfkc(F.concat("text", F.lit("|"), wide)))
 
 
 @query

@@ -192,7 +192,7 @@ ORACLE: dict[str, str] = {
         SELECT 'doc://' || source || '/' || doc_id || '.txt' AS source_path,
           '# Doc' || source || chr(10) || 'id: ' || doc_id || chr(10) || 'lang: ' || lang || chr(10)
           || '- first' || n_chars || chr(10) || '- second' || chr(10) || 'quoted' || chr(10)
-          || '## Last' AS raw_text FROM documents""",
+          || trim(text) || chr(10) || '## Last' AS raw_text FROM documents""",
     "html_extract": f"""
         WITH RECURSIVE {_PAGES}
         SELECT 'page://' || page_id || '.html' AS source_path,
@@ -200,7 +200,7 @@ ORACLE: dict[str, str] = {
     "mixed_sources": _documents("""
         , k AS (SELECT doc_id, lang, source, source_path, content_hash, text,
             CASE lang WHEN 'en' THEN 'txt' WHEN 'fr' THEN 'md' ELSE 'html' END AS source_kind,
-            CASE lang WHEN 'en' THEN text WHEN 'fr' THEN '# ' || source
+            CASE lang WHEN 'en' THEN text WHEN 'fr' THEN '# ' || source || '.' || chr(10) || chr(10) || text
               ELSE '## ' || source || '.' || chr(10) || chr(10) || text END AS final
           FROM d JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id))
         SELECT source_path, source_kind, sha256(source_path || ':' || sha256(final)) AS document_id FROM k"""),
@@ -210,9 +210,9 @@ ORACLE: dict[str, str] = {
           || 'Lang: y' || chr(10) || text AS text FROM documents""",
     "linearize_html_tables": """
         SELECT 'doc://' || source || '/' || doc_id || '.txt' AS source_path,
-          '- Id: ' || doc_id || ', Lang: ' || lang || ', Src: ' || source || ', more' || chr(10)
+          '- Id: ' || doc_id || ', Lang: ' || lang || ', Src: ' || source || ', ' || trim(text) || chr(10)
           || '- ' || lang || ': ' || source AS raw_text FROM documents""",
-    "normalize_nfkc": "SELECT doc_id, nfc_normalize(text) AS text FROM documents",
+    "normalize_nfkc": "SELECT doc_id, nfc_normalize(text) || '|' || nfc_normalize(text) AS text FROM documents",
     "normalize_text": _documents("SELECT doc_id, t AS text FROM n"),
     "sentence_spacing": _documents("SELECT doc_id, text FROM f"),
     "strip_md_inline": r"""

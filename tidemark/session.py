@@ -26,9 +26,14 @@ def work_dir(spark: SparkSession, default: str | None = None) -> str:
     """The shared folder named by ``spark.checkpoint.dir``, else ``default``.
 
     Intermediate results go there so that a lost executor costs a re-read, not
-    a re-extraction. Every executor must reach it.
+    a re-extraction. Every executor must reach it, so a default on the driver's
+    own disk is only taken by a local session.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or default
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and default:
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        scheme = default.split(":", 1)[0] if ":" in default else "file"
+        folder = default if local or scheme != "file" else None
     if not folder:
         raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach.")
     return folder.rstrip("/")
@@ -50,9 +55,11 @@ class Staging:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def discard(self, name: str) -> None:
-        fs, target = file_system(self.spark, f"{self.root}/{name}")
-        fs.delete(target, True)
+    def discard(self, *names: str) -> None:
+        """Remove results by name, or all of them."""
+        for name in names or ("",):
+            fs, target = file_system(self.spark, f"{self.root}/{name}".rstrip("/"))
+            fs.delete(target, True)
 
 
 def file_system(spark: SparkSession, path: str):

@@ -6,6 +6,7 @@ Every source yields ``source_path, source_kind, content, byte_size`` where
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -14,24 +15,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import paths as P
+from tidemark.session import file_system
+
+
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]+:")
+
+
+def local_path(path: str | Path) -> str:
+    """``file:`` URIs as the path they name; anything else unchanged."""
+    return re.sub(r"\A(?i:file):/+", "/", str(path))
 
 
 def is_uri(path: str) -> bool:
-    return "://" in path
+    """Does the path name a file system other than the local one?"""
+    return bool(_SCHEME.match(local_path(path)))
 
 
 def resolve_path(path: str | Path) -> str:
     """Absolute path of a local file, or the URI as given.
 
     Local paths must be existing files with an accepted suffix. A URI is
-    checked by the file system that serves it when Spark lists it.
+    checked by the file system that serves it (``locate``).
     """
-    text = str(path)
+    text = local_path(path)
     if is_uri(text):
         if Path(text).suffix.lower() not in P.KIND_BY_SUFFIX:
             raise ValueError(P.unsupported_message(text))
-        if Path(text).name[0] in "._":
-            raise ValueError(f"Spark does not list files whose name starts with . or _: {text}")
         return text
     resolved = Path(text).expanduser().resolve()
     if not resolved.exists():
@@ -43,6 +52,26 @@ def resolve_path(path: str | Path) -> str:
     return str(resolved)
 
 
+def locate(spark: SparkSession, path: str | Path) -> tuple[str, int]:
+    """The path under which a scan lists the file, and its size in bytes.
+
+    For a URI both come from its file system, which also says if it is missing.
+    """
+    resolved = resolve_path(path)
+    if not is_uri(resolved):
+        return resolved, Path(resolved).stat().st_size
+    fs, target = file_system(spark, resolved)
+    if not fs.exists(target):
+        raise FileNotFoundError(f"File not found: {resolved}")
+    status = fs.getFileStatus(target)
+    if status.isDirectory():
+        raise ValueError(f"Path is not a file: {resolved}")
+    found = status.getPath().toString()
+    if status.getLen() and Path(found).name[0] in "._":
+        raise ValueError(f"Spark does not list files whose name starts with . or _: {found}")
+    return local_path(found), status.getLen()
+
+
 def plain_path(uri: Column) -> Column:
     """``file:/a/b`` as ``/a/b``; any other scheme unchanged."""
     return F.regexp_replace(uri, r"\Afile:/+", "/")
@@ -66,31 +95,23 @@ def glob_literal(path: str) -> str:
     return "".join("\\" + ch if ch in "\\{}[]*?" else ch for ch in path)
 
 
-def _skipped_by_listing(path: str) -> bool:
-    """The binary source passes over empty files and names like ``.x`` or ``_x``."""
-    return Path(path).name[0] in "._" or Path(path).stat().st_size == 0
-
-
 def scan_files(spark: SparkSession, paths: Iterable[str | Path]) -> DataFrame:
     """Binary scan of the given files, each once."""
-    resolved = list(dict.fromkeys(resolve_path(p) for p in paths))
-    if not resolved:
+    located = dict(locate(spark, p) for p in paths)
+    if not located:
         raise ValueError("No input files.")
-    uris = [p for p in resolved if is_uri(p)]
-    direct = [p for p in resolved if not is_uri(p) and _skipped_by_listing(p)]
-    rest = set(resolved) - set(direct)
-    listed = [p for p in resolved if p in rest]
+    # The binary source passes over empty files and names like ``.x`` or ``_x``.
+    empty = [p for p, size in located.items() if not size]
+    direct = [p for p, size in located.items() if size and Path(p).name[0] in "._"]
+    passed_over = {*empty, *direct}
+    listed = [p for p in located if p not in passed_over]
     scans = []
     if listed:
         scans.append(scan_folder(spark, *map(glob_literal, listed)).drop("source_kind"))
-    if uris:
-        # A listed object that the scan does not return is empty: a missing one
-        # would have failed. Only paths are compared, no content is read.
-        names = spark.createDataFrame([(p,) for p in uris], "source_path string")
-        empty = names.join(scans[0].select("source_path"), "source_path", "left_anti")
-        scans.append(
-            empty.select("source_path", F.lit(b"").alias("content"), F.lit(0).cast("long").alias("byte_size"))
-        )
+    if empty:
+        names = spark.createDataFrame([(p,) for p in empty], "source_path string")
+        nothing = F.lit(b"").alias("content"), F.lit(0).cast("long").alias("byte_size")
+        scans.append(names.select("source_path", *nothing))
     if direct:
         names = spark.createDataFrame([(p,) for p in direct], "source_path string")
         scans.append(
