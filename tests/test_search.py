@@ -53,6 +53,18 @@ def test_one_hot(spark):
     assert hit.asDict().keys() == set(Q.SEARCH_RESULT)
 
 
+def test_ranking_scan_reads_no_payload(spark, tmp_path):
+    rows = [(f"p{i}", f"d{i % 3}", "s", f"text {i}", i, [float(i), 1.0]) for i in range(9)]
+    names = "point_id string, document_id string, source_path string, chunk_text string, chunk_index int, embedding array<float>"
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "points"))
+    points = spark.read.parquet(str(tmp_path / "points"))
+    ranked = Q.top_k(points.select("point_id", "document_id", "embedding"), [1.0, 0.0], 2)
+    assert "chunk_text" not in ranked._jdf.queryExecution().executedPlan().toString()
+    hits = Q.search_points(points, [1.0, 0.0], 3).collect()
+    assert [h.chunk_text for h in hits] == ["text 8", "text 7", "text 6"]
+    assert Q.search_points(points.limit(0), [1.0, 0.0], 3).collect() == []
+
+
 def test_top_k_is_exact_and_ties_go_to_the_smaller_key(spark, vectors):
     points, queries = vectors
     for q in queries[:4]:

@@ -128,7 +128,7 @@ class Engine:
         return vector
 
     def search_vector(self, query: list[float], limit: int = Q.DEFAULT_TOP_K) -> DataFrame:
-        return Q.search_points(self.tables.chunks(), query, limit)
+        return Q.search_points(self.tables.chunks(), query, limit, self.tables.chunks_of)
 
     def search(self, query: str, limit: int = Q.DEFAULT_TOP_K) -> DataFrame:
         """The ``limit`` chunks closest to ``query``, best first."""

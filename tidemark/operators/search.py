@@ -7,7 +7,7 @@ and task before anything moves.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +47,25 @@ def top_k(points: DataFrame, query: Sequence[float], k: int = DEFAULT_TOP_K, key
     return ranked.orderBy(rank_key(), F.col(key)).limit(k)
 
 
-def search_points(points: DataFrame, query: Sequence[float], k: int = DEFAULT_TOP_K) -> DataFrame:
-    """Search the stored chunks; the columns of a search hit."""
-    return top_k(points, query, k).select(*SEARCH_RESULT)
+def search_points(
+    points: DataFrame,
+    query: Sequence[float],
+    k: int = DEFAULT_TOP_K,
+    stored: Callable[[list[str]], DataFrame] | None = None,
+) -> DataFrame:
+    """Search the stored chunks; the columns of a search hit, best first.
+
+    Only ids and vectors are scanned for the ranking. The k hits, by then known, are looked up
+    by document, with ``stored(document ids)`` where the caller can find rows by id.
+    """
+    ranked = top_k(points.select("point_id", "document_id", "embedding"), query, k)
+    best = [(place, *row) for place, row in enumerate(ranked.collect())]
+    kinds = "place int, point_id string, document_id string, score double"
+    hits = points.sparkSession.createDataFrame(best, kinds)
+    documents = sorted({row[2] for row in best})
+    rows = stored(documents) if stored else points.where(F.col("document_id").isin(documents))
+    found = rows.drop("embedding").join(F.broadcast(hits), ["point_id", "document_id"])
+    return found.orderBy("place").select(*SEARCH_RESULT)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

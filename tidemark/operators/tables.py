@@ -91,6 +91,12 @@ class IndexTables:
     def chunks(self) -> DataFrame:
         return self._read("chunks").drop("bucket")
 
+    def chunks_of(self, document_ids: list[str]) -> DataFrame:
+        """Chunks of a few documents: their partitions, then row groups by min / max."""
+        buckets = sorted({i[: self.hex_digits] for i in document_ids})
+        stored = self._read("chunks", buckets).where(F.col("bucket").isin(buckets))
+        return stored.where(F.col("document_id").isin(document_ids)).drop("bucket")
+
     def collections(self) -> DataFrame:
         return self._read("collections")
 
