@@ -39,7 +39,7 @@ RUNS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 BOUNDARY = re.compile(f"[^{SPACE}][{SPACE}]")
 SLICE = 1 << 20
 NEVER = 1 << 31
-KEPT_RUNS, KEPT_LENGTH = 1 << 20, 64
+KEPT_RUNS, KEPT_LENGTH = 1 << 18, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -126,6 +126,11 @@ class Runs(dict):
             self[run] = ids
         return ids
 
+    def release(self) -> None:
+        """Forget what was looked up, so that an idle worker holds little memory."""
+        self.clear()
+        self.fragments.clear()
+
     def encode(self, run: str) -> list[int]:
         ids: list[int] = []
         special = self.vocabulary.special
@@ -180,6 +185,24 @@ def token_lists(texts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
 
 
+class Tokens:
+    """Bytes of ids, looked up for many ids at once."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.lengths = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.letters = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def text(self, ids: np.ndarray) -> str:
+        raw = []
+        for at in range(0, len(ids), SLICE):
+            part = ids[at : at + SLICE]
+            size = self.lengths[part]
+            place = np.repeat(self.starts[part] - np.cumsum(size) + size, size)
+            raw.append(self.letters[place + np.arange(len(place))].tobytes())
+        return b"".join(raw).decode("utf-8", "replace")
+
+
 class Codec:
     """Encoder and decoder columns for one tokenizer file, which is read on the driver."""
 
@@ -197,6 +220,7 @@ class Codec:
             runs = load(file.value)
             for batch in batches:
                 yield token_lists([runs.text(t.as_py() or "") for t in batch])
+            runs.release()
 
         return df.withColumn(ids, run(F.col(text)))
 
@@ -206,21 +230,29 @@ class Codec:
 
         @F.arrow_udf("string")
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            tokens = load(file.value).vocabulary.bytes
-            lengths = np.array([len(t) for t in tokens], np.int64)
-            starts = np.cumsum(lengths) - lengths
-            letters = np.frombuffer(b"".join(tokens), np.uint8)
+            tokens = Tokens(load(file.value).vocabulary.bytes)
             for batch in batches:
-                out = []
-                for row in batch:
-                    flat = np.asarray(row.values) if row.is_valid else np.zeros(0, np.int32)
-                    raw = []
-                    for at in range(0, len(flat), SLICE):
-                        part = flat[at : at + SLICE]
-                        size = lengths[part]
-                        place = np.repeat(starts[part] - np.cumsum(size) + size, size)
-                        raw.append(letters[place + np.arange(len(place))].tobytes())
-                    out.append(b"".join(raw).decode("utf-8", "replace"))
-                yield pa.array(out, pa.string())
+                rows = (np.asarray(r.values) if r.is_valid else np.zeros(0, np.int32) for r in batch)
+                yield pa.array([tokens.text(r) for r in rows], pa.string())
 
         return df.withColumn(text, run(F.col(ids)))
+
+    def round_trip(self, df: DataFrame, text: str = "text") -> DataFrame:
+        """Add ``ids`` and ``decoded``, the text of those ids, in one pass through Python."""
+        file = self.file
+
+        @F.arrow_udf("ids array<int>, decoded string")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            runs = load(file.value)
+            tokens = Tokens(runs.vocabulary.bytes)
+            for batch in batches:
+                packed = [runs.text(t.as_py() or "") for t in batch]
+                decoded = [tokens.text(np.frombuffer(p, "<i4")) for p in packed]
+                yield pa.StructArray.from_arrays(
+                    [token_lists(packed), pa.array(decoded, pa.string())], ["ids", "decoded"]
+                )
+            runs.release()
+
+        rest = [F.col(f"`{c}`") for c in df.columns if c not in ("ids", "decoded", "_both")]
+        found = df.select(*rest, run(F.col(text)).alias("_both"))
+        return found.select(*rest, "_both.ids", "_both.decoded")

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ from tidemark.llm.staging import ship
 
 DIMENSIONS = 1024
 SLICE = 1 << 20
-ROWS = 256
+ROWS, GRAMS = 256, 4096
 UNKNOWN = "und"
 BLANK = 32
 MAX_LANGUAGES = 10_000
@@ -94,25 +94,34 @@ def bundle(texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     if not sum(len(k) for k, _ in texts):
         return np.zeros((len(texts), DIMENSIONS), np.float32)
     grams, at = np.unique(np.concatenate([k for k, _ in texts]), return_inverse=True)
-    counts = np.zeros((len(texts), len(grams)), np.float32)
     rows = np.repeat(np.arange(len(texts)), [len(k) for k, _ in texts])
-    counts[rows, at.reshape(-1)] = np.concatenate([n for _, n in texts])
-    return counts @ bind(grams).astype(np.float32)
+    numbers, out = np.concatenate([n for _, n in texts]), np.zeros((len(texts), DIMENSIONS), np.float32)
+    for start in range(0, len(grams), GRAMS):
+        here = (at >= start) & (at < start + GRAMS)
+        part = grams[start : start + GRAMS]
+        counts = np.zeros((len(texts), len(part)), np.float32)
+        counts[rows[here], at[here] - start] = numbers[here]
+        out += counts @ bind(part).astype(np.float32)
+    return out
 
 
-def _sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task and language, the sum of all its texts' vectors."""
     total: dict[str, np.ndarray] = {}
-    for frame in frames:
-        for lang, texts in frame.groupby("lang")["text"]:
-            for start in range(0, len(texts), ROWS):
-                grams, counts = merge([sequences(t) for t in texts[start : start + ROWS]])
-                if len(grams):
-                    own = total.setdefault(lang, np.zeros(DIMENSIONS))
-                    for k in range(0, len(grams), 4096):
-                        own += counts[k : k + 4096].astype(float) @ bind(grams[k : k + 4096])
-    for lang, vector in total.items():
-        yield pd.DataFrame({"lang": lang, "vector": [vector]})
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            texts: dict[str, list] = {}
+            for lang, text in zip(*(c.to_pylist() for c in batch.slice(at, ROWS).columns)):
+                texts.setdefault(lang, []).append(sequences(text))
+            for lang, found in texts.items():
+                grams, counts = merge(found)
+                own = total.setdefault(lang, np.zeros(DIMENSIONS))
+                for k in range(0, len(grams), GRAMS):
+                    own += counts[k : k + GRAMS].astype(float) @ bind(grams[k : k + GRAMS])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))],
+        ["lang", "vector"],
+    )
 
 
 def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
@@ -120,7 +129,7 @@ def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
     ship(labelled.sparkSession)
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
     sums = (
-        rows.mapInPandas(_sums, "lang string, vector array<double>")
+        rows.mapInArrow(_sums, "lang string, vector array<double>")
         .select("lang", F.posexplode("vector").alias("place", "value"))
         .groupBy("lang", "place")
         .agg(F.sum("value").alias("value"))
@@ -140,22 +149,23 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
     names = list(prototypes)
     matrix = np.array(list(prototypes.values()), np.float32).reshape(len(names), DIMENSIONS)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = [pd.DataFrame({"lang_pred": pd.Series([], dtype=object), "score": np.zeros(0)})]
+            picked, scores = [], []
             for start in range(0, len(batch), ROWS):
-                texts = [sequences(t or "") for t in batch[start : start + ROWS]]
+                texts = [sequences(t or "") for t in batch.slice(start, ROWS).to_pylist()]
                 vectors = bundle(texts)
                 length = np.linalg.norm(vectors, axis=1)
                 cosines = vectors @ matrix.T / np.where(length > 0, length, 1)[:, None]
-                known = np.array([len(k) > 0 for k, _ in texts]) & bool(names)
-                best = cosines.argmax(1) if names else np.zeros(len(texts), int)
-                score = cosines.max(1, initial=0.0).astype(float)
-                picked = [names[b] if k else UNKNOWN for b, k in zip(best, known)]
-                scores = np.where(known, np.clip(score, 0.0, 1.0), 0.0)
-                out.append(pd.DataFrame({"lang_pred": picked, "score": scores}))
-            yield pd.concat(out, ignore_index=True)
+                known = [bool(names) and len(k) > 0 for k, _ in texts]
+                best = cosines.argmax(1) if names else [0] * len(texts)
+                picked += [names[b] if k else UNKNOWN for b, k in zip(best, known)]
+                top = np.clip(cosines.max(1, initial=0.0), 0.0, 1.0).astype(float)
+                scores += np.where(known, top, 0.0).tolist()
+            yield pa.StructArray.from_arrays(
+                [pa.array(picked, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"]
+            )
 
     rest = [c for c in df.columns if c not in ("lang_pred", "score", "_label")]
     return df.select(*(F.col(f"`{c}`") for c in rest), label(F.col(text)).alias("_label")).select(

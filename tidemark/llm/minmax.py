@@ -30,7 +30,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,15 +115,15 @@ def full_sets(df: DataFrame, k: int) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, set_key binary, shingles binary")
 
 
-@F.pandas_udf(LongType())
-def common(left: pd.Series, right: pd.Series) -> pd.Series:
+@F.arrow_udf(LongType())
+def common(left: pa.Array, right: pa.Array) -> pa.Array:
     """Size of the intersection of two sets of sorted 64-bit values."""
 
-    def count(a: bytes, b: bytes) -> int:
-        x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
+    def count(a: pa.Scalar, b: pa.Scalar) -> int:
+        x, y = np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)
         return len(np.intersect1d(x, y, assume_unique=True))
 
-    return pd.Series([count(a, b) for a, b in zip(left, right)], dtype="int64")
+    return pa.array([count(a, b) for a, b in zip(left, right)], pa.int64())
 
 
 def _may_link(least: int) -> Column:

@@ -54,7 +54,7 @@ def op7_minmax(spark, folder):
 
 def token_digests(codec, docs):
     """Count and digest of each text's ids, and digest of what they decode to."""
-    both = codec.decode(codec.encode(docs.select("doc_id", "text")))
+    both = codec.round_trip(docs.select("doc_id", "text"))
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

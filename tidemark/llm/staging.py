@@ -14,9 +14,15 @@ from tidemark.session import file_system
 PACKAGE = Path(__file__).resolve().parent.parent
 
 
+BATCH_BYTES = 16 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session, so that they need no copy of it."""
+    """Send this package to the executors, once a session, so that they need no copy of it,
+    and bound what a batch of rows takes in a Python worker and on its way there."""
     context = spark.sparkContext
+    spark.conf.set(BATCH_CONF, BATCH_BYTES)
     if getattr(context, "_tidemark_shipped", False):
         return
     target = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
