@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ RUNS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 BOUNDARY = re.compile(f"[^{SPACE}][{SPACE}]")
 SLICE = 1 << 20
 NEVER = 1 << 31
-KEPT_RUNS, KEPT_LENGTH = 1 << 18, 64
+KEPT_RUNS, KEPT_FRAGMENTS, KEPT_LENGTH = 1 << 19, 1 << 17, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -82,17 +83,16 @@ class Vocabulary:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[vocab[left], vocab[right]] = rank
             self.made.append(vocab[left + right])
-        self.joined = {token[i : i + 2] for token in self.bytes for i in range(len(token) - 1)}
+        self.forced = bytearray(b"\1" * (1 << 16))
+        for token in self.bytes:
+            for left, right in zip(token, token[1:]):
+                self.forced[left << 8 | right] = 0
 
     def cut(self, data: bytes) -> list[bytes]:
         """Fragments of ``data`` between its forced boundaries."""
-        out, start = [], 0
-        for i in range(1, len(data)):
-            if data[i - 1 : i + 1] not in self.joined:
-                out.append(data[start:i])
-                start = i
-        out.append(data[start:])
-        return out
+        forced = self.forced
+        cuts = [i for i, (a, b) in enumerate(zip(data, data[1:]), 1) if forced[a << 8 | b]]
+        return [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])] if cuts else [data]
 
     def merge(self, fragment: bytes) -> list[int]:
         """Ids of one fragment: the earliest merge first, leftmost first."""
@@ -119,7 +119,7 @@ class Runs(dict):
         self.split = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
     def __missing__(self, run: str) -> bytes:
-        ids = np.array(self.encode(run), "<u4").tobytes()
+        ids = array("I", self.encode(run)).tobytes()
         if len(run) <= KEPT_LENGTH:
             if len(self) >= KEPT_RUNS:
                 self.clear()
@@ -148,7 +148,7 @@ class Runs(dict):
         if found is None:
             found = self.vocabulary.merge(fragment)
             if len(fragment) <= KEPT_LENGTH:
-                if len(self.fragments) >= KEPT_RUNS:
+                if len(self.fragments) >= KEPT_FRAGMENTS:
                     self.fragments.clear()
                 self.fragments[fragment] = found
         return found
