@@ -77,6 +77,33 @@ def test_licences_equal_sql(frame, odd_rows):
     assert found[20] == "LicenseRef-all-rights-reserved" and found[21] == "MIT,CC-BY-4.0"
 
 
+GPL = (
+    "This program is free software{} you can redistribute it and/or modify\nit under the terms of the GNU General "
+    "Public License as published by\nthe Free Software Foundation{} either version {} of the License, or\n(at your "
+    "option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY "
+    "WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n"
+    "GNU General Public License for more details.\n"
+)
+MPL = (
+    "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL "
+    "was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\n"
+)
+
+
+def found_licences(frame, texts):
+    rows = licences.scan(frame(list(enumerate(texts)))).collect()
+    return [r.licences for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_known_sentences_with_marks_inside(frame):
+    """Notices in their official punctuation, wrapped and on one line."""
+    texts = {f"# SPDX-License-Identifier: {licence}\n\nimport os\n": licence for licence in licences.NAMES}
+    texts |= {GPL.format(":", ",", 3): "GPL-3.0", GPL.format(";", ";", 2): "GPL-2.0", MPL: "MPL-2.0"}
+    texts |= {t.replace("\n", " "): name for t, name in texts.items() if "SPDX" not in t}
+    texts |= {"SPDX-License-Identifier: Other. MIT. ": "", "SPDX-License-Identifier:": ""}
+    assert found_licences(frame, texts) == list(texts.values())
+
+
 def test_every_known_sentence_has_a_hint(spark):
     known = spark.createDataFrame([(s,) for s in licences.known_sentences()], "s string")
     assert known.where(~F.col("s").rlike(licences.hints())).isEmpty()

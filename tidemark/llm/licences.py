@@ -2,8 +2,9 @@
 
 Texts are cut into sentences, sentences are normalised (lower case, one blank between runs of
 letters and digits, one spelling of "license") and looked up among the known ones, which gives
-each text a sequence of sentence identifiers. A rule names identifiers that have to occur in
-that order; a rule may cover others, which are then not reported beside it. Sentences are read
+each text a sequence of sentence identifiers. Known sentences with an end mark inside come out of
+the cut as several pieces, so pieces that begin one are also looked up joined with those after
+them. A rule names identifiers that have to occur in that order. Sentences are read
 twice, with a line break as an end and with it as a blank, as notices are often wrapped.
 
 All of it is one projection of built-in functions over the row's own text. Texts without any
@@ -106,6 +107,14 @@ HINTS = (
 GAP = r"[^\p{L}\p{N}]+"
 BLANK = r"[ \t-\r]+"
 END = f"([.!?:;]){BLANK}"
+# What the cut leaves of a known sentence up to the first mark inside it, and the most pieces of one.
+HEADS = (
+    "spdx license identifier",
+    "this program is free software",
+    "this program is distributed in the hope that it will be useful but without any warranty",
+    "this source code form is subject to the terms of the mozilla public license v",
+)
+PIECES = 3
 
 
 def known_sentences() -> dict[str, str]:
@@ -145,13 +154,23 @@ def pattern(identifiers: tuple[str, ...]) -> str:
 
 def identifiers(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in their order, joined by blanks."""
-    pairs = [F.lit(x) for pair in known_sentences().items() for x in pair]
-    known = F.create_map(*pairs)
+    names = known_sentences()
+    known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
     ended = F.split(F.regexp_replace(text, END, "$1\n"), "\n")
     plain = F.transform(ended, lambda s: F.trim(F.regexp_replace(F.lower(s), GAP, " ")))
     plain = F.transform(plain, lambda s: F.regexp_replace(s, "licence", "license"))
-    found = F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
-    return F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" "))
+    plain = F.filter(plain, lambda s: s != "")
+
+    def look_up(s: Column) -> Column:
+        return F.when(s.isin(*names), F.try_element_at(known, s))
+
+    def joined(pieces: Column, s: Column, i: Column) -> Column:
+        runs = [look_up(F.array_join(F.slice(pieces, i + 1, n), " ")) for n in range(2, PIECES + 1)]
+        return F.coalesce(look_up(s), F.when(s.isin(*HEADS), F.coalesce(*runs)))
+
+    # The outer transform keeps the pieces, so that they are not cut again for each of them.
+    found = F.transform(F.array(plain), lambda pieces: F.transform(pieces, lambda s, i: joined(pieces, s, i)))[0]
+    return F.concat(F.lit(" "), F.array_join(F.array_compact(found), " "), F.lit(" "))
 
 
 def scan(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
