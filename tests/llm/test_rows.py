@@ -104,6 +104,51 @@ def test_known_sentences_with_marks_inside(frame):
     assert found_licences(frame, texts) == list(texts.values())
 
 
+MIT = (
+    "MIT License\n\nCopyright (c) 2020 Jo Doe\n\nPermission is hereby granted, free of charge, to any person obtaining "
+    "a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without "
+    "restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, "
+    "sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do "
+    "so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be "
+    "included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\".\n"
+)
+ISC = (
+    "ISC License\n\nCopyright (c) 2020, Jo Doe\n{}Permission to use, copy, modify, and/or distribute this software for "
+    "any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission "
+    "notice appear in all copies.\n"
+)
+BSD2 = (
+    "Copyright (c) 2020, Jo Doe\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or "
+    "without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source "
+    "code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. "
+    "Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the "
+    "following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n"
+)
+BSD3 = BSD2 + (
+    "3. Neither the name of {} nor the names of its\n   contributors may be used to endorse or promote products derived "
+    "from\n   this software without specific prior written permission.\n\n"
+)
+EPL = (
+    "/*\n * Copyright (c) 2020 Jo Doe\n *\n * This program and the accompanying materials are made\n * available under the "
+    "terms of the Eclipse Public License 2.0\n * which is available at https://www.eclipse.org/legal/epl-2.0/\n *\n */\n"
+)
+
+
+def test_standard_licence_files(frame):
+    lesser = GPL.replace("GNU General", "GNU Lesser General")
+    library = lesser.replace("This program", "This library")
+    texts = {
+        MIT: "MIT", MIT.replace("\n", "\r\n"): "MIT", ISC.format("\n"): "ISC", ISC.format(""): "ISC",
+        BSD2: "BSD-2-Clause", BSD3.format("the copyright holder"): "BSD-3-Clause",
+        BSD3.format("Google Inc."): "BSD-3-Clause", BSD3.format("Jo's Project"): "BSD-3-Clause",
+        BSD3.format("the copyright holder") + BSD2: "BSD-3-Clause,BSD-2-Clause",
+        BSD2 + BSD3.format("the copyright holder"): "BSD-3-Clause,BSD-2-Clause",
+        library.format(";", ";", "2.1"): "LGPL-2.1", lesser.format(":", ",", "3"): "LGPL-3.0",
+        GPL.replace("GNU General", "GNU Affero General").format(":", ",", "3"): "AGPL-3.0", EPL: "EPL-2.0",
+    }
+    assert found_licences(frame, texts) == list(texts.values())
+
+
 def test_every_known_sentence_has_a_hint(spark):
     known = spark.createDataFrame([(s,) for s in licences.known_sentences()], "s string")
     assert known.where(~F.col("s").rlike(licences.hints())).isEmpty()

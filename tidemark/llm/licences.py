@@ -4,8 +4,10 @@ Texts are cut into sentences, sentences are normalised (lower case, one blank be
 letters and digits, one spelling of "license") and looked up among the known ones, which gives
 each text a sequence of sentence identifiers. Known sentences with an end mark inside come out of
 the cut as several pieces, so pieces that begin one are also looked up joined with those after
-them. A rule names identifiers that have to occur in that order. Sentences are read
-twice, with a line break as an end and with it as a blank, as notices are often wrapped.
+them. A rule names identifiers that have to occur in that order; a rule may cover others, which
+are then not reported for the same passage. Sentences are read three times, with a line break as
+an end, with it as a blank, as notices are often wrapped, and with only blank lines and lines of
+copyright as ends, as titles and owners have no full stop.
 
 All of it is one projection of built-in functions over the row's own text. Texts without any
 of the ``HINTS``, one of which every known sentence contains, are not cut at all.
@@ -83,6 +85,8 @@ SENTENCES = {
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of "
     "conditions and the following disclaimer in the documentation and or other materials provided with the "
     "distribution",
+    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to "
+    "endorse or promote products derived from this software without specific prior written permission",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without "
     "fee is hereby granted provided that the above copyright notice and this permission notice appear in all "
     "copies",
@@ -96,9 +100,42 @@ SENTENCES = {
     "at your option any later version",
     "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty "
     "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl-free": "this library is free software you can redistribute it and or modify it under the terms of the "
+    "gnu lesser general public license as published by the free software foundation either version 3 of the license "
+    "or at your option any later version",
+    "lgpl21-free": "this library is free software you can redistribute it and or modify it under the terms of the "
+    "gnu lesser general public license as published by the free software foundation either version 2 1 of the "
+    "license or at your option any later version",
+    "lgpl-warranty": "this library is distributed in the hope that it will be useful but without any warranty "
+    "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "agpl-free": "this program is free software you can redistribute it and or modify it under the terms of the "
+    "gnu affero general public license as published by the free software foundation either version 3 of the license "
+    "or at your option any later version",
+    "epl-terms": "this program and the accompanying materials are made available under the terms of the eclipse "
+    "public license 2 0 which is available at https www eclipse org legal epl 2 0",
     "mpl-form": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
+# Other wordings of them. Owners' names in the third clause of BSD are taken out.
+WORDINGS = (
+    ("mit-notice", "the above copyright notice and this permission notice including the next paragraph shall be "
+     "included in all copies or substantial portions of the software"),
+    ("bsd-endorse", "nor the names of its contributors may be used to endorse or promote products derived from this "
+     "software without specific prior written permission"),
+    ("bsd-endorse", "the name of the author may not be used to endorse or promote products derived from this "
+     "software without specific prior written permission"),
+    ("isc-grant", "permission to use copy modify and distribute this software for any purpose with or without fee "
+     "is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    *(("lgpl21-free" if " 2 1 " in text else "lgpl-free", text.replace("this library", "this program"))
+      for name, text in SENTENCES.items() if name in ("lgpl-free", "lgpl21-free")),
+    ("epl-terms", "this program and the accompanying materials are made available under the terms of the eclipse "
+     "public license v2 0 which accompanies this distribution and is available at https www eclipse org legal epl "
+     "v20 html"),
+    ("epl-terms", "this program and the accompanying materials are made available under the terms of the eclipse "
+     "public license v 2 0 which is available at https www eclipse org legal epl 2 0"),
+    ("epl-terms", "this program and the accompanying materials are made available under the terms of the eclipse "
+     "public license 2 0 which is available at http www eclipse org legal epl 2 0"),
+)
 # Each known sentence has one of these.
 HINTS = (
     "licen[cs]e", "released under", "distributed under", "available under", "published under",
@@ -111,15 +148,23 @@ END = f"([.!?:;]){BLANK}"
 HEADS = (
     "spdx license identifier",
     "this program is free software",
+    "this library is free software",
     "this program is distributed in the hope that it will be useful but without any warranty",
+    "this library is distributed in the hope that it will be useful but without any warranty",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v",
     "this source code form is subject to the terms of the mozilla public license v",
 )
 PIECES = 3
+OWNERS = "^neither the names? of .+ nor the names of "
+# A line of copyright, and lines without a letter or digit, once line breaks are line feeds.
+COPYRIGHT_LINE = r"(?im)^([^\p{L}\p{N}\n]*copyright[ \t]+(?:\(c\)|©|[0-9])[^\n]*)\n"
+BLANK_LINES = r"\n[^\p{L}\p{N}]*\n"
 
 
 def known_sentences() -> dict[str, str]:
     """Normalised sentence to identifier."""
     out = {text.replace("licence", "license"): name for name, text in SENTENCES.items()}
+    out |= {text: name for name, text in WORDINGS}
     for licence, names in NAMES.items():
         for name in names:
             for template in TEMPLATES:
@@ -132,15 +177,22 @@ def known_sentences() -> dict[str, str]:
 RULES = (
     ("Apache-2.0", ("apache-compliance", "apache-copy"), False),
     ("MIT", ("mit-grant", "mit-notice"), False),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"), False),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary"), False),
     ("ISC", ("isc-grant",), False),
     ("GPL-3.0", ("gpl-free", "gpl-warranty"), False),
     ("GPL-2.0", ("gpl2-free", "gpl-warranty"), False),
+    ("LGPL-3.0", ("lgpl-free", "(lgpl|gpl)-warranty"), False),
+    ("LGPL-2.1", ("lgpl21-free", "(lgpl|gpl)-warranty"), False),
+    ("AGPL-3.0", ("agpl-free", "gpl-warranty"), False),
+    ("EPL-2.0", ("epl-terms",), False),
     ("MPL-2.0", ("mpl-form",), False),
     ("Unlicense", ("unlicense",), False),
     *((licence, (f"by-{licence}",), False) for licence in NAMES),
     ("LicenseRef-all-rights-reserved", ("reserved",), True),
 )
+# Identifiers of a rule, and those of a rule that starts alike and covers it.
+COVERED = {("bsd-grant", "bsd-source", "bsd-binary"): ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")}
 
 
 def hints() -> str:
@@ -159,6 +211,7 @@ def identifiers(text: Column) -> Column:
     ended = F.split(F.regexp_replace(text, END, "$1\n"), "\n")
     plain = F.transform(ended, lambda s: F.trim(F.regexp_replace(F.lower(s), GAP, " ")))
     plain = F.transform(plain, lambda s: F.regexp_replace(s, "licence", "license"))
+    plain = F.transform(plain, lambda s: F.regexp_replace(s, OWNERS, "nor the names of "))
     plain = F.filter(plain, lambda s: s != "")
 
     def look_up(s: Column) -> Column:
@@ -173,16 +226,34 @@ def identifiers(text: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(F.array_compact(found), " "), F.lit(" "))
 
 
+def paragraphs(text: Column) -> Column:
+    """The text with line breaks only after lines of copyright and for blank lines."""
+    lines = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), COPYRIGHT_LINE, "$1\n\n")
+    return F.translate(F.regexp_replace(lines, BLANK_LINES, "\r"), "\r\n", "\n ")
+
+
 def scan(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """Add ``sentences`` (identifiers joined by blanks) and ``licences`` (joined by commas)."""
     rest = [F.col(f"`{c}`") for c in df.columns if c not in ("sentences", "licences", "_ids")]
     whole = F.col(text)
-    both = F.array(identifiers(whole), identifiers(F.translate(whole, "\r\n", "  ")))
-    ids = F.when(whole.rlike(hints()), both).otherwise(F.array(F.lit("  "), F.lit("  ")))
+    readings = F.array(whole, F.translate(whole, "\r\n", "  "), paragraphs(whole))
+    ids = F.when(whole.rlike(hints()), F.transform(readings, identifiers)).otherwise(F.array(*[F.lit("  ")] * 3))
     found = df.select(*rest, ids.alias("_ids"))
 
     def occurs(names: tuple[str, ...]) -> Column:
-        return F.exists("_ids", lambda s: s.rlike(pattern(names)))
+        found = F.exists("_ids", lambda s: s.rlike(pattern(names)))
+        if names not in COVERED:
+            return found
+        covering = pattern(COVERED[names])
+
+        def alone(ids: Column) -> Column:
+            """Whether one of the passages, each from the first identifier on, is not covered."""
+            passages = F.split(ids, f"(?= {names[0]} )")
+            passages = F.transform(passages, lambda s: F.concat(s, F.lit(" ")))
+            return F.exists(passages, lambda s: s.rlike(pattern(names)) & ~s.rlike(covering))
+
+        covered = F.exists("_ids", lambda s: s.rlike(covering))
+        return found & (~covered | F.exists("_ids", lambda s: s.rlike(covering) & alone(s)))
 
     def matched(fallback: bool) -> Column:
         tests = [F.when(occurs(names), licence) for licence, names, last in rules if last == fallback]
@@ -191,9 +262,10 @@ def scan(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     first = matched(False)
     found = found.select(*rest, "_ids", first.alias("_first"))
     licences = F.when(F.size("_first") > 0, F.col("_first")).otherwise(matched(True))
-    longer = F.when(F.length(F.col("_ids")[0]) >= F.length(F.col("_ids")[1]), F.col("_ids")[0])
+    size = F.transform("_ids", F.length)
+    longest = F.get("_ids", F.array_position(size, F.array_max(size)) - 1)
     return found.select(
         *rest,
-        F.trim(longer.otherwise(F.col("_ids")[1])).alias("sentences"),
+        F.trim(longest).alias("sentences"),
         F.array_join(licences, ",").alias("licences"),
     )
