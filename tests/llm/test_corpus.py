@@ -151,6 +151,20 @@ def test_recall_against_every_window(spark):
     assert len(got - want) <= 0.02 * len(want)
 
 
+def test_long_items(frame, spark):
+    """Copies of items far longer than a window, word for word and with four words of ten replaced."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
+    items = [(k, " ".join(rng.choices(words, k=n))) for k, n in enumerate((100, 130, 200, 250, 400, 1000))]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    rows = [(k, text(300)) for k in range(40)]
+    for k, item in items:
+        worded = " ".join(w if rng.random() < 0.6 else "other" for w in item.split())
+        rows += [(100 + k, f"{text(77)} {item} {text(90)}"), (200 + k, f"{text(50)} {worded} {text(40)}")]
+    got = {(r.doc_id, r.item_id) for r in latent.contaminated(frame(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(base + k, k) for base in (100, 200) for k, _ in items}
+
+
 def test_decontamination_odd_rows(frame, odd_rows, spark):
     items = spark.createDataFrame(
         [(1, "One two three four. Five six seven eight nine ten eleven."), (2, None), (3, ""), (None, "zz yy xx ww vv")],
