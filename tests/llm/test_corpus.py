@@ -102,6 +102,16 @@ def test_overlaps():
     assert all(got[i][j] == want[i][j] for i in range(5) for j in range(5) if i != j)
 
 
+def test_pairs_of_one_bucket_are_compared(spark):
+    """In a small group every untested pair of components that shares a bucket, if only one."""
+    rows = [(7, 1, 1), (7, 2, 2), (8, 2, 2), (8, 3, 3), (9, 2, 2), (9, 3, 3), (9, 4, 3)]
+    rows = [(key, rep, 10, 0, label, 1, 4) for key, rep, label in rows]
+    mixed = spark.createDataFrame(rows, "key long, rep long, n long, alone long, label long, group long, size long")
+    tested = spark.createDataFrame([(4, 2)], "a long, b long")
+    got = sorted(map(tuple, minmax._pairs(mixed, tested, 80).collect()))
+    assert got == [(1, 2), (2, 3)]
+
+
 # -- decontamination --------------------------------------------------------------------------
 
 

@@ -12,11 +12,11 @@ with it on the full sets; what linked becomes one component.
 
 After ``ROUNDS`` such rounds the buckets that still hold two components are settled by group
 (classes that such buckets connect). Groups of at most ``PAIRED`` classes, so at most half as
-many pairs a class, list the pairs across components that share two bands or more. Larger
+many pairs a class, list the pairs across components that share a band. Larger
 groups are cut into blocks by hash, every two blocks meet in one task, and all sets in them
 are compared by one matrix product; no pair becomes a row unless it is a link, and of those
 one for each two components is enough. Both ways lose no link that hashing has not missed: at
-similarity 0.8 that has a chance of 5 in 100,000, above 0.85 of less than 1 in a million.
+similarity 0.8 that has a chance of 3 in a million, above 0.85 of less than 1 in a hundred million.
 
 Defined cases: null or blank text has no shingles and is linked with nothing; fewer words
 than a shingle make one shingle of the whole sequence; a row without an id is linked with
@@ -226,7 +226,7 @@ def _mixed(stage: Stage, buckets: DataFrame) -> DataFrame:
 
 
 def _pairs(mixed: DataFrame, tested: DataFrame, least: int) -> DataFrame:
-    """Untested pairs of different components in small groups that share two buckets or more."""
+    """Untested pairs of different components in small groups that share a bucket."""
     small = mixed.where(F.col("size") <= PAIRED).drop("group", "size")
     right = small.withColumnsRenamed({"rep": "b", "n": "m", "alone": "alone_b", "label": "label_b"})
     pairs = (
@@ -234,10 +234,8 @@ def _pairs(mixed: DataFrame, tested: DataFrame, least: int) -> DataFrame:
         .join(right, "key")
         .where((F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b")))
         .where(_may_link(least))
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("shared"))
-        .where("shared > 1")
         .select("a", "b")
+        .distinct()
     )
     turned = tested.select(F.col("b").alias("a"), F.col("a").alias("b"))
     return pairs.join(tested.unionByName(turned), ["a", "b"], "left_anti")
