@@ -4,7 +4,8 @@ A merge can only join two bytes that stand side by side inside some vocabulary t
 other byte pair is a certain cut: what lies left and right of it can be encoded apart and put
 together again. A text is first cut before each blank run (no token has a blank after another
 character), then by the tokenizer's own pattern, then at every forced byte pair; fragments and
-runs seen before are looked up instead of being merged again.
+runs seen before are looked up instead of being merged again, in tables of bounded size that a
+worker keeps from task to task. A long fragment is merged from a heap, in n log n steps.
 
 Defined cases: a null text reads as empty and gives no ids; ids that form broken UTF-8 decode
 with replacement characters; texts of any length are read whole, ``SLICE`` characters at a
@@ -15,10 +16,12 @@ stay as they are.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,8 @@ RUNS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 BOUNDARY = re.compile(f"[^{SPACE}][{SPACE}]")
 SLICE = 1 << 20
 NEVER = 1 << 31
-KEPT_RUNS, KEPT_FRAGMENTS, KEPT_LENGTH = 1 << 19, 1 << 17, 64
+KEPT_RUNS, KEPT_FRAGMENTS, KEPT_LENGTH = 1 << 18, 1 << 16, 64
+SHORT = 48
 
 
 def byte_letters() -> dict[str, int]:
@@ -97,6 +101,8 @@ class Vocabulary:
     def merge(self, fragment: bytes) -> list[int]:
         """Ids of one fragment: the earliest merge first, leftmost first."""
         ids, ranks = [self.of_byte[b] for b in fragment], self.ranks
+        if len(ids) > SHORT:
+            return self.merge_long(ids)
         order = [ranks.get(p, NEVER) for p in zip(ids, ids[1:])]
         while order and (rank := min(order)) < NEVER:
             at = order.index(rank)
@@ -108,6 +114,37 @@ class Vocabulary:
                 order[at] = ranks.get((ids[at], ids[at + 1]), NEVER)
         return ids
 
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The same merges from a heap of (rank, place) over a linked list of symbols, in
+        n log n steps. An entry counts only while its pair still has the rank it was filed
+        under; a symbol taken in by its left neighbour is marked with -1."""
+        n, ranks = len(ids), self.ranks
+        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(ranks[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks]
+        heapq.heapify(heap)
+        while heap:
+            rank, at = heapq.heappop(heap)
+            after = right[at]
+            if ids[at] < 0 or after >= n or ranks.get((ids[at], ids[after])) != rank:
+                continue
+            ids[at], ids[after] = self.made[rank], -1
+            right[at] = after = right[after]
+            if after < n:
+                left[after] = at
+                if (rank := ranks.get((ids[at], ids[after]))) is not None:
+                    heapq.heappush(heap, (rank, at))
+            if (before := left[at]) >= 0 and (rank := ranks.get((ids[before], ids[at]))) is not None:
+                heapq.heappush(heap, (rank, before))
+        return [i for i in ids if i >= 0]
+
+
+def keep(cache: dict, key, value, most: int) -> None:
+    """Enter a pair; a full table first forgets its older half."""
+    if len(cache) >= most:
+        for old in list(islice(cache, most // 2)):
+            del cache[old]
+    cache[key] = value
+
 
 class Runs(dict):
     """Ids (as 32-bit numbers) of a blank run with the characters after it."""
@@ -121,16 +158,9 @@ class Runs(dict):
     def __missing__(self, run: str) -> bytes:
         ids = array("I", self.encode(run)).tobytes()
         if len(run) <= KEPT_LENGTH:
-            if len(self) >= KEPT_RUNS:
-                self.clear()
-            self[run] = ids
+            keep(self, run, ids, KEPT_RUNS)
         return ids
 
-    def release(self) -> None:
-        """Forget what was looked up, so that an idle worker holds little memory."""
-        self.clear()
-        self.fragments.clear()
-
     def encode(self, run: str) -> list[int]:
         ids: list[int] = []
         special = self.vocabulary.special
@@ -148,9 +178,7 @@ class Runs(dict):
         if found is None:
             found = self.vocabulary.merge(fragment)
             if len(fragment) <= KEPT_LENGTH:
-                if len(self.fragments) >= KEPT_FRAGMENTS:
-                    self.fragments.clear()
-                self.fragments[fragment] = found
+                keep(self.fragments, fragment, found, KEPT_FRAGMENTS)
         return found
 
     def text(self, text: str) -> bytes:
@@ -220,7 +248,6 @@ class Codec:
             runs = load(file.value)
             for batch in batches:
                 yield token_lists([runs.text(t.as_py() or "") for t in batch])
-            runs.release()
 
         return df.withColumn(ids, run(F.col(text)))
 
@@ -251,7 +278,6 @@ class Codec:
                 yield pa.StructArray.from_arrays(
                     [token_lists(packed), pa.array(decoded, pa.string())], ["ids", "decoded"]
                 )
-            runs.release()
 
         rest = [F.col(f"`{c}`") for c in df.columns if c not in ("ids", "decoded", "_both")]
         found = df.select(*rest, run(F.col(text)).alias("_both"))
