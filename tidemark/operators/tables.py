@@ -144,8 +144,8 @@ class IndexTables:
             ).write.mode("append").parquet(self._paths["collections"][0])
         elif row["vector_size"] != vector_size:
             raise RuntimeError(
-                f"Stored vectors have {row['vector_size']} dimensions, the model's {vector_size}: "
-                "a dimension mismatch. Reset the index before another model fills it."
+                f"Vector dimension mismatch: collection has {row['vector_size']}-dim vectors but "
+                f"current model produces {vector_size}-dim. Reset the index before another model fills it."
             )
 
     def vector_size(self) -> int | None:
