@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, idcoder, language, latent, licences, minmax, pitman_yor, shards, warc
+from tidemark.llm import (
+    bpe, idcoder, language, latent, licences, minmax, pitman_yor, shards, warc, whitening,
+)
 from tidemark.llm import quality as quality_rules
 from tidemark.llm.staging import Stage, table
 
@@ -121,3 +123,9 @@ def op5_idcoder(spark, folder):
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.crc32("ids").alias("ids_crc32"),
     )
+
+
+@query
+def op11_whitening(spark, folder):
+    """Every vector on the sixteen leading components of the whitened table."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
