@@ -129,7 +129,37 @@ WARC = """
       CASE WHEN page_id > first THEN first END AS refers_to
     FROM f"""
 
+# Maximal runs of letters and digits, every character beyond ASCII among them.
+TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+def ranked(docs: str = "documents", items: str = "benchmark") -> str:
+    """Scores by joining every item's terms with the terms of every document."""
+    return rf"""
+    WITH k AS (
+      SELECT row_number() OVER () AS k, doc_id, len(ts)::BIGINT AS n, ts
+      FROM (SELECT doc_id, {TERMS} AS ts FROM {docs}) WHERE len(ts) > 0
+    ), g AS (SELECT count(*) AS nn, sum(n) AS ll FROM k),
+    tf AS (
+      SELECT k, doc_id, t, 10 + (90 * n * nn) // ll AS m, count(*) AS tf
+      FROM (SELECT k, doc_id, n, unnest(ts) AS t FROM k), g GROUP BY ALL
+    ), df AS (
+      SELECT t, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM tf, g GROUP BY t
+    ), q AS (
+      SELECT DISTINCT item_id, unnest({TERMS}) AS t FROM {items}
+    ), s AS (
+      SELECT item_id, k, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM q JOIN df USING (t) JOIN tf USING (t) GROUP BY ALL
+    )
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank,
+      doc_id, score
+    FROM s WHERE score > 0 QUALIFY rank <= 10"""
+
+
 ORACLE = {
+    "op13_balltree": ranked(),
     "op2_quality": quality(),
     "op6_warc": WARC,
     "op9_shards": shards(),

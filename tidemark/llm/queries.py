@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    bpe, idcoder, language, latent, licences, minmax, pitman_yor, shards, warc, whitening,
+    balltree, bpe, idcoder, language, latent, licences, minmax, pitman_yor, shards, warc, whitening,
 )
 from tidemark.llm import quality as quality_rules
 from tidemark.llm.staging import Stage, table
@@ -129,3 +129,9 @@ def op5_idcoder(spark, folder):
 def op11_whitening(spark, folder):
     """Every vector on the sixteen leading components of the whitened table."""
     return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_balltree(spark, folder):
+    """The ten best documents for every benchmark item."""
+    return balltree.ranked(documents(spark, folder), table(spark, folder, "benchmark"))
