@@ -158,7 +158,28 @@ def ranked(docs: str = "documents", items: str = "benchmark") -> str:
     FROM s WHERE score > 0 QUALIFY rank <= 10"""
 
 
+def near_vectors(source: str = "embeddings", least: float = 0.9) -> str:
+    """All pairs of usable vectors by cosine, and what can be reached over them."""
+    return f"""
+    WITH RECURSIVE r AS (SELECT row_number() OVER () AS k, vec_id, embedding::DOUBLE[] AS v FROM {source}),
+    u AS (
+      SELECT k, vec_id, v, sqrt(list_dot_product(v, v)) AS l FROM r
+      WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(v, lambda x: x <> 0)) > 0
+    ), pairs AS (
+      SELECT a.k AS a, b.k AS b FROM u a JOIN u b ON a.k <> b.k
+      WHERE list_dot_product(a.v, b.v) / (a.l * b.l) >= {least}
+    ), reached AS (
+      SELECT k AS a, k AS b FROM r UNION SELECT s.a, p.b FROM reached s JOIN pairs p ON s.b = p.a
+    ), lowest AS (SELECT a AS k, min(vec_id) AS component_id FROM reached JOIN r ON r.k = reached.b GROUP BY a),
+    links AS (SELECT a AS k, count(*) AS n FROM pairs GROUP BY a)
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id,
+      vec_id IS NOT DISTINCT FROM component_id AS kept, 1.0::DOUBLE AS recall
+    FROM r JOIN lowest USING (k) LEFT JOIN links USING (k)"""
+
+
 ORACLE = {
+    "op12_flatgraph": near_vectors(),
     "op13_balltree": ranked(),
     "op2_quality": quality(),
     "op6_warc": WARC,

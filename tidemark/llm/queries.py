@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    balltree, bpe, idcoder, language, latent, licences, minmax, pitman_yor, shards, warc, whitening,
+    balltree, bpe, flatgraph, idcoder, language, latent, licences, minmax, pitman_yor, shards, warc, whitening,
 )
 from tidemark.llm import quality as quality_rules
 from tidemark.llm.staging import Stage, table
@@ -135,3 +135,9 @@ def op11_whitening(spark, folder):
 def op13_balltree(spark, folder):
     """The ten best documents for every benchmark item."""
     return balltree.ranked(documents(spark, folder), table(spark, folder, "benchmark"))
+
+
+@query
+def op12_flatgraph(spark, folder):
+    """Links and components of all vectors with a cosine of 0.9 or more."""
+    return flatgraph.near_duplicates(table(spark, folder, "embeddings"))

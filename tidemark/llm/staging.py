@@ -59,6 +59,12 @@ class Stage:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
 
+    def inside(self, name: str) -> Stage:
+        """A folder of its own below this one, dropped by ``drop(name)``."""
+        inner = Stage(self.spark, name)
+        inner.root = self.path(name)
+        return inner
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
