@@ -101,7 +101,6 @@ class Engine:
         # Only a document stored before can have chunks to replace; asked of the
         # documents table first, so that new ones never cost a scan of the chunks.
         known = staging.write(self.tables.stored_ids(rows), "known")
-        self.tables.upsert_documents(rows, known)
         chunked = C.chunk_documents(unique.select("document_id", "source_path", "text"))
         embedded = staging.write(self.embedder.embed(chunked, "chunk_text"), "embedded")
         failed = E.failed_documents(embedded)
@@ -115,7 +114,10 @@ class Engine:
             )
         chunk_rows = U.chunk_rows(complete, now)
         ids = chunk_rows.select("document_id").distinct()
-        self.tables.replace_chunks(chunk_rows, ids, known)
+        # Documents and their chunks become visible together.
+        with self.tables.change():
+            self.tables.upsert_documents(rows, known)
+            self.tables.replace_chunks(chunk_rows, ids, known)
         return rows
 
     # -- search -----------------------------------------------------------

@@ -1,16 +1,20 @@
-"""The stored index: Parquet tables partitioned by a prefix of the document hash.
+"""The stored index: tables of immutable layers, partitioned by a prefix of the document hash.
 
-New documents are appended. A change to stored ones rewrites only the partitions
-that hold them, through dynamic partition overwrite: tasks write to a staging
-folder and the job commit swaps partitions in, so a lost executor or a failed
-task leaves the table as it was. Identifiers are deterministic; running a change
-again gives the same table.
+A change writes a new layer holding nothing but its own rows, and the ids of the stored documents
+it replaces or deletes (tombstones). The new state becomes visible when one version file is
+published (``versions.py``); until then readers and restarts see the old one. A row counts if no
+later layer names its document as gone, so a replace costs what it brings, not the partitions it
+falls into. ``compact`` merges layers of like size and drops what they bury; ``vacuum`` deletes the
+folders that no kept version names.
+
+Identifiers are deterministic; running a change again gives the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from functools import cached_property
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from dataclasses import replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,11 +25,22 @@ from tidemark import schemas as S
 from tidemark.functions import identity as I
 from tidemark.operators import status as ST
 from tidemark.operators import upsert as U
+from tidemark.operators.versions import Pointer, Version, new_layer, sequence_of
+from tidemark.session import file_system
 from tidemark.sources.files import glob_literal
 
 SCHEMA_VERSION = 1
 DEFAULT_COLLECTION = "document_chunks"
-_BUCKET = T.StructField("bucket", T.StringType())
+GONE = T.StructType([T.StructField("document_id", T.StringType())])
+_PLACE = [T.StructField("layer", T.StringType()), T.StructField("bucket", T.StringType())]
+# A table is compacted when it has more layers than this.
+MOST_LAYERS = 16
+# A layer joins a merge if it is at most this many times the younger ones in it.
+TIER = 2
+
+
+def _sequence(layer: Column) -> Column:
+    return F.split_part(layer, F.lit("-"), F.lit(1)).cast("long")
 
 
 class IndexTables:
@@ -44,58 +59,91 @@ class IndexTables:
         self.spark = spark
         self.collection = collection
         self._new_hex_digits = hex_digits
+        self._pointer = Pointer(spark, f"{metadata_path}/versions")
+        self._open: Version | None = None
         self._paths = {
-            "layout": (f"{metadata_path}/layout", S.LAYOUT),
             "documents": (f"{metadata_path}/documents", S.DOCUMENTS),
+            "documents_gone": (f"{metadata_path}/documents_gone", GONE),
             "schema_migrations": (f"{metadata_path}/schema_migrations", S.SCHEMA_MIGRATIONS),
             "ingestion_jobs": (f"{metadata_path}/ingestion_jobs", S.INGESTION_JOBS),
             "collections": (f"{vector_path}/collections", S.COLLECTIONS),
             "chunks": (f"{vector_path}/{collection}", S.CHUNKS),
+            "chunks_gone": (f"{vector_path}/{collection}_gone", GONE),
         }
 
     # -- reading ----------------------------------------------------------
 
-    def _stored(self, table: str, buckets: Iterable[str] | None = None) -> DataFrame | None:
+    def version(self) -> Version:
+        """What is visible: the last published version, or within a change what it has done."""
+        return self._open or self._pointer.current() or Version(settings={"hex_digits": self._new_hex_digits})
+
+    @property
+    def hex_digits(self) -> int:
+        return self.version().settings["hex_digits"]
+
+    def _plain(self, table: str) -> DataFrame | None:
         path, schema = self._paths[table]
-        reader = self.spark.read
-        if table in ("documents", "chunks"):
-            schema = T.StructType([*schema.fields, _BUCKET])
-            reader = reader.option("basePath", path)
-            if buckets is not None:
-                # Only these folders are listed.
-                names = ",".join(sorted(map(glob_literal, buckets)))
-                path = f"{path}/bucket={{{names}}}"
         try:
-            return reader.schema(schema).parquet(path)
+            return self.spark.read.schema(schema).parquet(path)
         except AnalysisException as exc:
             if exc.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
 
-    def _read(self, table: str, buckets: Iterable[str] | None = None) -> DataFrame:
-        stored = self._stored(table, buckets)
-        if stored is not None:
-            return stored
-        schema = self._paths[table][1]
-        empty = self.spark.createDataFrame([], schema)
-        return empty.withColumn("bucket", F.lit("")) if table in ("documents", "chunks") else empty
+    def _read(self, table: str) -> DataFrame:
+        stored = self._plain(table)
+        return self.spark.createDataFrame([], self._paths[table][1]) if stored is None else stored
 
-    @cached_property
-    def hex_digits(self) -> int:
-        row = self._read("layout").first()
-        return row["hex_digits"] if row else self._new_hex_digits
+    def _layers(self, table: str, names: Iterable[str], buckets: Iterable[str] | None = None) -> DataFrame | None:
+        """Rows of some layers with ``layer`` and ``bucket``; of some buckets only those
+        folders are listed."""
+        path, schema = self._paths[table]
+        paths = []
+        for name in names:
+            folder = f"{path}/layer={name}"
+            if buckets is not None:
+                wanted = ",".join(sorted(map(glob_literal, buckets)))
+                folder = f"{folder}/bucket={{{wanted}}}"
+                fs, pattern = file_system(self.spark, folder)
+                if not fs.globStatus(pattern):
+                    continue
+            paths.append(folder)
+        if not paths:
+            return None
+        full = T.StructType([*schema.fields, *_PLACE])
+        return self.spark.read.option("basePath", path).schema(full).parquet(*paths)
+
+    def _live(self, table: str, buckets: Iterable[str] | None = None, layers: Iterable[str] | None = None) -> DataFrame:
+        """The rows of a table that no later layer has replaced, with ``layer`` and ``bucket``."""
+        version = self.version()
+        names = version.of(table) if layers is None else tuple(layers)
+        buckets = None if buckets is None else set(buckets)
+        rows = self._layers(table, names, buckets)
+        if rows is None:
+            empty = self.spark.createDataFrame([], self._paths[table][1])
+            return empty.withColumns({"layer": F.lit(""), "bucket": F.lit("")})
+        # Only tombstones younger than some row can bury anything.
+        oldest = min(map(sequence_of, names))
+        later = [n for n in version.of(f"{table}_gone") if sequence_of(n) > oldest]
+        gone = self._layers(f"{table}_gone", later, buckets)
+        if gone is None:
+            return rows
+        gone = gone.groupBy("document_id").agg(F.max(_sequence(F.col("layer"))).alias("_gone"))
+        alive = F.col("_gone").isNull() | (_sequence(F.col("layer")) >= F.col("_gone"))
+        return rows.join(gone, "document_id", "left").where(alive).select(*rows.columns)
 
     def documents(self) -> DataFrame:
-        return self._read("documents").drop("bucket")
+        return self._live("documents").select(*S.DOCUMENTS.fieldNames())
 
     def chunks(self) -> DataFrame:
-        return self._read("chunks").drop("bucket")
+        return self._live("chunks").select(*S.CHUNKS.fieldNames())
 
     def chunks_of(self, document_ids: list[str]) -> DataFrame:
         """Chunks of a few documents: their partitions, then row groups by min / max."""
-        buckets = sorted({i[: self.hex_digits] for i in document_ids})
-        stored = self._read("chunks", buckets).where(F.col("bucket").isin(buckets))
-        return stored.where(F.col("document_id").isin(document_ids)).drop("bucket")
+        digits = self.hex_digits
+        buckets = sorted({i[:digits] for i in document_ids})
+        stored = self._live("chunks", buckets).where(F.col("bucket").isin(buckets))
+        return stored.where(F.col("document_id").isin(document_ids)).select(*S.CHUNKS.fieldNames())
 
     def collections(self) -> DataFrame:
         return self._read("collections")
@@ -109,8 +157,8 @@ class IndexTables:
     def find_document(self, document_id: str) -> DataFrame:
         """Point lookup: one partition, then row groups by min / max."""
         bucket = document_id[: self.hex_digits]
-        stored = self._read("documents", [bucket]).where(F.col("bucket") == bucket)
-        return ST.find_document(stored, document_id).drop("bucket")
+        stored = self._live("documents", [bucket]).where(F.col("bucket") == bucket)
+        return ST.find_document(stored, document_id).select(*S.DOCUMENTS.fieldNames())
 
     def status(self) -> DataFrame:
         return ST.index_status(
@@ -121,16 +169,12 @@ class IndexTables:
 
     def migrate(self) -> None:
         """Create what is missing; a second run changes nothing."""
-        if self._stored("layout") is None:
-            self.spark.createDataFrame([(self._new_hex_digits,)], S.LAYOUT).write.mode(
-                "ignore"
-            ).parquet(self._paths["layout"][0])
-        if self._stored("schema_migrations") is None:
+        if self._plain("schema_migrations") is None:
             row = self.spark.range(1).select(
                 F.lit(SCHEMA_VERSION).alias("version"), U.utc_now().alias("applied_at")
             )
             row.write.mode("ignore").parquet(self._paths["schema_migrations"][0])
-        if self._stored("ingestion_jobs") is None:
+        if self._plain("ingestion_jobs") is None:
             empty = self.spark.createDataFrame([], S.INGESTION_JOBS)
             empty.write.mode("ignore").parquet(self._paths["ingestion_jobs"][0])
 
@@ -154,6 +198,23 @@ class IndexTables:
 
     # -- changes ----------------------------------------------------------
 
+    @contextmanager
+    def change(self) -> Iterator[None]:
+        """Everything done inside becomes visible together, at the end, or not at all."""
+        if self._open is not None:  # part of a larger change
+            yield
+            return
+        before = self.version()
+        self._open = before
+        try:
+            yield
+            if self._open is not before:
+                self._pointer.publish(replace(self._open, number=before.number))
+        finally:
+            self._open = None
+        if max(len(self.version().of(t)) for t in ("documents", "chunks")) > MOST_LAYERS:
+            self.compact()
+
     def _bucket(self) -> Column:
         return I.bucket(F.col("document_id"), self.hex_digits)
 
@@ -161,70 +222,53 @@ class IndexTables:
         """Partitions the rows fall into: at most 16 ** hex_digits short strings."""
         return {r[0] for r in df.select(self._bucket().alias("b")).distinct().collect()}
 
-    def _write(self, rows: DataFrame, table: str, mode: str) -> None:
+    def _write(self, rows: DataFrame, table: str, layer: str) -> None:
         """Rebalancing splits an oversized bucket (one huge document) over
         tasks; sorting keeps the min / max of the id narrow per row group."""
         path, schema = self._paths[table]
-        order = [c for c in ("bucket", "document_id", "chunk_index") if c in rows.columns]
+        order = [c for c in ("bucket", "document_id", "chunk_index") if c in [*schema.fieldNames(), "bucket"]]
         (
-            rows.select(*schema.fieldNames(), "bucket")
+            rows.withColumn("bucket", self._bucket())
+            .select(*schema.fieldNames(), "bucket")
             .hint("rebalance", "bucket")
             .sortWithinPartitions(*order)
-            .write.mode(mode)
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket")
-            .parquet(path)
+            .write.partitionBy("bucket")
+            .parquet(f"{path}/layer={layer}")
         )
 
+    def _filled(self, table: str, layer: str) -> bool:
+        fs, pattern = file_system(self.spark, f"{self._paths[table][0]}/layer={layer}/bucket=*")
+        return bool(fs.globStatus(pattern))
+
+    def _append(self, table: str, rows: DataFrame | None, gone: DataFrame | None) -> None:
+        """One layer more: new rows, and the ids of documents whose older rows no longer count."""
+        with self.change():
+            version = self._open
+            sequences = [sequence_of(n) for t in (table, f"{table}_gone") for n in version.of(t)]
+            layer, layers = new_layer(max(sequences, default=0) + 1), dict(version.layers)
+            for name, part in ((f"{table}_gone", gone), (table, rows)):
+                if part is not None:
+                    self._write(part, name, layer)
+                    if self._filled(name, layer):
+                        layers[name] = (*version.of(name), layer)
+            if layers != version.layers:
+                self._open = replace(version, layers=layers)
+
     def stored_ids(self, ids: DataFrame, table: str = "documents") -> DataFrame:
         """The rows of ``table`` with one of these document ids, ids only."""
-        stored = self._read(table, self._buckets(ids)).select("document_id")
+        stored = self._live(table, self._buckets(ids)).select("document_id")
         return stored.join(ids.select("document_id"), "document_id", "left_semi")
 
-    def _change(
-        self, table: str, ids: DataFrame, incoming: DataFrame | None, change, known: DataFrame
-    ) -> None:
-        """Apply ``change(current)``, which only concerns documents in ``ids``.
-
-        Partitions that hold none of those documents yet (going by ``known``)
-        get their incoming rows appended; only the others are rewritten.
-        """
-        named = self._buckets(ids)
-        if not named:
-            return
-        held = self._buckets(known) & named
-        new = None if incoming is None else incoming.withColumn("bucket", self._bucket())
-        if held:
-            current = self._read(table, held).drop("bucket")
-            after = change(current).withColumn("bucket", self._bucket())
-            after = after.where(F.col("bucket").isin(*held))
-            # A partition that loses its last row is absent from the new data,
-            # and dynamic overwrite would leave it alone. Only one that gets no
-            # incoming row can be such.
-            given = set()
-            if incoming is not None:
-                given = named if incoming is ids else self._buckets(incoming)
-            filled = held & given
-            if held - filled:
-                filled |= self._buckets(after.where(F.col("bucket").isin(*(held - filled))))
-            if filled:
-                self._write(after, table, "overwrite")
-            path, schema = self._paths[table]
-            nothing = self.spark.createDataFrame([], schema)
-            for name in held - filled:
-                nothing.write.mode("overwrite").parquet(f"{path}/bucket={name}")
-        if new is not None and named - held:
-            self._write(new.where(F.col("bucket").isin(*(named - held))), table, "append")
-
     def upsert_documents(self, incoming: DataFrame, known: DataFrame | None = None) -> None:
         """``known``: the incoming ids that are stored; looked up if not given."""
-        self._change(
-            "documents",
-            incoming,
-            incoming,
-            lambda current: U.upsert_documents(current, incoming),
-            self.stored_ids(incoming) if known is None else known,
-        )
+        known = (self.stored_ids(incoming) if known is None else known).select("document_id")
+        held = self._buckets(known)
+        if held:
+            current = self._live("documents", held).select(*S.DOCUMENTS.fieldNames())
+            current = current.join(known, "document_id", "left_semi")
+            # Stored rows among them only lend their first moment.
+            incoming = U.upsert_documents(current, incoming)
+        self._append("documents", incoming, known.distinct() if held else None)
 
     def replace_chunks(
         self, incoming: DataFrame, document_ids: DataFrame, known: DataFrame | None = None
@@ -233,19 +277,65 @@ class IndexTables:
         stored chunks if not given."""
         size = self.vector_size()
         checked = incoming if size is None else U.check_dimension(incoming, size)
-        self._change(
-            "chunks",
-            document_ids,
-            checked,
-            lambda current: U.replace_chunks(current, checked, document_ids),
-            self.stored_ids(document_ids, "chunks") if known is None else known,
-        )
+        known = self.stored_ids(document_ids, "chunks") if known is None else known
+        gone = known.select("document_id").join(document_ids.select("document_id"), "document_id", "left_semi")
+        self._append("chunks", checked, gone.distinct())
 
     def delete_chunks(self, document_ids: DataFrame) -> None:
-        self._change(
-            "chunks",
-            document_ids,
-            None,
-            lambda current: U.delete_by_document(current, document_ids),
-            self.stored_ids(document_ids, "chunks"),
-        )
+        self._append("chunks", None, self.stored_ids(document_ids, "chunks").distinct())
+
+    # -- upkeep -----------------------------------------------------------
+
+    def _bytes(self, table: str, layer: str) -> int:
+        fs, target = file_system(self.spark, f"{self._paths[table][0]}/layer={layer}")
+        return fs.getContentSummary(target).getLength() if fs.exists(target) else 0
+
+    def _tier(self, table: str, everything: bool) -> tuple[str, ...]:
+        """The youngest layers worth one merge: each at most ``TIER`` times what comes after it."""
+        names = tuple(sorted({*self.version().of(table), *self.version().of(f"{table}_gone")}, key=sequence_of))
+        if everything:
+            return names
+        total, take = 0, 0
+        for name in reversed(names):
+            size = self._bytes(table, name) + self._bytes(f"{table}_gone", name)
+            if take >= 2 and size > TIER * total:
+                break
+            total, take = total + size, take + 1
+        return names[-take:] if take else ()
+
+    def compact(self, everything: bool = False) -> None:
+        """Merge young layers of like size, or all of them, into one per table.
+
+        The merged layer takes the sequence of its youngest part. Its tombstones stay only while
+        older layers remain for them to bury. Readers of the version before are not disturbed.
+        """
+        with self.change():
+            for table in ("documents", "chunks"):
+                merged = self._tier(table, everything)
+                if len(merged) < 2 and not (everything and self._open.of(f"{table}_gone")):
+                    continue
+                version = self._open
+                layer = new_layer(max(map(sequence_of, merged)))
+                rows = [n for n in version.of(table) if n in merged]
+                gone = [n for n in version.of(f"{table}_gone") if n in merged]
+                older = [n for n in version.of(table) if n not in merged]
+                layers = {**version.layers, table: tuple(older)}
+                layers[f"{table}_gone"] = tuple(n for n in version.of(f"{table}_gone") if n not in merged)
+                if rows:
+                    self._write(self._live(table, layers=rows), table, layer)
+                    if self._filled(table, layer):
+                        layers[table] = (*older, layer)
+                buried = self._layers(f"{table}_gone", gone) if older else None
+                if buried is not None:
+                    self._write(buried.select("document_id").distinct(), f"{table}_gone", layer)
+                    layers[f"{table}_gone"] += (layer,)
+                self._open = replace(version, layers=layers)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete layers that none of the ``keep`` newest versions names; how many."""
+        gone, deleted = self._pointer.forget(keep), 0
+        for table in ("documents", "documents_gone", "chunks", "chunks_gone"):
+            for name in gone:
+                fs, target = file_system(self.spark, f"{self._paths[table][0]}/layer={name}")
+                deleted += bool(fs.delete(target, True))
+        return deleted

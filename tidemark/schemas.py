@@ -57,9 +57,6 @@ SCHEMA_MIGRATIONS = T.StructType(
     ]
 )
 
-# How the partitioned tables of an index are laid out; written once.
-LAYOUT = T.StructType([T.StructField("hex_digits", T.IntegerType())])
-
 INGESTION_JOBS = T.StructType(
     [
         T.StructField("job_id", T.StringType()),
