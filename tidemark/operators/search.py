@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import as_matrix, score_against, unit_rows
@@ -41,9 +41,25 @@ def with_score(points: DataFrame, query: Sequence[float]) -> DataFrame:
     return points.withColumn("score", score_against(F.col("embedding"), query))
 
 
-def top_k(points: DataFrame, query: Sequence[float], k: int = DEFAULT_TOP_K, key: str = "point_id"):
-    """The k best rows of ``points`` for one query vector, best first."""
+def behind(after: tuple[float, object], key: str) -> Column:
+    """Rows that rank behind the one with this score and key: a cursor that stays valid when
+    rows are added or removed."""
+    here, last = F.round("score", RANK_DECIMALS), F.round(F.lit(after[0]), RANK_DECIMALS)
+    return (here < last) | ((here == last) & (F.col(key) > F.lit(after[1])))
+
+
+def top_k(
+    points: DataFrame,
+    query: Sequence[float],
+    k: int = DEFAULT_TOP_K,
+    key: str = "point_id",
+    after: tuple[float, object] | None = None,
+) -> DataFrame:
+    """The k best rows of ``points`` for one query vector, best first; with ``after``, the k best
+    behind that (score, key)."""
     ranked = with_score(points, query).drop("embedding")
+    if after is not None:
+        ranked = ranked.where(behind(after, key))
     return ranked.orderBy(rank_key(), F.col(key)).limit(k)
 
 
@@ -52,13 +68,19 @@ def search_points(
     query: Sequence[float],
     k: int = DEFAULT_TOP_K,
     stored: Callable[[list[str]], DataFrame] | None = None,
+    where: Column | None = None,
+    after: tuple[float, str] | None = None,
 ) -> DataFrame:
     """Search the stored chunks; the columns of a search hit, best first.
 
+    ``where`` is a filter on any column of the rows, part of the scan and applied before the
+    ranking; ``after`` the (score, point_id) of the last hit of the page before.
+
     Only ids and vectors are scanned for the ranking. The k hits, by then known, are looked up
     by document, with ``stored(document ids)`` where the caller can find rows by id.
     """
-    ranked = top_k(points.select("point_id", "document_id", "embedding"), query, k)
+    filtered = points if where is None else points.where(where)
+    ranked = top_k(filtered.select("point_id", "document_id", "embedding"), query, k, after=after)
     best = [(place, *row) for place, row in enumerate(ranked.collect())]
     kinds = "place int, point_id string, document_id string, score double"
     hits = points.sparkSession.createDataFrame(best, kinds)

@@ -25,6 +25,7 @@ from tidemark.operators import extract as XT
 from tidemark.operators import search as Q
 from tidemark.operators import status as ST
 from tidemark.operators import upsert as U
+from tidemark.operators import vector_index as VI
 from tidemark.session import work_dir
 from tidemark.sources import files
 
@@ -442,6 +443,69 @@ def batch_search_topk(spark, folder):
     return best.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new folder for stored results, where every executor can reach it."""
+    shared = work_dir(spark, spark.conf.get("spark.sql.warehouse.dir"))
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+def vector_index(spark: SparkSession, folder: str) -> VI.VectorIndex:
+    return VI.build(embeddings(spark, folder), fresh(spark, "vector-index"))
+
+
+def every_hundredth(spark: SparkSession, folder: str) -> DataFrame:
+    """The queries of the batch searches on the index."""
+    asked = embeddings(spark, folder).where(F.col("vec_id") % 100 == 0)
+    return asked.select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query
+def vector_index_topk(spark, folder):
+    """The search for vector 0 on the stored index, proved complete by the cells' bounds."""
+    best = vector_index(spark, folder).search(first_vector(embeddings(spark, folder)))
+    return best.select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query
+def vector_index_batch(spark, folder):
+    """The exact best five of all rows for every hundredth vector, on the stored index."""
+    best = vector_index(spark, folder).search_many(every_hundredth(spark, folder))
+    return best.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query
+def vector_index_probe(spark, folder):
+    """The same by probing, with as many cells as the calibration asks for, and which of the hits
+    are among the exact ones."""
+    index, asked = vector_index(spark, folder), every_hundredth(spark, folder)
+    index.calibrate()
+    found = index.search_many(asked, exact=False)
+    true = index.search_many(asked).select("query_id", "vec_id", F.lit(True).alias("exact"))
+    both = found.join(true, ["query_id", "vec_id"], "left")
+    return both.select("query_id", "rank", "vec_id", F.coalesce("exact", F.lit(False)).alias("exact"))
+
+
+@query
+def filtered_search(spark, folder):
+    """The ten vectors closest to vector 0 among those with an even label."""
+    index, points = vector_index(spark, folder), embeddings(spark, folder)
+    best = index.search(first_vector(points), 10, where=F.col("label") % 2 == 0)
+    return best.select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query
+def paged_search(spark, folder):
+    """Three pages of ten, each continued from the last hit of the one before."""
+    index, vector = vector_index(spark, folder), first_vector(embeddings(spark, folder))
+    rows, after = [], None
+    for number in (1, 2, 3):
+        page = index.search(vector, 10, after=after).collect()
+        rows += [(number, r.vec_id, r.score) for r in page]
+        after = (page[-1].score, page[-1].vec_id) if page else after
+    found = spark.createDataFrame(rows, "page int, vec_id long, score double")
+    return found.select("page", "vec_id", F.round("score", 6).alias("score"))
+
+
 @query
 def cosine_pairs(spark, folder):
     """Similarity of every vector with vector 0, by built-in functions alone."""
