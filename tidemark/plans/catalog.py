@@ -22,6 +22,8 @@ from tidemark.functions import vectors as V
 from tidemark.operators import chunk as C
 from tidemark.operators import embed as E
 from tidemark.operators import extract as XT
+from tidemark.operators import keyword_index as KI
+from tidemark.operators import rerank as RR
 from tidemark.operators import search as Q
 from tidemark.operators import status as ST
 from tidemark.operators import upsert as U
@@ -538,14 +540,53 @@ def dimension_guard(spark, folder):
     return ST.dimension_counts(checked)
 
 
-@query
-def text_search(spark, folder):
-    """Each benchmark text as a search over all documents, best five each."""
+def benchmark_items(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def closest_documents(spark: SparkSession, folder: str, k: int) -> DataFrame:
+    """``query_id, rank, vec_id, score``: each benchmark text against all documents by cosine."""
     embedder = E.HashingEmbedder(HASH_SIZE)
-    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    queries = embedder.embed(items, "text").select("query_id", "embedding")
+    queries = embedder.embed(benchmark_items(spark, folder), "text").select("query_id", "embedding")
     docs = texts(spark, folder, "documents")
     source = docs.select(F.col("doc_id").alias("vec_id"), X.final_text(F.col("text")).alias("text"))
     points = embedder.embed(source, "text").select("vec_id", "embedding")
-    best = Q.top_k_many(points, queries)
+    return Q.top_k_many(points, queries, k)
+
+
+def keyword_index(spark: SparkSession, folder: str) -> KI.KeywordIndex:
+    docs = texts(spark, folder, "documents").select("doc_id", "text")
+    return KI.build(docs, fresh(spark, "keyword-index"), "doc_id")
+
+
+@query
+def text_search(spark, folder):
+    """Each benchmark text as a search over all documents, best five each."""
+    best = closest_documents(spark, folder, Q.DEFAULT_TOP_K)
     return best.select("query_id", "rank", "vec_id", F.round("score", 5).alias("score"))
+
+
+@query
+def keyword_search(spark, folder):
+    """Each benchmark text as a keyword search over the stored index, best ten each."""
+    best = keyword_index(spark, folder).search_many(benchmark_items(spark, folder))
+    return best.select("query_id", "rank", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query
+def hybrid_search(spark, folder):
+    """The best fifty by keywords and the best fifty by vectors, fused by rank, best ten each."""
+    by_words = keyword_index(spark, folder).search_many(benchmark_items(spark, folder), 50)
+    by_vector = closest_documents(spark, folder, 50).withColumnRenamed("vec_id", "id")
+    best = KI.fuse([by_words, by_vector])
+    return best.select("query_id", "rank", F.col("id").alias("doc_id"), F.round("score", 9).alias("score"))
+
+
+@query
+def diverse_search(spark, folder):
+    """Twenty candidates for every hundredth vector, re-ranked to five that differ."""
+    points = embeddings(spark, folder).select("vec_id", "embedding")
+    found = Q.top_k_many(points, every_hundredth(spark, folder), 20)
+    candidates = found.join(points, "vec_id").select("query_id", F.col("vec_id").alias("id"), "score", "embedding")
+    best = RR.diversify(candidates)
+    return best.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))

@@ -172,6 +172,36 @@ _COSINE = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 _FIRST = "(SELECT embedding FROM embeddings WHERE vec_id = 0) q"
 _UUID = "sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(chunk_id))"
 
+_TEXT_RANKS = f"""{_NORMALIZED}, src AS (
+          SELECT 'q' || item_id AS id, text FROM benchmark UNION ALL SELECT 'd' || doc_id, text FROM d),
+        {_hashed("src", "id")},
+        q AS (SELECT substr(id, 2)::BIGINT AS query_id, dim, value::FLOAT::DOUBLE AS v FROM vec WHERE id LIKE 'q%'),
+        p AS (SELECT substr(id, 2)::BIGINT AS vec_id, dim, value::FLOAT::DOUBLE AS v FROM vec WHERE id LIKE 'd%'),
+        s AS (SELECT query_id, vec_id, sum(q.v * p.v) AS dot FROM q JOIN p USING (dim) GROUP BY ALL),
+        qn AS (SELECT query_id, sqrt(sum(v * v)) AS len FROM q GROUP BY ALL),
+        pn AS (SELECT vec_id, sqrt(sum(v * v)) AS len FROM p GROUP BY ALL),
+        pairs AS (SELECT item_id AS query_id, doc_id AS vec_id FROM benchmark, documents),
+        full_s AS (SELECT pairs.query_id, pairs.vec_id, coalesce(dot / (qn.len * pn.len), 0.0) AS score
+          FROM pairs LEFT JOIN s USING (query_id, vec_id) LEFT JOIN qn USING (query_id) LEFT JOIN pn USING (vec_id)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id)::INTEGER AS rank FROM full_s)"""
+
+_HUNDREDTHS = f"""
+        hs AS (SELECT q.vec_id AS query_id, e.vec_id, {_COSINE} AS s FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0),
+        h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id)::INTEGER AS rank FROM hs)"""
+
+# BM25 by joining every word of a query with the words of every document.
+_KEYWORDS = r"""
+        kw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents),
+        kd AS (SELECT doc_id, ws, len(ws)::DOUBLE AS length FROM kw WHERE len(ws) > 0),
+        ka AS (SELECT count(*)::DOUBLE AS docs, avg(length) AS average FROM kd),
+        kt AS (SELECT doc_id, length, word, count(*)::DOUBLE AS tf FROM (SELECT doc_id, length, unnest(ws) AS word FROM kd) GROUP BY ALL),
+        kf AS (SELECT word, count(*)::DOUBLE AS df FROM kt GROUP BY word),
+        kq AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM benchmark),
+        ks AS (
+          SELECT query_id, doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))) AS score
+          FROM kq JOIN kf USING (word) JOIN kt USING (word), ka GROUP BY query_id, doc_id),
+        b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INTEGER AS rank FROM ks)"""
+
 ORACLE: dict[str, str] = {
     "source_kind": """
         SELECT doc_id, CASE lang WHEN 'en' THEN 'txt' WHEN 'fr' THEN 'md' WHEN 'de' THEN 'html'
@@ -313,17 +343,44 @@ ORACLE: dict[str, str] = {
         SELECT vec_id, pos, round(v / sqrt(sum(v * v) OVER (PARTITION BY vec_id)), 6) AS value FROM x""",
     "dimension_guard": "SELECT len(embedding)::BIGINT AS dim, count(*) AS n FROM embeddings GROUP BY ALL",
     "text_search": f"""
-        WITH {_NORMALIZED}, src AS (
-          SELECT 'q' || item_id AS id, text FROM benchmark UNION ALL SELECT 'd' || doc_id, text FROM d),
-        {_hashed("src", "id")},
-        q AS (SELECT substr(id, 2)::BIGINT AS query_id, dim, value::FLOAT::DOUBLE AS v FROM vec WHERE id LIKE 'q%'),
-        p AS (SELECT substr(id, 2)::BIGINT AS vec_id, dim, value::FLOAT::DOUBLE AS v FROM vec WHERE id LIKE 'd%'),
-        s AS (SELECT query_id, vec_id, sum(q.v * p.v) AS dot FROM q JOIN p USING (dim) GROUP BY ALL),
-        qn AS (SELECT query_id, sqrt(sum(v * v)) AS len FROM q GROUP BY ALL),
-        pn AS (SELECT vec_id, sqrt(sum(v * v)) AS len FROM p GROUP BY ALL),
-        pairs AS (SELECT item_id AS query_id, doc_id AS vec_id FROM benchmark, documents),
-        full_s AS (SELECT pairs.query_id, pairs.vec_id, coalesce(dot / (qn.len * pn.len), 0.0) AS score
-          FROM pairs LEFT JOIN s USING (query_id, vec_id) LEFT JOIN qn USING (query_id) LEFT JOIN pn USING (vec_id)),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id)::INTEGER AS rank FROM full_s)
-        SELECT query_id, rank, vec_id, round(score, 5) AS score FROM r WHERE rank <= 5""",
+        WITH {_TEXT_RANKS} SELECT query_id, rank, vec_id, round(score, 5) AS score FROM r WHERE rank <= 5""",
+    "vector_index_topk": f"""
+        SELECT e.vec_id, e.label, round({_COSINE}, 6) AS score FROM embeddings e CROSS JOIN {_FIRST}
+        ORDER BY round({_COSINE}, 9) DESC, e.vec_id LIMIT 5""",
+    "vector_index_batch": f"""
+        WITH {_HUNDREDTHS} SELECT query_id, rank, vec_id, round(s, 6) AS score FROM h WHERE rank <= 5""",
+    "filtered_search": f"""
+        SELECT e.vec_id, e.label, round({_COSINE}, 6) AS score FROM embeddings e CROSS JOIN {_FIRST}
+        WHERE e.label % 2 = 0 ORDER BY round({_COSINE}, 9) DESC, e.vec_id LIMIT 10""",
+    "paged_search": f"""
+        WITH s AS (SELECT e.vec_id, {_COSINE} AS s FROM embeddings e CROSS JOIN {_FIRST}),
+        n AS (SELECT *, row_number() OVER (ORDER BY round(s, 9) DESC, vec_id) AS place FROM s)
+        SELECT ((place - 1) // 10 + 1)::INTEGER AS page, vec_id, round(s, 6) AS score FROM n WHERE place <= 30""",
+    "keyword_search": f"""
+        WITH {_KEYWORDS} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM b WHERE rank <= 10""",
+    "hybrid_search": f"""
+        WITH {_KEYWORDS}, {_TEXT_RANKS}, both_ranks AS (
+          SELECT query_id, doc_id, rank FROM b WHERE rank <= 50
+          UNION ALL SELECT query_id, vec_id, rank FROM r WHERE rank <= 50),
+        fused AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (rank + 60)) AS score FROM both_ranks GROUP BY ALL),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id)::INTEGER AS rank FROM fused)
+        SELECT query_id, rank, doc_id, round(score, 9) AS score FROM placed WHERE rank <= 10""",
+    "diverse_search": f"""
+        WITH RECURSIVE {_HUNDREDTHS},
+        c AS (SELECT query_id, vec_id, s FROM h WHERE rank <= 20),
+        sims AS (
+          SELECT a.query_id, a.vec_id AS x, b.vec_id AS y, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS near
+          FROM c a JOIN c b USING (query_id) JOIN embeddings e ON e.vec_id = a.vec_id JOIN embeddings q ON q.vec_id = b.vec_id),
+        taken AS (
+          SELECT DISTINCT query_id, 0 AS step, NULL::BIGINT AS vec_id, []::BIGINT[] AS ids FROM c
+          UNION ALL
+          SELECT query_id, step + 1, best, list_append(ids, best) FROM (
+            SELECT t.query_id, t.step, t.ids, arg_max(c.vec_id, struct_pack(
+              v := round(0.5::DOUBLE * c.s - 0.5::DOUBLE * coalesce((
+                SELECT max(near) FROM sims WHERE sims.query_id = c.query_id AND x = c.vec_id AND list_contains(t.ids, y)), 0), 9),
+              w := -c.vec_id)) AS best
+            FROM taken t JOIN c ON c.query_id = t.query_id AND NOT list_contains(t.ids, c.vec_id)
+            WHERE t.step < 5 GROUP BY t.query_id, t.step, t.ids))
+        SELECT query_id, step::INTEGER AS rank, vec_id, round(s, 6) AS score
+        FROM taken JOIN c USING (query_id, vec_id) WHERE step > 0""",
 }
