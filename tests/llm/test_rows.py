@@ -149,6 +149,37 @@ def test_standard_licence_files(frame):
     assert found_licences(frame, texts) == list(texts.values())
 
 
+APACHE = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance "
+    "with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n"
+    "Unless required by applicable law or agreed to in writing, software\ndistributed under the License.\n"
+)
+
+
+def test_apache_header_and_spdx_expressions(frame):
+    texts = {
+        APACHE: "Apache-2.0", APACHE.replace("\n", " "): "Apache-2.0", "# " + APACHE.replace("\n", "\n# "): "Apache-2.0",
+        "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "SPDX-License-Identifier: LGPL-2.1-only\n": "LGPL-2.1",
+        "// SPDX-License-Identifier: MIT OR Apache-2.0\nint x;": "Apache-2.0,MIT",
+        "SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) AND BSD-3-Clause": "GPL-2.0,BSD-3-Clause",
+        "SPDX-License-Identifier: Unknown-1.0 OR Other": "",
+    }
+    got = found_licences(frame, texts)
+    assert [set(g.split(",")) for g in got] == [set(w.split(",")) for w in texts.values()]
+
+
+def test_licence_sql_equals_the_query_on_licence_files(frame):
+    lesser = GPL.replace("GNU General", "GNU Lesser General")
+    texts = [MIT, ISC.format("\n"), ISC.format(""), BSD2, BSD3.format("Google Inc."), BSD3.format("the copyright holder") + BSD2,
+             BSD2 + BSD3.format("Jo's Project"), BSD2 + BSD2, EPL, MPL, APACHE, lesser.format(":", ",", "3"),
+             GPL.format(":", ",", 3), GPL.format(";", ";", 2), "SPDX-License-Identifier: MIT OR GPL-2.0-only\n\nx",
+             "SPDX-License-Identifier:", "SPDX-License-Identifier: MIT. x"]
+    rows = list(enumerate([*texts, *(t.replace("\n", " ") for t in texts), *(t.replace("\n", "\r\n") for t in texts)]))
+    got = licences.scan(frame(rows)).select("doc_id", "sentences", "licences").collect()
+    assert sorted(map(tuple, got), key=repr) == sql_rows(rows, oracle.licences())
+    assert sum(r.licences != "" for r in got) > 40
+
+
 def test_every_known_sentence_has_a_hint(spark):
     known = spark.createDataFrame([(s,) for s in licences.known_sentences()], "s string")
     assert known.where(~F.col("s").rlike(licences.hints())).isEmpty()

@@ -7,7 +7,10 @@ the cut as several pieces, so pieces that begin one are also looked up joined wi
 them. A rule names identifiers that have to occur in that order; a rule may cover others, which
 are then not reported for the same passage. Sentences are read three times, with a line break as
 an end, with it as a blank, as notices are often wrapped, and with only blank lines and lines of
-copyright as ends, as titles and owners have no full stop.
+copyright as ends, as titles and owners have no full stop; a web address always is a sentence of
+its own. A sentence's place is the number of words before it, the same in every reading, so what
+the readings find is put together in one sequence, each sentence at its place once. After an SPDX
+tag, the operands of an expression (AND, OR, WITH) are looked up one by one.
 
 All of it is one projection of built-in functions over the row's own text. Texts without any
 of the ``HINTS``, one of which every known sentence contains, are not cut at all.
@@ -144,6 +147,10 @@ HINTS = (
 GAP = r"[^\p{L}\p{N}]+"
 BLANK = r"[ \t-\r]+"
 END = f"([.!?:;]){BLANK}"
+ADDRESS = r"(https?://[^ \t-\r]+)"
+SPDX = "spdx license identifier"
+# Operators of an SPDX expression; "or later" belongs to a name.
+OPERATORS = " (?:and|or|with) "
 # What the cut leaves of a known sentence up to the first mark inside it, and the most pieces of one.
 HEADS = (
     "spdx license identifier",
@@ -152,6 +159,10 @@ HEADS = (
     "this program is distributed in the hope that it will be useful but without any warranty",
     "this library is distributed in the hope that it will be useful but without any warranty",
     "this program and the accompanying materials are made available under the terms of the eclipse public license v",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 "
+    "which is available at",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v2 0 "
+    "which accompanies this distribution and is available at",
     "this source code form is subject to the terms of the mozilla public license v",
 )
 PIECES = 3
@@ -166,6 +177,8 @@ def known_sentences() -> dict[str, str]:
     out = {text.replace("licence", "license"): name for name, text in SENTENCES.items()}
     out |= {text: name for name, text in WORDINGS}
     for licence, names in NAMES.items():
+        for ending in ("only", "orlater") if "GPL" in licence else ():
+            out[f"{SPDX} {licence.lower().replace('-', ' ').replace('.', ' ')} {ending}"] = f"by-{licence}"
         for name in names:
             for template in TEMPLATES:
                 out[template.format(name).replace("licence", "license")] = f"by-{licence}"
@@ -204,26 +217,45 @@ def pattern(identifiers: tuple[str, ...]) -> str:
     return " " + " (.* )?".join(i.replace(".", "[.]") for i in identifiers) + " "
 
 
+def sentences(text: Column) -> Column:
+    """Normalised sentences in order, without empty ones."""
+    ended = F.regexp_replace(F.regexp_replace(text, ADDRESS, "\n$1\n"), END, "$1\n")
+    plain = F.transform(F.split(ended, "\n"), lambda s: F.trim(F.regexp_replace(F.lower(s), GAP, " ")))
+    plain = F.transform(plain, lambda s: F.regexp_replace(s, "licence", "license"))
+    plain = F.transform(plain, lambda s: F.regexp_replace(s, OWNERS, "nor the names of "))
+    return F.filter(plain, lambda s: s != "")
+
+
 def identifiers(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in their order, joined by blanks."""
+    """``(place, name)`` of the known sentences of a text; a name may be several, with blanks."""
     names = known_sentences()
     known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
-    ended = F.split(F.regexp_replace(text, END, "$1\n"), "\n")
-    plain = F.transform(ended, lambda s: F.trim(F.regexp_replace(F.lower(s), GAP, " ")))
-    plain = F.transform(plain, lambda s: F.regexp_replace(s, "licence", "license"))
-    plain = F.transform(plain, lambda s: F.regexp_replace(s, OWNERS, "nor the names of "))
-    plain = F.filter(plain, lambda s: s != "")
 
     def look_up(s: Column) -> Column:
         return F.when(s.isin(*names), F.try_element_at(known, s))
 
+    def operands(s: Column) -> Column:
+        parts = F.split(F.regexp_replace(s, " or later", " orlater"), OPERATORS)
+        found = F.array_compact(F.transform(parts, lambda p: look_up(F.concat(F.lit(f"{SPDX} "), p))))
+        return F.when(F.size(found) > 0, F.array_join(found, " "))
+
     def joined(pieces: Column, s: Column, i: Column) -> Column:
         runs = [look_up(F.array_join(F.slice(pieces, i + 1, n), " ")) for n in range(2, PIECES + 1)]
-        return F.coalesce(look_up(s), F.when(s.isin(*HEADS), F.coalesce(*runs)))
+        expression = F.when(s == SPDX, operands(F.get(pieces, i + 1)))
+        return F.coalesce(look_up(s), F.when(s.isin(*HEADS), F.coalesce(*runs, expression)))
+
+    def placed(pieces: Column) -> Column:
+        named = F.transform(pieces, lambda s, i: F.struct(i.alias("i"), joined(pieces, s, i).alias("name")))
+        return F.transform(
+            F.filter(named, lambda x: x["name"].isNotNull()),
+            lambda x: F.struct(
+                F.aggregate(F.slice(pieces, F.lit(1), x["i"]), F.lit(0), lambda n, s: n + F.size(F.split(s, " "))).alias("place"),
+                x["name"].alias("name"),
+            ),
+        )
 
     # The outer transform keeps the pieces, so that they are not cut again for each of them.
-    found = F.transform(F.array(plain), lambda pieces: F.transform(pieces, lambda s, i: joined(pieces, s, i)))[0]
-    return F.concat(F.lit(" "), F.array_join(F.array_compact(found), " "), F.lit(" "))
+    return F.transform(F.array(sentences(text)), placed)[0]
 
 
 def paragraphs(text: Column) -> Column:
@@ -237,23 +269,21 @@ def scan(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     rest = [F.col(f"`{c}`") for c in df.columns if c not in ("sentences", "licences", "_ids")]
     whole = F.col(text)
     readings = F.array(whole, F.translate(whole, "\r\n", "  "), paragraphs(whole))
-    ids = F.when(whole.rlike(hints()), F.transform(readings, identifiers)).otherwise(F.array(*[F.lit("  ")] * 3))
+    placed = F.sort_array(F.array_distinct(F.flatten(F.transform(readings, identifiers))))
+    named = F.array_join(F.transform(placed, lambda x: x["name"]), " ")
+    ids = F.when(whole.rlike(hints()), F.concat(F.lit(" "), named, F.lit(" "))).otherwise(F.lit("  "))
     found = df.select(*rest, ids.alias("_ids"))
 
     def occurs(names: tuple[str, ...]) -> Column:
-        found = F.exists("_ids", lambda s: s.rlike(pattern(names)))
+        found = F.col("_ids").rlike(pattern(names))
         if names not in COVERED:
             return found
         covering = pattern(COVERED[names])
-
-        def alone(ids: Column) -> Column:
-            """Whether one of the passages, each from the first identifier on, is not covered."""
-            passages = F.split(ids, f"(?= {names[0]} )")
-            passages = F.transform(passages, lambda s: F.concat(s, F.lit(" ")))
-            return F.exists(passages, lambda s: s.rlike(pattern(names)) & ~s.rlike(covering))
-
-        covered = F.exists("_ids", lambda s: s.rlike(covering))
-        return found & (~covered | F.exists("_ids", lambda s: s.rlike(covering) & alone(s)))
+        # Passages from one first identifier to the next: is one of them not covered?
+        passages = F.split("_ids", f"(?= {names[0]} )")
+        passages = F.transform(passages, lambda s: F.concat(s, F.lit(" ")))
+        alone = F.exists(passages, lambda s: s.rlike(pattern(names)) & ~s.rlike(covering))
+        return found & (~F.col("_ids").rlike(covering) | alone)
 
     def matched(fallback: bool) -> Column:
         tests = [F.when(occurs(names), licence) for licence, names, last in rules if last == fallback]
@@ -262,10 +292,8 @@ def scan(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     first = matched(False)
     found = found.select(*rest, "_ids", first.alias("_first"))
     licences = F.when(F.size("_first") > 0, F.col("_first")).otherwise(matched(True))
-    size = F.transform("_ids", F.length)
-    longest = F.get("_ids", F.array_position(size, F.array_max(size)) - 1)
     return found.select(
         *rest,
-        F.trim(longest).alias("sentences"),
+        F.trim("_ids").alias("sentences"),
         F.array_join(licences, ",").alias("licences"),
     )

@@ -59,42 +59,67 @@ def quality(source: str = "documents") -> str:
 
 
 def licences(source: str = "documents") -> str:
-    """Sentences unnested, joined with the known ones and put together again by place."""
+    """Sentences unnested in three readings, joined with the known ones, alone or with the pieces
+    after them, and put together again by the number of words before them."""
     known = ", ".join(f"('{text}', '{name}')" for text, name in L.known_sentences().items())
+    heads = ", ".join(f"'{h}'" for h in L.HEADS)
     rules = ", ".join(
-        f"({k}, '{licence}', '{L.pattern(ids)}', {fallback})"
+        f"({k}, '{licence}', '{L.pattern(ids)}', {fallback}, '{ids[0] if ids in L.COVERED else ''}', "
+        f"'{L.pattern(L.COVERED.get(ids, ids))}')"
         for k, (licence, ids, fallback) in enumerate(L.RULES)
     )
     return rf"""
     WITH known(sentence, name) AS (VALUES {known}),
-    rules(place, licence, pattern, fallback) AS (VALUES {rules}),
+    rules(place, licence, pattern, fallback, first_name, covering) AS (VALUES {rules}),
     t AS (
       SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM {source}
     ), versions AS (
       SELECT k, 0 AS v, text FROM t UNION ALL
-      SELECT k, 1 AS v, replace(replace(text, chr(10), ' '), chr(13), ' ') FROM t
+      SELECT k, 1 AS v, replace(replace(text, chr(10), ' '), chr(13), ' ') FROM t UNION ALL
+      SELECT k, 2 AS v, replace(replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'),
+        '{L.COPYRIGHT_LINE}', E'\\1\n\n', 'g'), '{L.BLANK_LINES}', chr(13), 'g'), chr(10), ' '), chr(13), chr(10)) FROM t
     ), cut AS (
-      SELECT k, v, string_split(regexp_replace(text, E'([.!?:;])[ \t-\r]+', E'\\1\n', 'g'), chr(10)) AS parts
+      SELECT k, v, string_split(regexp_replace(regexp_replace(text, E'(https?://[^ \t-\r]+)', E'\n\\1\n', 'g'),
+        E'([.!?:;])[ \t-\r]+', E'\\1\n', 'g'), chr(10)) AS parts
       FROM versions
     ), said AS (
-      SELECT k, v, generate_subscripts(parts, 1) AS place, unnest(parts) AS part FROM cut
+      SELECT k, v, generate_subscripts(parts, 1) AS i, unnest(parts) AS part FROM cut
     ), plain AS (
-      SELECT k, v, place, replace(trim(regexp_replace(lower(part), '[^\p{{L}}\p{{N}}]+', ' ', 'g')),
-        'licence', 'license') AS sentence FROM said
+      SELECT k, v, i, regexp_replace(replace(trim(regexp_replace(lower(part), '[^\p{{L}}\p{{N}}]+', ' ', 'g')),
+        'licence', 'license'), '{L.OWNERS}', 'nor the names of ') AS sentence FROM said
+    ), numbered AS (
+      SELECT k, v, i, sentence, lead(sentence) OVER w AS after, lead(sentence, 2) OVER w AS then_after,
+        coalesce(sum(len(string_split(sentence, ' '))) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+      FROM plain WHERE sentence <> '' WINDOW w AS (PARTITION BY k, v ORDER BY i)
+    ), runs AS (
+      SELECT k, v, i, place, 1 AS way, 0 AS part, sentence FROM numbered UNION ALL
+      SELECT k, v, i, place, 2, 0, sentence || ' ' || after FROM numbered WHERE sentence IN ({heads}) UNION ALL
+      SELECT k, v, i, place, 3, 0, sentence || ' ' || after || ' ' || then_after FROM numbered WHERE sentence IN ({heads})
+      UNION ALL
+      SELECT k, v, i, place, 4, generate_subscripts(operands, 1), sentence || ' ' || unnest(operands) FROM (
+        SELECT *, regexp_split_to_array(replace(after, ' or later', ' orlater'), '{L.OPERATORS}') AS operands
+        FROM numbered WHERE sentence = '{L.SPDX}')
+    ), named AS (
+      SELECT k, v, i, place, way, string_agg(name, ' ' ORDER BY part) AS name
+      FROM runs JOIN known USING (sentence) GROUP BY ALL
+    ), chosen AS (
+      SELECT DISTINCT k, place, name FROM (
+        SELECT k, place, first(name) OVER (PARTITION BY k, v, i ORDER BY way) AS name FROM named)
     ), sequences AS (
-      SELECT k, v, ' ' || string_agg(name, ' ' ORDER BY place) || ' ' AS ids
-      FROM plain JOIN known USING (sentence) GROUP BY k, v
+      SELECT k, ' ' || string_agg(name, ' ' ORDER BY place, name) || ' ' AS ids FROM chosen GROUP BY k
     ), hit AS (
       SELECT DISTINCT k, licence, first(place) OVER (PARTITION BY k, licence ORDER BY place) AS place, fallback
-      FROM sequences JOIN rules ON regexp_matches(ids, pattern)
+      FROM sequences JOIN rules ON regexp_matches(ids, pattern) AND (
+        first_name = '' OR NOT regexp_matches(ids, covering) OR len(list_filter(
+          string_split(replace(ids, ' ', '  '), ' ' || first_name || ' ')[2:],
+          lambda x: regexp_matches(' ' || first_name || ' ' || x || ' ', pattern)
+            AND NOT regexp_matches(' ' || first_name || ' ' || x || ' ', covering))) > 0)
     ), best AS (
       SELECT k, string_agg(licence, ',' ORDER BY place) AS licences FROM hit
       WHERE NOT fallback OR k NOT IN (SELECT k FROM hit WHERE NOT fallback) GROUP BY k
-    ), longest AS (
-      SELECT k, trim(arg_max(ids, 2 * length(ids) - v)) AS sentences FROM sequences GROUP BY k
     )
-    SELECT doc_id, coalesce(sentences, '') AS sentences, coalesce(licences, '') AS licences
-    FROM t LEFT JOIN longest USING (k) LEFT JOIN best USING (k)"""
+    SELECT doc_id, coalesce(trim(ids), '') AS sentences, coalesce(licences, '') AS licences
+    FROM t LEFT JOIN sequences USING (k) LEFT JOIN best USING (k)"""
 
 
 def shards(source: str = "documents", limit: int = S.SHARD_BYTES) -> str:
