@@ -55,10 +55,10 @@ def test_accepted():
 def test_log_lines(tmp_path):
     code = (
         "import logging, sys; from tidemark.logs import configure_logging; configure_logging(sys.argv[1]);"
-        "logging.getLogger('n').info('m %s', 1, extra={'context': {'event': 'e'}})"
+        "logging.getLogger('n').info('m %s', 1, extra={'event': 'e', 'source_path': 'dropped'})"
     )
     path = tmp_path / "sub" / "x.log"
     subprocess.run([sys.executable, "-c", code, str(path)], check=True, cwd=Path(__file__).parent.parent)
     line = json.loads(path.read_text())
     assert line.pop("ts")
-    assert line == {"level": "INFO", "logger": "n", "msg": "m 1", "context": {"event": "e"}}
+    assert line == {"level": "INFO", "logger": "n", "message": "m 1", "event": "e"}

@@ -28,7 +28,7 @@ def constant(size=16):
 def files(tmp_path):
     contents = {
         "a.txt": "hello   world\n\n\nline2",
-        "b.md": "# Guide\n\n| Cmd | Desc |\n|-----|------|\n| :q | Quit |\n\nEnd.",
+        "b.md": "# Knots\n\n| Knot | Use |\n|------|-----|\n| reef | join |\n\nEnd.",
         "c d.html": "<html><body><p>Intro</p><table><tr><th>A</th></tr></table><p>End</p></body></html>",
         ".hidden.txt": "hidden words",
         "[x]{y}*.txt": "odd name",
@@ -52,7 +52,7 @@ def test_ingest_all_kinds(spark, work, config, files):
     assert status["documents_count"] == 6 and status["points_count"] == 5
     chunks = {r.source_path: r.chunk_text for r in engine.tables.chunks().collect()}
     assert chunks[str(files["c d.html"])] == "Intro.\n\nEnd"
-    assert "Cmd: :q.\n\nDesc: Quit" in chunks[str(files["b.md"])]
+    assert "Knot: reef.\n\nUse: join" in chunks[str(files["b.md"])]
     hit = engine.search("hello world", 1).first()
     assert hit.source_path == str(files["a.txt"]) and hit.score > 0.5
     assert engine.document(first.document_id)["metadata"]["file_suffix"] == ".txt"
@@ -190,7 +190,8 @@ def test_cli_reset_can_be_refused(run, monkeypatch):
 
 def test_cli_small_commands(run, monkeypatch):
     assert json.loads(run("version", "--json")[1]) == {"version": tidemark.__version__}
-    assert "upcoming phases" in run("reindex")[2] and "upcoming phases" in run("doctor")[2]
+    assert run("doctor")[0] == 0 and "complete" in run("doctor")[2]
+    assert run("reindex")[0] == 0 and "compacted" in run("reindex")[2]
     assert "model.backend" in run("models", "show")[2]
     assert run("models", "validate")[0] == 0
     monkeypatch.setattr(cli, "validate_model", lambda *a: (False, "no such model"))

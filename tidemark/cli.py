@@ -159,12 +159,17 @@ class Cli:
         return self.show({"version": ver}, lambda: _say(f"tidemark v{ver}"))
 
     def reindex(self) -> int:
-        _say("Command 'reindex' will be implemented in upcoming phases.")
+        """Merge the layers of the stored index and delete what no version names any more."""
+        self.engine.tables.compact(everything=True)
+        deleted = self.engine.tables.vacuum()
+        _say(f"Index compacted, {deleted} old layers deleted.")
         return 0
 
     def doctor(self) -> int:
-        _say("Command 'doctor' will be implemented in upcoming phases.")
-        return 0
+        """Whether every layer that the current version names is there."""
+        missing = self.engine.tables.missing_layers()
+        _say("\n".join(f"missing: {name}" for name in missing) or "The index is complete.")
+        return 2 if missing else 0
 
 
 def build_parser() -> argparse.ArgumentParser:
@@ -186,8 +191,8 @@ def build_parser() -> argparse.ArgumentParser:
     command("storage", "disk usage")
     command("reset", "delete all indexed data").add_argument("--force", action="store_true")
     command("version", "show the version")
-    command("reindex", "placeholder", with_json=False)
-    command("doctor", "placeholder", with_json=False)
+    command("reindex", "compact the stored index", with_json=False)
+    command("doctor", "check the stored index", with_json=False)
     actions = command("models", "embedding models", with_json=False).add_subparsers(
         dest="action", required=True
     )

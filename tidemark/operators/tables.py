@@ -339,3 +339,14 @@ class IndexTables:
                 fs, target = file_system(self.spark, f"{self._paths[table][0]}/layer={name}")
                 deleted += bool(fs.delete(target, True))
         return deleted
+
+    def missing_layers(self) -> list[str]:
+        """Folders the current version names that are not there."""
+        out = []
+        for table, names in self.version().layers.items():
+            for name in names:
+                folder = f"{self._paths[table][0]}/layer={name}"
+                fs, target = file_system(self.spark, folder)
+                if not fs.exists(target):
+                    out.append(folder)
+        return out
