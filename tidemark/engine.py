@@ -6,7 +6,7 @@ import logging
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from tidemark.config import Config
 from tidemark.operators import chunk as C
@@ -82,9 +82,7 @@ class Engine:
         writes that follow read the columns they need from there. Returns the
         metadata of each document; texts and vectors are removed again.
         """
-        staging = Staging(
-            self.spark, work_dir(self.spark, f"{self.config.paths.data_dir}/work")
-        )
+        staging = self._staging()
         try:
             rows = self._ingest(source, staging)
         except BaseException:
@@ -93,6 +91,13 @@ class Engine:
         staging.discard("extracted", "known", "embedded")
         return rows.select("document_id", "source_path", "source_kind", "metadata")
 
+    def _staging(self) -> Staging:
+        return Staging(self.spark, work_dir(self.spark, f"{self.config.paths.data_dir}/work"))
+
+    def stage(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` written once to the shared folder and read back."""
+        return self._staging().write(rows, name)
+
     def _ingest(self, source: DataFrame, staging: Staging) -> DataFrame:
         extracted = staging.write(X.extract(source, self.pdf_reader), "extracted")
         unique = U.unique_documents(extracted)
@@ -129,17 +134,24 @@ class Engine:
             raise RuntimeError("The query could not be embedded.")
         return vector
 
-    def search_vector(self, query: list[float], limit: int = Q.DEFAULT_TOP_K) -> DataFrame:
-        return Q.search_points(self.tables.chunks(), query, limit, self.tables.chunks_of)
-
-    def search(self, query: str, limit: int = Q.DEFAULT_TOP_K) -> DataFrame:
-        """The ``limit`` chunks closest to ``query``, best first."""
+    def search_vector(
+        self, query: list[float], limit: int = Q.DEFAULT_TOP_K, where: Column | None = None,
+        after: tuple[float, str] | None = None,
+    ) -> DataFrame:
+        return Q.search_points(self.tables.chunks(), query, limit, self.tables.chunks_of, where, after)
+
+    def search(
+        self, query: str, limit: int = Q.DEFAULT_TOP_K, where: Column | None = None,
+        after: tuple[float, str] | None = None,
+    ) -> DataFrame:
+        """The ``limit`` chunks closest to ``query``, best first; ``where`` filters stored columns
+        before the ranking, ``after`` continues behind a (score, point_id)."""
         vector = self.embed_query(query)
         self.tables.migrate()
         self.tables.ensure_collection(self.measured_size())
         if self.tables.chunks().isEmpty():
             raise Q.EmptyIndexError("No documents indexed yet. Run 'ingest <files>' first.")
-        return self.search_vector(vector, limit)
+        return self.search_vector(vector, limit, where, after)
 
     # -- inventory --------------------------------------------------------
 

@@ -14,13 +14,14 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.vectors import unit_rows
 
 
-
 class WrongVectorSize(ValueError):
     """A model gives vectors of another size than it was configured with."""
 
@@ -74,21 +75,42 @@ def _word_hash(word: str) -> int:
     return int(hashlib.md5(word.encode()).hexdigest()[:7], 16)
 
 
+def micro_batches(lengths: Sequence[int], most: int, most_padded: int) -> Iterator[list[int]]:
+    """Places of texts in groups of like length, shortest first: at most ``most`` of them, and at
+    most ``most_padded`` characters once all are padded to the longest (a longer text is alone)."""
+    order = sorted(range(len(lengths)), key=lambda i: (lengths[i], i))
+    group: list[int] = []
+    for i in order:
+        if group and (len(group) == most or (len(group) + 1) * lengths[i] > most_padded):
+            yield group
+            group = []
+        group.append(i)
+    if group:
+        yield group
+
+
 class ModelEmbedder:
     """A Python model, loaded once per worker on first use.
 
-    ``load`` returns a function ``list of texts -> list of vectors``.
+    ``load`` returns a function ``list of texts -> list of vectors``. Texts of an Arrow batch are
+    handed over in groups of like length, so that little is spent on padding, and put back in
+    their order. With a ``profile`` (a Spark resource profile, such as one GPU a task) the stage
+    that embeds runs on executors that have these resources.
     """
 
-    def __init__(self, load: Callable[[], EncodeTexts], vector_size: int, batch_size: int = 64):
+    def __init__(
+        self, load: Callable[[], EncodeTexts], vector_size: int, batch_size: int = 64,
+        padded_chars: int = 1 << 20, profile: ResourceProfile | None = None,
+    ):
         self.load = load
         self.vector_size = vector_size
         self.batch_size = batch_size
+        self.padded_chars = padded_chars
+        self.profile = profile
 
-    def embed(self, df: DataFrame, text: str) -> DataFrame:
-        load, size, batch_size = self.load, self.vector_size, self.batch_size
+    def _encoder(self) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+        load, size, batch_size, padded = self.load, self.vector_size, self.batch_size, self.padded_chars
 
-        @F.arrow_udf("array<float>")
         def encode_all(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encode = load()
             kind = pa.list_(pa.float32())
@@ -114,13 +136,36 @@ class ModelEmbedder:
                 texts = batch.to_pylist()
                 found: list = [None] * len(texts)
                 present = [i for i, t in enumerate(texts) if t is not None]
-                for at in range(0, len(present), batch_size):
-                    part = present[at : at + batch_size]
+                for group in micro_batches([len(texts[i]) for i in present], batch_size, padded):
+                    part = [present[g] for g in group]
                     for i, v in zip(part, tolerant([texts[i] for i in part])):
                         found[i] = v
                 yield pa.array(found, kind)
 
-        return df.withColumn("embedding", encode_all(F.col(text)))
+        return encode_all
+
+    def embed(self, df: DataFrame, text: str) -> DataFrame:
+        encode_all = self._encoder()
+        if self.profile is None:
+            return df.withColumn("embedding", F.arrow_udf(encode_all, "array<float>")(F.col(text)))
+        kept = [c for c in df.columns if c != "embedding"]
+        place = kept.index(text)
+
+        def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            waiting: list[pa.RecordBatch] = []
+
+            def texts() -> Iterator[pa.Array]:
+                for batch in batches:
+                    waiting.append(batch)
+                    yield batch.column(place)
+
+            for vectors in encode_all(texts()):
+                batch = waiting.pop(0)
+                yield pa.RecordBatch.from_arrays([*batch.columns, vectors], [*batch.schema.names, "embedding"])
+
+        rows = df.select(*kept)
+        schema = T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+        return rows.mapInArrow(attach, schema, profile=self.profile)
 
 
 def load_sentence_transformer(name: str, cache_dir: str, batch_size: int) -> EncodeTexts:

@@ -165,6 +165,24 @@ class IndexTables:
             self.documents(), self.chunks(), self.migrations(), self.collection
         )
 
+    def catalog(self) -> DataFrame:
+        """``name, layers, row_count, bucket_count, bytes`` of the current version's tables: rows
+        are counted from the stored columns' metadata, bytes come from listing the folders."""
+        version, parts = self.version(), None
+        for name in ("documents", "documents_gone", "chunks", "chunks_gone"):
+            names = version.of(name)
+            size = sum(self._bytes(name, layer) for layer in names)
+            rows = self._layers(name, names)
+            rows = self.spark.createDataFrame([], T.StructType(_PLACE)) if rows is None else rows
+            counts = rows.groupBy("bucket").agg(F.count("*").alias("n"))
+            part = counts.agg(
+                F.lit(name).alias("name"), F.lit(len(names)).alias("layers"),
+                F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.count("*").alias("bucket_count"),
+                F.lit(size).cast("long").alias("bytes"),
+            )
+            parts = part if parts is None else parts.unionByName(part)
+        return parts
+
     # -- set-up -----------------------------------------------------------
 
     def migrate(self) -> None:
@@ -284,6 +302,17 @@ class IndexTables:
     def delete_chunks(self, document_ids: DataFrame) -> None:
         self._append("chunks", None, self.stored_ids(document_ids, "chunks").distinct())
 
+    def delete_documents(self, document_ids: DataFrame) -> None:
+        """Remove documents and their chunks in one change."""
+        with self.change():
+            self._append("documents", None, self.stored_ids(document_ids).distinct())
+            self.delete_chunks(document_ids)
+
+    def versions_of(self, paths: DataFrame) -> DataFrame:
+        """``document_id, source_path`` of all stored documents with one of these source paths."""
+        stored = self.documents().select("document_id", "source_path")
+        return stored.join(paths.select("source_path").distinct(), "source_path", "left_semi")
+
     # -- upkeep -----------------------------------------------------------
 
     def _bytes(self, table: str, layer: str) -> int:

@@ -28,6 +28,7 @@ from tidemark.operators import search as Q
 from tidemark.operators import status as ST
 from tidemark.operators import upsert as U
 from tidemark.operators import vector_index as VI
+from tidemark.operators.tables import IndexTables
 from tidemark.session import work_dir
 from tidemark.sources import files
 
@@ -88,6 +89,17 @@ def first_vector(points: DataFrame) -> list[float]:
     return points.where(F.col("vec_id") == 0).select("embedding").first()[0]
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new folder for stored results, where every executor can reach it."""
+    shared = work_dir(spark, spark.conf.get("spark.sql.warehouse.dir"))
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+def fresh_engine(spark: SparkSession) -> Engine:
+    config = parse_config({"paths": {"data_dir": fresh(spark, "index")}})
+    return Engine(spark, config, E.HashingEmbedder(HASH_SIZE))
+
+
 # -- scans and sources --------------------------------------------------------
 
 
@@ -292,10 +304,20 @@ def human_size(spark, folder):
     return _documents_with(spark, folder, size=D.human_size(F.octet_length("text") * F.col("doc_id")))
 
 
+def stored_documents(spark: SparkSession, folder: str) -> IndexTables:
+    """A fresh index that holds the documents' rows (no chunks)."""
+    root = fresh(spark, "index")
+    tables = IndexTables(spark, f"{root}/meta", f"{root}/vectors")
+    tables.migrate()
+    tables.upsert_documents(document_rows(spark, folder))
+    return tables
+
+
 @query
 def storage_usage(spark, folder):
-    total = F.sum(F.octet_length("text").cast("long"))
-    return table(spark, folder, "documents").agg(
+    """Bytes of all documents, summed from the stored index; no text is read."""
+    total = F.sum("byte_size")
+    return stored_documents(spark, folder).documents().agg(
         total.alias("total_bytes"), D.human_size(total).alias("total_size")
     )
 
@@ -314,10 +336,11 @@ def ingest_documents(spark, folder):
 
 @query
 def document_lookup(spark, folder):
-    """The document with the smallest id, found again by that id."""
-    rows = document_rows(spark, folder)
-    wanted = rows.agg(F.min("document_id")).scalar()
-    found = rows.where(F.col("document_id") == wanted)
+    """The document with the smallest id, found again by that id in the stored index: one
+    partition is listed, and of its rows the id is pushed down to the row groups."""
+    tables = stored_documents(spark, folder)
+    wanted = tables.documents().agg(F.min("document_id").alias("id")).first().id
+    found = tables.find_document(wanted) if wanted else tables.documents()
     return found.select("document_id", "source_path", "source_kind", "char_count")
 
 
@@ -345,9 +368,25 @@ def embed_chunks(spark, folder):
 
 @query
 def index_status(spark, folder):
-    migrations = spark.range(1).select(F.lit(1).alias("version"))
-    rows = document_rows(spark, folder)
-    return ST.index_status(rows, chunks(spark, folder), migrations, "document_chunks")
+    """Counts of a stored index of all documents and their chunks."""
+    engine = fresh_engine(spark)
+    engine.initialize()
+    engine.ingest_frame(text_source(spark, folder))
+    return engine.tables.status()
+
+
+@query
+def index_catalog(spark, folder):
+    """What the stored index consists of: documents, rows and buckets a table, after all documents
+    were stored, the labelled ones stored again, and everything compacted."""
+    tables = stored_documents(spark, folder)
+    labels = table(spark, folder, "labels").select("doc_id")
+    docs = texts(spark, folder, "documents").join(labels, "doc_id", "left_semi")
+    again = files.from_table(docs, document_path(), F.lit("md"), F.col("text"))
+    now = F.lit(SECOND_RUN).cast("timestamp")
+    tables.upsert_documents(U.document_rows(XT.extract_plain(again).drop("text"), now))
+    tables.compact(everything=True)
+    return tables.catalog().where(F.col("layers") > 0).select("name", "layers", "row_count", "bucket_count")
 
 
 # -- keyed changes ------------------------------------------------------------------------
@@ -405,9 +444,7 @@ def delete_document(spark, folder):
 def stored_index(spark, folder):
     """The whole ingest on stored tables, in a fresh index in the shared folder:
     all documents, the labelled ones again as Markdown, toxic ones without chunks."""
-    shared = work_dir(spark, spark.conf.get("spark.sql.warehouse.dir"))
-    config = parse_config({"paths": {"data_dir": f"{shared}/index-{uuid.uuid4().hex}"}})
-    engine = Engine(spark, config, E.HashingEmbedder(HASH_SIZE))
+    engine = fresh_engine(spark)
     engine.initialize()
     engine.ingest_frame(text_source(spark, folder))
     docs = texts(spark, folder, "documents")
@@ -445,12 +482,6 @@ def batch_search_topk(spark, folder):
     return best.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
-def fresh(spark: SparkSession, name: str) -> str:
-    """A new folder for stored results, where every executor can reach it."""
-    shared = work_dir(spark, spark.conf.get("spark.sql.warehouse.dir"))
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
-
-
 def vector_index(spark: SparkSession, folder: str) -> VI.VectorIndex:
     return VI.build(embeddings(spark, folder), fresh(spark, "vector-index"))
 

@@ -298,6 +298,9 @@ ORACLE: dict[str, str] = {
     "index_status": _chunks("""
         SELECT 1::INTEGER AS schema_version, 'document_chunks' AS collection_name,
           (SELECT count(*) FROM ch) AS points_count, (SELECT count(*) FROM d) AS documents_count"""),
+    "index_catalog": f"""
+        WITH {_NORMALIZED} SELECT 'documents' AS name, 1::INTEGER AS layers, count(*) AS row_count,
+          count(DISTINCT left(document_id, 2)) AS bucket_count FROM d""",
     "upsert_documents": f"""
         WITH {_NORMALIZED}, dl AS (SELECT * FROM d), turns AS (
           SELECT ('conv://' || conv_id || '/' || turn) AS source_path, text FROM conversations),
