@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import sql
 from tidemark.config import parse_config
 from tidemark.engine import Engine
 from tidemark.functions import display as D
@@ -349,6 +350,20 @@ def chunk_documents(spark, folder):
     return chunks(spark, folder).select("source_path", "chunk_index", "chunk_text")
 
 
+@query
+def sql_functions(spark, folder):
+    """The chunks once more, by SQL text that calls the registered functions."""
+    sql.register(spark, "tidemark_")
+    docs = texts(spark, folder, "documents").withColumn("source_path", document_path())
+    return spark.sql(
+        """
+        SELECT d.source_path, c.chunk_index, c.chunk_text
+        FROM (SELECT source_path, tidemark_final_text(text) AS final FROM {docs}) d,
+          LATERAL tidemark_split_chunks(d.final) c""",
+        docs=docs,
+    )
+
+
 @query
 def chunk_stats(spark, folder):
     return C.chunk_stats(chunks(spark, folder))

@@ -289,6 +289,7 @@ ORACLE: dict[str, str] = {
         SELECT document_id, source_path, 'txt' AS source_kind, char_count::BIGINT AS char_count
         FROM d WHERE document_id = (SELECT min(document_id) FROM d)"""),
     "chunk_documents": _chunks("SELECT source_path, chunk_index, chunk_text FROM ch"),
+    "sql_functions": _chunks("SELECT source_path, chunk_index, chunk_text FROM ch"),
     "chunk_stats": _chunks("""
         SELECT document_id, count(*) AS n_chunks, max(length(chunk_text))::BIGINT AS max_chars,
           max(chunk_index)::BIGINT AS last_index FROM ch GROUP BY document_id"""),
