@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.session import file_system
@@ -33,6 +35,16 @@ def ship(spark: SparkSession) -> None:
     context._tidemark_shipped = True
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system: a worker waits for its next task with
+    what the allocator kept, and several of them share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another allocator; nothing is lost but memory
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
