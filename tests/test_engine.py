@@ -65,6 +65,25 @@ def test_ingest_all_kinds(spark, work, config, files):
     assert engine.status()["documents_count"] == 7 and engine.status()["points_count"] == 6
 
 
+def test_search_filters_and_pages(spark, work, config, tmp_path):
+    from pyspark.sql import functions as F
+    from tidemark.operators.search import cursor_of
+
+    for i in range(12):
+        kind = "md" if i % 3 == 0 else "txt"
+        (tmp_path / f"{i}.{kind}").write_text(f"harbour {'ship ' * (i % 4)}number {i}")
+    engine = Engine(spark, config)
+    engine.ingest(sorted(p for p in tmp_path.iterdir() if p.suffix in (".md", ".txt")))
+    whole = engine.search("harbour ship", 12).collect()
+    pages, after = [], None
+    while page := engine.search("harbour ship", 5, after=after).collect():
+        pages += page
+        after = cursor_of(page[-1])
+    assert [r.source_path for r in pages] == [r.source_path for r in whole] and len(pages) == 12
+    only = engine.search("harbour ship", 12, F.col("source_path").endswith(".md")).collect()
+    assert [r.source_path for r in only] == [r.source_path for r in whole if r.source_path.endswith(".md")]
+
+
 def test_bad_input_stops_before_any_write(spark, work, config, files, tmp_path):
     engine = Engine(spark, config, constant())
     (tmp_path / "x.csv").write_text("a,b")

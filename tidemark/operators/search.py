@@ -7,11 +7,13 @@ and task before anything moves.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import as_matrix, score_against, unit_rows
@@ -63,6 +65,13 @@ def top_k(
     return ranked.orderBy(rank_key(), F.col(key)).limit(k)
 
 
+def cursor_of(hit: Row) -> tuple[float, str]:
+    """Where the page after this hit begins: its score and its point's id, which follows from its
+    document and place."""
+    chunk = hashlib.sha256(f"{hit.document_id}:{hit.chunk_index}".encode()).hexdigest()
+    return hit.score, str(uuid.uuid5(uuid.NAMESPACE_DNS, chunk))
+
+
 def search_points(
     points: DataFrame,
     query: Sequence[float],
@@ -74,7 +83,7 @@ def search_points(
     """Search the stored chunks; the columns of a search hit, best first.
 
     ``where`` is a filter on any column of the rows, part of the scan and applied before the
-    ranking; ``after`` the (score, point_id) of the last hit of the page before.
+    ranking; ``after`` the (score, point_id) of the last hit of the page before (``cursor_of``).
 
     Only ids and vectors are scanned for the ranking. The k hits, by then known, are looked up
     by document, with ``stored(document ids)`` where the caller can find rows by id.
