@@ -43,7 +43,7 @@ RUNS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 BOUNDARY = re.compile(f"[^{SPACE}][{SPACE}]")
 SLICE = 1 << 20
 NEVER = 1 << 31
-KEPT_RUNS, KEPT_FRAGMENTS, KEPT_LENGTH = 1 << 18, 1 << 16, 64
+KEPT_RUNS, NEW_RUNS, KEPT_FRAGMENTS, KEPT_LENGTH = 1 << 18, 1 << 17, 1 << 17, 64
 SHORT = 48
 
 
@@ -147,18 +147,27 @@ def keep(cache: dict, key, value, most: int) -> None:
 
 
 class Runs(dict):
-    """Ids (as 32-bit numbers) of a blank run with the characters after it."""
+    """Ids (as 32-bit numbers) of a blank run with the characters after it.
+
+    A run enters the table when it is seen again while it is still among the new ones: most runs
+    occur once and would only push out those that come back.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.fragments: dict[bytes, list[int]] = {}
+        self.new: dict[str, bytes] = {}
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.split = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
     def __missing__(self, run: str) -> bytes:
+        ids = self.new.pop(run, None)
+        if ids is not None:
+            keep(self, run, ids, KEPT_RUNS)
+            return ids
         ids = array("I", self.encode(run)).tobytes()
         if len(run) <= KEPT_LENGTH:
-            keep(self, run, ids, KEPT_RUNS)
+            keep(self.new, run, ids, NEW_RUNS)
         return ids
 
     def encode(self, run: str) -> list[int]:
