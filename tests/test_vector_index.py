@@ -53,6 +53,16 @@ def test_exact_search_reads_few_cells(index, points):
     assert (away - index._column("radius") <= V._within(kth)).sum() < cells / 3
 
 
+def test_filter_does_not_grow_with_the_cells(spark, points, tmp_path, work):
+    """One range an or-ed term a cell overflowed generated code, or the stack, with many cells."""
+    df, x = points
+    index = V.build(df, str(tmp_path / "i"), cells=400)
+    assert len(index.centres) > 300
+    scan = index.search((-x[5]).tolist(), 20, F.col("label") % 2 == 0, probes=1)
+    assert scan._jdf.queryExecution().optimizedPlan().toString().count("angle") < 40
+    assert hits(scan) == hits(Q.top_k(df.where("label % 2 = 0"), (-x[5]).tolist(), 20, "vec_id"))
+
+
 def test_bounds_hold(index):
     rows = index.points().toPandas()
     assert len(rows) == 3000 and rows.vec_id.is_unique

@@ -21,8 +21,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from functools import cached_property, reduce
-from operator import or_
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -176,14 +175,19 @@ class VectorIndex:
 
     def _readable(self, away: np.ndarray, reach: float, beyond: float) -> Column:
         """The rows whose angle to the query may lie in ``beyond`` to ``reach``: whole cells by
-        their radius, and in the others by the range of angles to the centre."""
+        their radius, and in the others by the range of angles to the centre. The ranges are two
+        arrays indexed by cell, so that the filter has one size however many cells there are."""
         cells, radius = self._column("cell"), self._column("radius")
         ok = (away - radius <= reach + ROOM) & (away + radius >= beyond - ROOM)
-        parts = [
-            (F.col("cell") == int(c)) & F.col("angle").between(float(max(a - reach, beyond - a) - ROOM), float(a + reach + ROOM))
-            for c, a in zip(cells[ok], away[ok])
-        ]
-        return reduce(or_, parts, F.lit(False))
+        if not ok.any():
+            return F.lit(False)
+        least = np.full(int(cells.max()) + 1, math.inf)
+        most = np.full(len(least), -math.inf)
+        least[cells[ok]] = np.maximum(away[ok] - reach, beyond - away[ok]) - ROOM
+        most[cells[ok]] = away[ok] + reach + ROOM
+        angle, cell = F.col("angle"), F.col("cell")
+        pushed = cell.isin(cells[ok].tolist()) & angle.between(float(least.min()), float(most.max()))
+        return pushed & (angle >= F.lit(least)[cell]) & (angle <= F.lit(most)[cell])
 
     def search(
         self, query: Sequence[float], k: int = 5, where: Column | None = None, after: tuple[float, int] | None = None,
