@@ -92,6 +92,27 @@ def test_blocks_bound_their_postings(spark, index):
         assert b.most_tf == max(b.tfs) and b.least_length == min(b.lengths) and all(docs[x] == n for x, n in zip(numbers, b.lengths))
 
 
+def test_search_sends_no_posting_on_as_a_row(spark, index):
+    """A row a posting and query made the search slower than the rest of it; hits leave a segment only."""
+    asked = spark.createDataFrame([(1, "hot", 0.5), (2, "hot", 0.25), (2, "w1", 1.0)], "query_id int, term string, w double")
+    rows = index._scores(index.blocks, asked, 3)
+    assert "Generate explode(arrays_zip" not in rows._jdf.queryExecution().executedPlan().toString()
+    segments = index.blocks.select("segment").distinct().count()
+    hits = rows.collect()
+    assert 0 < len(hits) < 2000 and segments > 10
+    assert {r.number for r in hits if r.query_id == 1} <= {r.number for r in index.listed.collect()}
+
+
+def test_long_texts_are_cut_before_their_segment_ends(spark, tmp_path, work, monkeypatch):
+    monkeypatch.setattr(K, "HELD", 20)
+    monkeypatch.setattr(K, "COUNTED", 10)
+    docs = [(i, " ".join(f"w{(i * j) % 17}" for j in range(3 + i % 9))) for i in range(120)]
+    index = K.build(spark.createDataFrame(docs, "id long, text string").repartition(3), str(tmp_path / "k"))
+    for query in ("w3 w5", "w0", "w16 w1 w2"):
+        got = [(r.id, round(r.score, 7)) for r in index.search(query, 7).orderBy("rank").collect()]
+        assert [i for i, _ in got] == [i for i, _ in plain_bm25(docs, query, 7)]
+
+
 def test_empty_index(spark, tmp_path):
     index = K.build(spark.createDataFrame([("a", None)], "id string, text string"), str(tmp_path / "k"))
     assert index.search("anything").count() == 0

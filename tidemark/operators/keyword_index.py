@@ -1,15 +1,16 @@
 """A stored inverted index: BM25 top-k that reads the query terms' partitions only.
 
-Texts are read once. A term's postings are kept per segment of at most ``SEGMENT`` documents, cut
-in blocks of ``BLOCK`` of them: numbers as gaps, counts, lengths, and the largest count and the
-smallest length of the block, from which follows what no document of the block can exceed. Blocks
-lie in partitions by a hash of the term, sorted by term, so a search lists the partitions of its
-terms and prunes row groups.
-
-A search first reads the bounds alone (no postings), scores the best segments of every query, and
-then only blocks that can still change its k best: a block's bound plus the other terms' largest
-bounds in that segment must reach the k-th score. What it leaves out cannot rank, so the result is
-the exact BM25 order. No group is larger than a segment, however frequent a term is.
+Texts are read once, and no word of them is shuffled: documents are numbered where they lie, and a
+task cuts its own postings, per segment of at most ``SEGMENT`` documents, in blocks of ``BLOCK`` of
+them: numbers as gaps, counts, lengths, and the largest count and the smallest length of the block.
+Blocks lie in partitions by a hash of the term, sorted by term, so a search lists the partitions of
+its terms and prunes row groups.
+
+A search brings the blocks of its terms together by segment, with the weights of up to ``ASKED``
+pairs of query and term. A task adds up the scores of one segment's documents, one array a query,
+and keeps the k best and what ties with the last of them, so that nothing but those becomes a row.
+Every posting of a term is scored, so the result is the exact BM25 order. No group is larger than a
+segment, however frequent a term is.
 
 Versions are immutable folders behind a pointer. Null texts and texts without a word are not
 indexed; they count in neither the number of documents nor their average length. Equal scores (to
@@ -19,25 +20,30 @@ nine decimals) rank by id; ids are unique, of any type that sorts.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.search import rank_key
+from tidemark.operators.search import RANK_DECIMALS, rank_key
 from tidemark.operators.versions import Pointer, Version, new_layer
 from tidemark.session import Staging, work_dir
 
 K1, B = 1.2, 0.75
 WORD = r"[\p{L}\p{N}_]+"
-SEGMENT_BITS = 15
+SEGMENT_BITS = 13
 BLOCK = 128
 PARTITIONS = 256
-# Segments of a query scored first, to know what its other blocks have to beat.
-FIRST_SEGMENTS = 4
-# Added to a bound before it is compared, for the rounding of sums in another order.
-ROOM = 1e-6
+# Postings a task holds before it cuts them into blocks, words it counts at once, and pairs of query
+# and term scored at once.
+HELD, COUNTED = 4 << 20, 1 << 19
+ASKED = 1 << 16
+BLOCKS = "term string, segment long, first long, n int, most_tf int, least_length int, gaps array<int>, tfs array<int>, lengths array<int>"
 
 
 def words(text: Column) -> Column:
@@ -64,28 +70,10 @@ def build(docs: DataFrame, path: str, key: str = "id", text: str = "text") -> Ke
     pointer = Pointer(spark, f"{path}/versions")
     layer = new_layer((pointer.current() or Version()).number + 1)
     found = docs.select(F.col(key).alias("id"), words(F.col(text)).alias("words")).where(F.size("words") > 0)
-    read = staging.write(found.withColumn("number", F.monotonically_increasing_id()), "words")
-    listed = read.select("number", "id", F.size("words").alias("length"))
+    read = staging.write(postings(found.withColumn("number", F.monotonically_increasing_id())), "postings")
+    listed = read.where("term IS NULL").select("number", "id", "length")
     listed.write.parquet(f"{path}/documents/{layer}")
-    counted = (
-        read.select("number", F.size("words").alias("length"), F.explode("words").alias("term"))
-        .groupBy("term", "number").agg(F.count("*").cast("int").alias("tf"), F.first("length").alias("length"))
-    )
-    posting = F.struct("number", "tf", "length")
-    lists = counted.groupBy("term", F.shiftright("number", SEGMENT_BITS).alias("segment")).agg(
-        F.sort_array(F.collect_list(posting)).alias("all")
-    )
-    starts = F.sequence(F.lit(1), F.size("all"), F.lit(BLOCK))
-    cut = lists.select("term", "segment", F.explode(F.transform(starts, lambda at: F.slice("all", at, BLOCK))).alias("b"))
-    number = F.col("b.number")
-    first = F.element_at(number, 1)
-    gaps = F.zip_with(number, F.concat(F.array(first), F.slice(number, F.lit(1), F.size(number) - 1)), lambda a, b: (a - b).cast("int"))
-    blocks = cut.select(
-        "term", "segment", first.alias("first"), F.size(number).alias("n"),
-        F.array_max("b.tf").alias("most_tf"), F.array_min("b.length").alias("least_length"),
-        gaps.alias("gaps"), F.col("b.tf").alias("tfs"), F.col("b.length").alias("lengths"),
-        partition_of(F.col("term")).alias("part"),
-    )
+    blocks = read.where("term IS NOT NULL").drop("number", "id", "length").withColumn("part", partition_of(F.col("term")))
     (
         blocks.hint("rebalance", "part").sortWithinPartitions("part", "term", "segment", "first")
         .write.partitionBy("part").parquet(f"{path}/blocks/{layer}")
@@ -99,6 +87,82 @@ def build(docs: DataFrame, path: str, key: str = "id", text: str = "text") -> Ke
     return KeywordIndex(spark, path)
 
 
+def cut(term: np.ndarray, number: np.ndarray, tf: np.ndarray, length: np.ndarray, vocabulary: list[str]) -> dict:
+    """Postings of one segment (terms as places in the vocabulary, which may have gone unused) as the
+    columns of its blocks, by term and number."""
+    order = np.lexsort((number, term))
+    term, number, tf, length = term[order], number[order], tf[order], length[order]
+    first_of_term = np.flatnonzero(np.diff(term, prepend=-1))
+    place = np.arange(len(term)) - np.repeat(first_of_term, np.diff(np.append(first_of_term, len(term))))
+    at = np.flatnonzero(place % BLOCK == 0)
+    n = np.diff(np.append(at, len(term)))
+    gaps = np.diff(number, prepend=number[:1])
+    gaps[at] = 0
+    edges = pa.array(np.append(at, len(term)), pa.int32())
+
+    def lists(values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(edges, pa.array(values, pa.int32()))
+
+    return {
+        "term": pa.array(vocabulary, pa.string()).take(pa.array(term[at])), "segment": pa.array(number[at] >> SEGMENT_BITS),
+        "first": pa.array(number[at]), "n": pa.array(n, pa.int32()),
+        "most_tf": pa.array(np.maximum.reduceat(tf, at), pa.int32()),
+        "least_length": pa.array(np.minimum.reduceat(length, at), pa.int32()),
+        "gaps": lists(gaps), "tfs": lists(tf), "lengths": lists(length),
+    }
+
+
+def postings(numbered: DataFrame) -> DataFrame:
+    """Of ``numbered(number, id, words)``, numbers rising within a task: a row ``number, id, length``
+    for every document, and the blocks of its segments' postings, in rows of their own."""
+    rows = numbered.select("number", "id", "words")
+    own = [T.StructField(f.name, f.dataType) for f in rows.schema.fields[:2]]
+    kinds = T.StructType([*own, T.StructField("length", T.IntegerType()), *T.StructType.fromDDL(BLOCKS)])
+    block_kinds = [
+        pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.list_(pa.int32())] * 3
+    ]
+    names, bits, held, counted = kinds.fieldNames(), SEGMENT_BITS, HELD, COUNTED
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        waiting: list[tuple] = []
+        segment, size, id_kind = -1, 0, None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if waiting:
+                columns = cut(*(np.concatenate(x) for x in zip(*waiting)), list(known))
+                n = len(columns["term"])
+                empty = [pa.nulls(n, pa.int64()), pa.nulls(n, id_kind), pa.nulls(n, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*empty, *columns.values()], names)
+            waiting.clear()
+            known.clear()
+
+        for whole in batches:
+            id_kind = whole.schema.field("id").type
+            lengths = whole.column("words").value_lengths()
+            ahead = [whole.column("number"), whole.column("id"), lengths]
+            yield pa.RecordBatch.from_arrays([*ahead, *(pa.nulls(whole.num_rows, t) for t in block_kinds)], names)
+            segments, room = whole.column("number").to_numpy() >> bits, np.cumsum(lengths.to_numpy(), dtype=np.int64) // counted
+            edges = np.flatnonzero((np.diff(segments) != 0) | (np.diff(room) != 0)) + 1
+            for a, b in zip([0, *edges], [*edges, whole.num_rows]):
+                if a == b:
+                    continue
+                if segments[a] != segment or size > held:
+                    yield from flush()
+                    segment, size = segments[a], 0
+                found, own = whole.column("words").slice(a, b - a), lengths.to_numpy()[a:b]
+                encoded = found.flatten().dictionary_encode()
+                places = np.array([known.setdefault(w, len(known)) for w in encoded.dictionary.to_pylist()], np.int64)
+                doc = np.repeat(np.arange(b - a), own)
+                pairs, tf = np.unique(doc << 32 | places[encoded.indices.to_numpy()], return_counts=True)
+                doc = pairs >> 32
+                waiting.append((pairs & 0xFFFFFFFF, whole.column("number").to_numpy()[a:b][doc], tf.astype(np.int32), own[doc]))
+                size += len(pairs)
+        yield from flush()
+
+    return rows.mapInArrow(run, kinds)
+
+
 class KeywordIndex:
     """The current version of an index, fixed when it is opened."""
 
@@ -145,42 +209,33 @@ class KeywordIndex:
         df = blocks.groupBy("term").agg(F.sum("n").cast("double").alias("df"))
         weighed = asked.join(df, "term").select("query_id", "term", inverse_frequency(self.documents, F.col("df")).alias("w"))
         weighed = staging.write(weighed, "weights")
-        most = gain(F.col("most_tf").cast("double"), F.col("least_length"), self.average)
-        bounds = blocks.join(weighed, "term").select(
-            "query_id", "term", "segment", "first", "w", (F.col("w") * most).alias("bound")
-        )
-        bounds = staging.write(bounds, "bounds")
-        tops = bounds.groupBy("query_id", "segment", "term").agg(F.max("bound").alias("top"))
-        segments = tops.groupBy("query_id", "segment").agg(F.sum("top").alias("most"))
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("most"), "segment"))
-        start = segments.withColumn("place", place).where(F.col("place") <= FIRST_SEGMENTS).select("query_id", "segment")
-        start = staging.write(start, "start")
-        first = staging.write(self._best(self._scores(bounds.join(start, ["query_id", "segment"])), k), "first")
-        beat = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-        rest = (
-            bounds.join(start, ["query_id", "segment"], "left_anti")
-            .join(tops, ["query_id", "segment", "term"]).join(segments, ["query_id", "segment"])
-            .join(beat, "query_id", "left")
-            .where(F.col("bound") + F.col("most") - F.col("top") + ROOM >= F.coalesce("least", F.lit(0.0)))
-        )
-        more = self._scores(rest.select(bounds.columns))
-        hits = staging.write(self._best(first.drop("rank").unionByName(more), k), "hits")
+        hits = staging.write(self._best(self._scores(blocks, weighed, k), k), "hits")
         return hits.join(self.listed.select("number", "id"), "number").select("query_id", "rank", "id", "score")
 
-    def _scores(self, chosen: DataFrame) -> DataFrame:
-        """``query_id, number, score`` over the chosen blocks of every query."""
-        keys = ["term", "segment", "first"]
-        full = self._of(chosen.withColumn("part", partition_of(F.col("term"))))
-        rows = chosen.select("query_id", *keys, "w").join(full.select(*keys, "gaps", "tfs", "lengths"), keys)
-        # Gaps back to numbers, one pass over the block.
-        numbers = F.aggregate(
-            "gaps", F.struct(F.col("first").alias("at"), F.array().cast("array<bigint>").alias("all")),
-            lambda s, g: F.struct((s["at"] + g).alias("at"), F.concat(s["all"], F.array(s["at"] + g)).alias("all")),
-            lambda s: s["all"],
+    def _scores(self, blocks: DataFrame, weighed: DataFrame, k: int) -> DataFrame:
+        """``query_id, number, score``: the k best of every query and segment, with all that tie for
+        the last place."""
+        average, kind = self.average, weighed.schema["query_id"].dataType
+        slices = max(1, -(-weighed.count() // ASKED))
+        segments = blocks.select(F.col("segment").alias("here")).distinct()
+        left = blocks.select(
+            "segment", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
+            "term", "first", "gaps", "tfs", "lengths",
         )
-        each = rows.select("query_id", "w", F.explode(F.arrays_zip(numbers.alias("number"), "tfs", "lengths")).alias("p"))
-        score = F.col("w") * gain(F.col("p.tfs").cast("double"), F.col("p.lengths"), self.average)
-        return each.groupBy("query_id", F.col("p.number").alias("number")).agg(F.sum(score).alias("score"))
+        dealt = weighed.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int"))
+        # A fresh column: both sides come from the same table.
+        right = dealt.crossJoin(F.broadcast(segments)).select(
+            F.col("here").alias("segment"), "slice", "query_id", "term", "w"
+        )
+        schema = T.StructType([
+            T.StructField("query_id", kind), T.StructField("number", T.LongType()), T.StructField("score", T.DoubleType())
+        ])
+
+        def score(held: pa.Table, asked: pa.Table) -> pa.Table:
+            return _segment_hits(held, asked, average, k)
+
+        keys = ["segment", "slice"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, schema)
 
     def _best(self, scores: DataFrame, k: int) -> DataFrame:
         """The k best of every query. Ids decide ties, so documents that may tie for the last
@@ -192,6 +247,49 @@ class KeywordIndex:
         return named.withColumn("rank", place).where(F.col("rank") <= k).drop("id")
 
 
+def _segment_hits(held: pa.Table, asked: pa.Table, average: float, k: int) -> pa.Table:
+    """Hits of the queries ``asked(query_id, term, w)`` among one segment's blocks."""
+    queries = asked["query_id"].combine_chunks()
+    if not held.num_rows or not asked.num_rows:
+        return pa.table({"query_id": queries.slice(0, 0), "number": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    held = held.select(["term", "first", "gaps", "tfs", "lengths"]).sort_by("term").combine_chunks()
+    gaps, tfs, lengths = (held[c].combine_chunks() for c in ("gaps", "tfs", "lengths"))
+    sizes, gap = gaps.value_lengths().to_numpy(), gaps.flatten().to_numpy().astype(np.int64)
+    ends = np.cumsum(sizes)
+    # Gaps back to numbers: a block's first gap is 0, so sums begin anew at its first number.
+    run = np.cumsum(gap)
+    number = run + np.repeat(held["first"].to_numpy() - run[ends - sizes], sizes)
+    start = number.min()
+    place = number - start
+    tf, length = tfs.flatten().to_numpy().astype(np.float64), lengths.flatten().to_numpy()
+    gains = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+    terms = held["term"].combine_chunks().dictionary_encode()
+    first = np.flatnonzero(np.diff(terms.indices.to_numpy(), prepend=-1))
+    begins = (ends - sizes)[first]
+    stops = np.append(begins[1:], len(place))
+    term = pc.index_in(asked["term"].combine_chunks(), terms.dictionary)
+    here = term.is_valid().to_numpy(zero_copy_only=False)
+    # Queries as places in their own list, their terms in a fixed order, so sums do not depend on the layout.
+    encoded = queries.dictionary_encode()
+    owner, term = encoded.indices.to_numpy()[here], term.drop_null().to_numpy()
+    weight = asked["w"].to_numpy()[here]
+    order = np.lexsort((term, owner))
+    owner, term, weight = owner[order], term[order], weight[order]
+    edges = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner))
+    found = []
+    for a, b in zip(edges[:-1], edges[1:]):
+        scores = np.zeros(int(place.max()) + 1)
+        for t, w in zip(term[a:b], weight[a:b]):
+            scores[place[begins[t] : stops[t]]] += w * gains[begins[t] : stops[t]]
+        rounded = np.round(scores, RANK_DECIMALS)
+        least = -np.partition(-rounded, k - 1)[k - 1] if len(rounded) > k else 0.0
+        best = np.flatnonzero((rounded >= least) & (scores > 0))
+        found.append((np.full(len(best), owner[a]), best + start, scores[best]))
+    owner, best, scores = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    ids = encoded.dictionary.take(pa.array(owner, pa.int64()))
+    return pa.table({"query_id": ids, "number": pa.array(best, pa.int64()), "score": pa.array(scores, pa.float64())})
+
+
 # -- several rankings -----------------------------------------------------------------------
 
 
