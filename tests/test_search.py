@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,17 @@ def texts(spark, values):
     return spark.createDataFrame(list(enumerate(values)), "i long, t string")
 
 
+def test_hashing_embedder_cuts_runs_of_bounded_size(spark, monkeypatch):
+    some = ["one two", None, "", "three " * 40, "four", "five six seven"] * 5
+    whole = [r.embedding for r in E.HashingEmbedder(32).embed(texts(spark, some), "t").collect()]
+    runs = list(E.slabs(pa.array(some), 30))
+    assert [x for r in runs for x in r.to_pylist()] == some
+    assert all(len(r) == 1 or sum(len(x or "") for x in r.to_pylist()) <= 30 for r in runs) and len(runs) > 10
+    monkeypatch.setattr(E, "SLAB_BYTES", 30)
+    assert [r.embedding for r in E.HashingEmbedder(32).embed(texts(spark, some), "t").collect()] == whole
+    assert list(E.slabs(pa.array([], pa.string()), 30)) == []
+
+
 def test_hashing_embedder(spark):
     df = E.HashingEmbedder(256).embed(texts(spark, ["Hello, world", "hello world!", "", "other", None]), "t")
     *found, missing = [r.embedding for r in df.orderBy("i").collect()]

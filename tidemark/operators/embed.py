@@ -36,12 +36,27 @@ def _to_arrow(matrix: np.ndarray, missing: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, values, mask=missing)
 
 
+# Bytes of text whose words are cut at once; a longer text is alone.
+SLAB_BYTES = 6 << 20
+
+
+def slabs(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """An array of texts in runs of at most ``most`` bytes, or of one text."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
 class HashingEmbedder:
     """Signed feature hashing of words (Weinberger et al., 2009).
 
-    Works on whole Arrow batches: words are cut and dictionary-encoded by Arrow,
-    each distinct word of a batch is hashed once, and the batch is scattered
-    into its matrix at once.
+    Works on runs of rows of bounded size, so that memory does not follow the
+    Arrow batch: words are cut and dictionary-encoded by Arrow, each distinct
+    word of a run is hashed once, and the run is scattered into its matrix.
     """
 
     def __init__(self, vector_size: int = 256):
@@ -50,8 +65,7 @@ class HashingEmbedder:
     def embed(self, df: DataFrame, text: str) -> DataFrame:
         size = self.vector_size
 
-        @F.arrow_udf("array<float>")
-        def hashed(texts: pa.Array) -> pa.Array:
+        def encode(texts: pa.Array) -> pa.Array:
             filled = pc.utf8_lower(texts.fill_null(""))
             words = pc.split_pattern_regex(filled, pattern=r"[^\p{L}\p{N}]+")
             rows = np.repeat(np.arange(len(texts)), words.value_lengths().to_numpy())
@@ -67,6 +81,11 @@ class HashingEmbedder:
             sums = np.bincount(slot, weights=sign[word], minlength=len(texts) * size)
             return _to_arrow(unit_rows(sums.reshape(len(texts), size)), texts.is_null())
 
+        @F.arrow_udf("array<float>")
+        def hashed(texts: pa.Array) -> pa.Array:
+            parts = [encode(part) for part in slabs(texts, SLAB_BYTES)]
+            return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
+
         return df.withColumn("embedding", hashed(F.col(text)))
 
 
