@@ -1,9 +1,11 @@
 """Golden sequences on the stored tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import upsert as U
 from tidemark.operators.tables import IndexTables
+from tidemark.schemas import DOCUMENTS
 
 CHUNK = "chunk_id string, point_id string, document_id string, source_path string, chunk_index int, chunk_text string, embedding array<float>, updated_at timestamp"
 UNIT = ([1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0])
@@ -38,6 +40,30 @@ def test_fresh_store(tables):
     assert tables.migrations().count() == 1
 
 
+def test_changes_work_out_their_rows_once(spark, tables):
+    """Several jobs read what comes in; extracting it again for each was most of an upsert."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    moment = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    numbered = spark.range(40).select(F.sha2(F.col("id").cast("string"), 256).alias("document_id"))
+    known = numbered.mapInArrow(count, "document_id string")
+    values = [F.lit(None).cast(f.dataType).alias(f.name) for f in DOCUMENTS.fields[1:-2]]
+    rows = known.select("document_id", *values, moment.alias("created_at"), moment.alias("updated_at"))
+    tables.upsert_documents(rows)
+    assert seen.value == 40 and tables.documents().count() == 40
+    tables.upsert_documents(rows)
+    assert seen.value == 80 and tables.documents().count() == 40
+    tables.delete_chunks(known)
+    assert seen.value == 120
+    tables.delete_documents(known)
+    assert seen.value == 160 and tables.documents().count() == 0
+
+
 def test_replace_and_delete(spark, tables):
     tables.replace_chunks(chunk_rows(spark, ("c1", "aa1", "old")), ids(spark, "aa1"))
     assert texts(tables) == ["old"]

@@ -12,7 +12,7 @@ Identifiers are deterministic; running a change again gives the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import replace
 
@@ -26,7 +26,7 @@ from tidemark.functions import identity as I
 from tidemark.operators import status as ST
 from tidemark.operators import upsert as U
 from tidemark.operators.versions import Pointer, Version, new_layer, sequence_of
-from tidemark.session import file_system
+from tidemark.session import Staging, file_system, work_dir
 from tidemark.sources.files import glob_literal
 
 SCHEMA_VERSION = 1
@@ -59,6 +59,7 @@ class IndexTables:
         self.spark = spark
         self.collection = collection
         self._new_hex_digits = hex_digits
+        self._metadata = metadata_path
         self._pointer = Pointer(spark, f"{metadata_path}/versions")
         self._open: Version | None = None
         self._paths = {
@@ -233,6 +234,15 @@ class IndexTables:
         if max(len(self.version().of(t)) for t in ("documents", "chunks")) > MOST_LAYERS:
             self.compact()
 
+    @contextmanager
+    def _staged(self) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+        """Writes rows aside for the time of a change, so that what they come from runs once."""
+        staging = Staging(self.spark, work_dir(self.spark, f"{self._metadata}/work"))
+        try:
+            yield staging.write
+        finally:
+            staging.discard()
+
     def _bucket(self) -> Column:
         return I.bucket(F.col("document_id"), self.hex_digits)
 
@@ -278,15 +288,23 @@ class IndexTables:
         return stored.join(ids.select("document_id"), "document_id", "left_semi")
 
     def upsert_documents(self, incoming: DataFrame, known: DataFrame | None = None) -> None:
-        """``known``: the incoming ids that are stored; looked up if not given."""
-        known = (self.stored_ids(incoming) if known is None else known).select("document_id")
-        held = self._buckets(known)
-        if held:
-            current = self._live("documents", held).select(*S.DOCUMENTS.fieldNames())
-            current = current.join(known, "document_id", "left_semi")
-            # Stored rows among them only lend their first moment.
-            incoming = U.upsert_documents(current, incoming)
-        self._append("documents", incoming, known.distinct() if held else None)
+        """``known``: the incoming ids that are stored; looked up if not given.
+
+        What is not given is worked out once: incoming rows (they hold no text) and the known ids
+        are written aside, as several jobs read them.
+        """
+        with self._staged() as once:
+            if known is None:
+                incoming = once(incoming.select(*S.DOCUMENTS.fieldNames()), "incoming")
+                known = once(self.stored_ids(incoming), "known")
+            known = known.select("document_id")
+            held = self._buckets(known)
+            if held:
+                current = self._live("documents", held).select(*S.DOCUMENTS.fieldNames())
+                current = current.join(known, "document_id", "left_semi")
+                # Stored rows among them only lend their first moment.
+                incoming = U.upsert_documents(current, incoming)
+            self._append("documents", incoming, known.distinct() if held else None)
 
     def replace_chunks(
         self, incoming: DataFrame, document_ids: DataFrame, known: DataFrame | None = None
@@ -300,13 +318,16 @@ class IndexTables:
         self._append("chunks", checked, gone.distinct())
 
     def delete_chunks(self, document_ids: DataFrame) -> None:
-        self._append("chunks", None, self.stored_ids(document_ids, "chunks").distinct())
+        with self._staged() as once:
+            ids = once(document_ids.select("document_id"), "ids")
+            self._append("chunks", None, self.stored_ids(ids, "chunks").distinct())
 
     def delete_documents(self, document_ids: DataFrame) -> None:
         """Remove documents and their chunks in one change."""
-        with self.change():
-            self._append("documents", None, self.stored_ids(document_ids).distinct())
-            self.delete_chunks(document_ids)
+        with self._staged() as once, self.change():
+            ids = once(document_ids.select("document_id"), "ids")
+            self._append("documents", None, self.stored_ids(ids).distinct())
+            self.delete_chunks(ids)
 
     def versions_of(self, paths: DataFrame) -> DataFrame:
         """``document_id, source_path`` of all stored documents with one of these source paths."""
