@@ -122,6 +122,24 @@ def test_many_queries(index, points):
     assert got == want
 
 
+def test_asking_every_cell_goes_on_in_bounded_batches(index, points, monkeypatch):
+    """A query may ask every cell: its vector came back once a cell, all of a batch's at once."""
+    monkeypatch.setattr(V, "ANGLES", 40 * len(index.centres))
+    monkeypatch.setattr(V, "ASKED", 1000)
+    def ordered(away, batch):
+        assert away.size <= 40 * away.shape[1]
+        return V._ordered(away, batch)
+
+    queries = points[0].coalesce(1).where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    rows = index._ask(queries, ordered).collect()
+    assert len(rows) == 300 * len(index.centres) and len({(r.query_id, r.cell) for r in rows}) == len(rows)
+    x = points[1]
+    for r in rows[:: len(index.centres) * 7]:
+        assert np.allclose(r.query, x[r.query_id])
+    products = V._nearest(np.eye(3), np.array([[1.0, 0, 0], [0, 1.0, 0]]))
+    assert products[0].tolist()[:2] == [0, 1] and products[1].tolist() == [1.0, 1.0, 0.0]
+
+
 def test_probing_reaches_its_recall(index, points, spark):
     df, _ = points
     reached = index.calibrate(5, 0.95)

@@ -39,6 +39,8 @@ ROUNDS = 8
 # Rows of one task of a cell, and rows the first centres are taken from.
 BLOCK_ROWS = 20_000
 SEED_ROWS = 20_000
+# Entries of one matrix of angles, and rows handed on at once, when queries or vectors meet all cells.
+ANGLES, ASKED = 1 << 20, 1 << 14
 # Vectors a calibration searches with.
 CALIBRATION_QUERIES = 200
 # Angles are compared with this much room for rounding; scores that tie after rounding are one.
@@ -62,6 +64,17 @@ def _angles(cosines: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosines, -1.0, 1.0))
 
 
+def _nearest(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each unit row's closest centre and its cosine, a bounded number of products at a time."""
+    cell, cosine = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+    slab = max(1, ANGLES // max(1, len(centres)))
+    for at in range(0, len(rows), slab):
+        products = rows[at : at + slab] @ centres.T
+        cell[at : at + slab] = products.argmax(axis=1)
+        cosine[at : at + slab] = products.max(axis=1)
+    return cell, cosine
+
+
 def learn_centres(points: DataFrame, cells: int, size: int, rounds: int = ROUNDS, seed: int = 11) -> np.ndarray:
     """Unit centres by spherical k-means over all rows. The first ones come from a bounded sample;
     a round sends one sum a cell and task, and the driver holds cells x dimensions numbers."""
@@ -77,7 +90,7 @@ def learn_centres(points: DataFrame, cells: int, size: int, rounds: int = ROUNDS
             total, count = np.zeros_like(now), np.zeros(len(now), np.int64)
             for batch in batches:
                 rows = unit_rows(as_matrix(batch.column(0), size))
-                cell = (rows @ now.T).argmax(axis=1)
+                cell, _ = _nearest(rows, now)
                 count += np.bincount(cell, minlength=len(now))
                 if len(cell):
                     order = np.argsort(cell, kind="stable")
@@ -115,9 +128,8 @@ def build(points: DataFrame, path: str, cells: int | None = None) -> VectorIndex
     def place(vectors: pa.Array) -> pa.Array:
         rows = as_matrix(vectors, size)
         norms = np.linalg.norm(rows, axis=1)
-        cosines = unit_rows(rows) @ centres.T
-        cell = cosines.argmax(axis=1)
-        angle = _angles(cosines[np.arange(len(rows)), cell])
+        cell, cosine = _nearest(unit_rows(rows), centres)
+        angle = _angles(cosine)
         columns = [pa.array(cell, pa.int32()), pa.array(angle), pa.array(norms)]
         return pa.StructArray.from_arrays(columns, ["cell", "angle", "norm"])
 
@@ -261,22 +273,30 @@ class VectorIndex:
         return points.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(score, HIT)
 
     def _ask(self, queries: DataFrame, cells_of: Callable, vectors: bool = True) -> DataFrame:
-        """``cell, query_id, query, lo, hi``, from ``cells_of(angles, rows)`` per batch of queries;
-        ``query`` is left empty unless ``vectors``."""
+        """``cell, query_id, query, lo, hi``, from ``cells_of(angles, rows)`` per slab of queries;
+        ``query`` is left empty unless ``vectors``. A slab's angles and the rows handed on at once
+        are bounded, as every query may ask every cell."""
         size, number, centres = self.size, self._column("cell"), self.centres
         kinds = "cell int, query_id long, query array<double>, lo double, hi double"
+        slab, kind = max(1, ANGLES // max(1, len(centres))), pa.list_(pa.float64())
 
         def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                matrix = as_matrix(batch.column("query"), size)
-                away = _angles(unit_rows(matrix) @ centres.T)
-                row, cell, lo, hi = cells_of(away, batch)
-                whole = pa.array(list(matrix) if vectors else [None] * len(matrix), pa.list_(pa.float64()))
-                ids = batch.column("query_id").take(pa.array(row))
-                columns = [pa.array(number[cell], pa.int32()), ids, whole.take(pa.array(row)), pa.array(lo), pa.array(hi)]
-                yield pa.RecordBatch.from_arrays(columns, ["cell", "query_id", "query", "lo", "hi"])
+            for whole in batches:
+                for start in range(0, whole.num_rows, slab):
+                    batch = whole.slice(start, slab)
+                    matrix = as_matrix(batch.column("query"), size)
+                    away = _angles(unit_rows(matrix) @ centres.T)
+                    rows, cells, lows, highs = cells_of(away, batch)
+                    for at in range(0, len(rows), ASKED):
+                        row, cell = rows[at : at + ASKED], cells[at : at + ASKED]
+                        lo, hi = lows[at : at + ASKED], highs[at : at + ASKED]
+                        ids = batch.column("query_id").take(pa.array(row))
+                        asked = pa.nulls(len(row), kind)
+                        if vectors:
+                            offsets = pa.array(np.arange(len(row) + 1, dtype=np.int32) * size)
+                            asked = pa.ListArray.from_arrays(offsets, pa.array(matrix[row].ravel()))
+                        columns = [pa.array(number[cell], pa.int32()), ids, asked, pa.array(lo), pa.array(hi)]
+                        yield pa.RecordBatch.from_arrays(columns, ["cell", "query_id", "query", "lo", "hi"])
 
         return queries.mapInArrow(ask, kinds)
 
