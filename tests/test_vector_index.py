@@ -126,6 +126,7 @@ def test_asking_every_cell_goes_on_in_bounded_batches(index, points, monkeypatch
     """A query may ask every cell: its vector came back once a cell, all of a batch's at once."""
     monkeypatch.setattr(V, "ANGLES", 40 * len(index.centres))
     monkeypatch.setattr(V, "ASKED", 1000)
+
     def ordered(away, batch):
         assert away.size <= 40 * away.shape[1]
         return V._ordered(away, batch)
