@@ -248,6 +248,27 @@ def test_seating_of_two_customers_has_the_right_distribution():
     assert abs((tables == 1).mean() - (1 - discount) / (1 - discount + mass)) < 0.03
 
 
+@pytest.mark.parametrize("exact", [256, 8])
+def test_all_customers_of_a_dish_are_seated_anew(monkeypatch, exact):
+    """A dish of 400 customers that starts at 400 tables comes to the expected number of tables by
+    weights summed over all seatings, whatever the way; a few customers moved would leave hundreds."""
+    monkeypatch.setattr(pitman_yor, "EXACT", exact)
+    pitman_yor.seatings.cache_clear()
+    rng = np.random.Generator(np.random.Philox(key=7))
+    for n, discount, mass in [(12, 0.5, 0.8), (100, 0.6, 2.0), (400, 0.5, 5.0)]:
+        weights = np.zeros(n + 1)
+        weights[1] = mass
+        for i in range(1, n):
+            weights[1:] = (i - discount * np.arange(1, n + 1)).clip(0) * weights[1:] + mass * weights[:-1]
+            weights /= weights.sum()
+        want = weights @ np.arange(n + 1)
+        counts, tables = np.full(4000, n), np.full(4000, n)
+        for _ in range(3):
+            tables = pitman_yor.seat(counts, tables, np.full(4000, mass), discount, rng, 12)
+        assert abs(tables.mean() - want) < 0.05 * want
+    pitman_yor.seatings.cache_clear()
+
+
 # -- files of ids -----------------------------------------------------------------------------
 
 
