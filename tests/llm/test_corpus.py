@@ -1,6 +1,7 @@
 """Operators over the whole corpus: near duplicates, decontamination, models, files, shards."""
 
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -308,6 +309,24 @@ def test_repeats_take_less_room():
     assert len(idcoder.write_group([(1, np.resize([7, 8, 9], 2000))])) < len(idcoder.write_group([(1, varied)])) / 5
 
 
+def test_blocks_learn_from_each_other_and_stand_evenly():
+    """Forty blocks of like text take far less than forty times one; a block over does not run alone."""
+    rng = np.random.default_rng(4)
+    words = [rng.integers(0, 1 << 16, rng.integers(1, 4)) for _ in range(300)]
+    text = np.concatenate([words[i] for i in rng.integers(0, 300, 40 * idcoder.BLOCK)])[: 40 * idcoder.BLOCK]
+    sizes = [len(idcoder.write_group([(1, text[: n * idcoder.BLOCK])])) for n in (1, 40)]
+    assert sizes[1] < 24 * sizes[0]
+    assert [idcoder._lanes(n) for n in (0, 1, idcoder.LANES, idcoder.LANES + 2)] == [1, 1, idcoder.LANES, idcoder.LANES + 2]
+    assert idcoder._lanes(3 * idcoder.LANES + 1) == idcoder.LANES + 1
+
+
+def test_an_id_takes_few_steps():
+    ids = np.random.default_rng(5).zipf(1.3, 200_000) % (1 << 16)
+    start = time.process_time()
+    ((_, got),) = idcoder.read_group(idcoder.write_group([(1, ids)])[8:])
+    assert (got == ids).all() and time.process_time() - start < 8
+
+
 # -- WARC -------------------------------------------------------------------------------------
 
 PAGES = [

@@ -1,13 +1,15 @@
 """Token-id files packed by a context-mixing arithmetic coder.
 
-An id is coded as 16 binary decisions, from its highest bit down. Three adaptive predictions of
-a decision, given the bits before it and none, one or two ids before them (order 0 to 2), are
-mixed in the logistic domain with weights that learn as well, and the mix drives a binary range
-coder. Blocks of ``BLOCK`` ids are independent: each starts from a blank model and carries its
-length and the checksum of its ids.
+Tables guess the next id from the last id (order 1) and from the last two (order 2). Whether the better
+guess holds is one binary decision: predictions from how often such guesses held so far (order 0), from
+the order-1 and from the order-2 guess are mixed in the logistic domain with weights that learn as well.
+An id that was not guessed follows by the frequencies of ids so far. Both drive one range coder.
 
-As blocks are independent, a task codes up to ``LANES`` of them side by side, one array element
-each. All arithmetic is on whole numbers, so that files decode alike on any machine.
+A task codes about ``LANES`` blocks of ``BLOCK`` ids side by side, one array element each; they share a
+model that starts blank and learns from all of them after each step. Every block carries its length and
+the checksum of its ids.
+
+All arithmetic is on whole numbers, so that files decode alike on any machine.
 
 A file is a sequence of groups: the group's length, documents (id, number of ids), blocks
 (number of ids, bytes, CRC-32), then the blocks' bytes. Tasks write one file each, over
@@ -25,6 +27,7 @@ import math
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,16 +36,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import KEPT_LENGTH, KEPT_RUNS, RUNS, SLICE, BOUNDARY
+from tidemark.llm.bpe import BOUNDARY, KEPT_LENGTH, KEPT_RUNS, NEW_RUNS, RUNS, SLICE, keep
 from tidemark.llm.staging import ship
 from tidemark.llm.warc import open_folder
 
-MAGIC = b"TIDS0001"
-BLOCK, LANES, BITS = 2048, 512, 16
-SLOT_BITS = 15
-SPAN = (1 << BITS) + 2 * (1 << SLOT_BITS)  # predictions of one lane: order 0, then 1 and 2
-RATE, LEARNING = 4, 10
-HASH = np.uint32(0x9E3779B1)
+MAGIC = b"TIDS0002"
+BLOCK, LANES, BITS = 1024, 2048, 16
+SLOT_BITS, MOST_TRUST = 18, 15
+RATE, LEARNING = 5, 10
+TOTAL_BITS, REFRESH = 18, 32  # of frequencies, taken anew after so many steps (and after 1, 2, 4, ...)
+STATE_BITS = 56
+STATE, LEAST = (1 << STATE_BITS) - 1, 1 << 36  # of the range coder, and the width it keeps
+HASH, HASH2 = np.uint32(0x9E3779B1), np.uint32(0xC2B2AE35)
 MANIFEST = "file int, path string, n_docs long, n_tokens long"
 
 
@@ -57,56 +62,78 @@ STRETCH = np.array(
 )
 
 
-class Mixer:
-    """Predictions and weights of all lanes."""
-
-    def __init__(self, lanes: int):
-        self.odds = np.full(lanes * SPAN, 1 << 15, np.uint16)
-        self.base = np.arange(lanes) * SPAN
-        self.weights = np.full((BITS, 3, lanes), 1 << 15, np.int64)
-        self.offset = np.array([[1 << BITS], [(1 << BITS) + (1 << SLOT_BITS)]])
-        self.at = self.stretched = self.mixed = np.zeros(0, np.int64)
-
-    def predict(self, bit: int, node: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Probability of a 1, in 4096ths, for the first ``len(node)`` lanes."""
-        k = len(node)
-        slots = ((context[:, :k] + node.astype(np.uint32)) * HASH >> np.uint32(32 - SLOT_BITS)) + self.offset
-        self.at = np.vstack([node, slots]) + self.base[:k]
-        self.seen = self.odds[self.at].astype(np.int64)
+class Model:
+    """What the lanes have learned together: guesses with the trust in them, the odds that they hold,
+    mixing weights, and how often each id came unguessed."""
+
+    def __init__(self) -> None:
+        self.guess = np.zeros((2 << SLOT_BITS), np.int64)
+        self.trust = np.zeros((2 << SLOT_BITS), np.int64)
+        self.odds = np.full(4 + 64 + 256, 1 << 15, np.int64)  # orders 0, 1 and 2
+        self.weights = np.full((3, 4), 1 << 15, np.int64)
+        self.counts = np.zeros(1 << BITS, np.int64)
+        self.step = 0
+        self.ends = np.arange((1 << BITS) + 1) << TOTAL_BITS - BITS
+
+    def predict(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Probability that the guess holds, in 4096ths, for each lane."""
+        pair = (first.astype(np.uint32) * HASH ^ second.astype(np.uint32) + np.uint32(1)) * HASH2
+        self.slots = np.stack([first, (pair >> np.uint32(32 - SLOT_BITS)).astype(np.int64) + (1 << SLOT_BITS)])
+        self.guesses, self.trusts = self.guess[self.slots], self.trust[self.slots]
+        (one, two), (trust, more) = self.guesses, self.trusts
+        longer = more > 0
+        self.guessed = np.where(longer, two, one)
+        self.case = 2 * longer + (one == two)
+        self.at = np.stack([self.case, 4 + 4 * trust + self.case, 68 + 16 * more + trust])
+        self.seen = self.odds[self.at]
         self.stretched = STRETCH[self.seen >> 4]
-        dot = (self.weights[bit, :, :k] * self.stretched).sum(0) >> 16
+        dot = (self.weights[:, self.case] * self.stretched).sum(0) >> 16
         self.mixed = SQUASH[np.clip(dot, -2047, 2047) + 2047]
         return self.mixed
 
-    def learn(self, bit: int, value: np.ndarray) -> None:
-        k = len(value)
-        error = ((value << 12) - self.mixed) * LEARNING
-        self.weights[bit, :, :k] += self.stretched * error + (1 << 15) >> 16
-        self.odds[self.at] = self.seen + (((value << 16) - value - self.seen) >> RATE)
-
-
-def _contexts(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Hashes of the last id and of the last two."""
-    a, b = first.astype(np.uint32) + np.uint32(1), second.astype(np.uint32) + np.uint32(1)
-    one = a * np.uint32(0x85EBCA6B)
-    return np.stack([one, (one ^ b) * np.uint32(0xC2B2AE35)])
-
-
-def _narrow(low, high, emit) -> None:
-    """Shift out the bytes that both ends of the lanes' intervals share."""
+    def learn(self, ids: np.ndarray, held: np.ndarray, missed: np.ndarray) -> None:
+        """Take in the lanes' ids; of lanes that share an entry the last one counts."""
+        error = ((held << 12) - self.mixed) * LEARNING
+        lanes = np.maximum(np.bincount(self.case, minlength=4), 1)
+        for weights, stretched in zip(self.weights, self.stretched):
+            total = np.bincount(self.case, stretched * error, 4).astype(np.int64)
+            weights += total // lanes + (1 << 15) >> 16
+        self.odds[self.at] = self.seen + (((held << 16) - held - self.seen) >> RATE)
+        same = self.guesses == ids
+        stays = same | (self.trusts > 1)
+        self.guess[self.slots] = np.where(stays, self.guesses, ids)
+        self.trust[self.slots] = np.where(
+            same, np.minimum(self.trusts + 1, MOST_TRUST), np.where(stays, self.trusts >> 1, 1)
+        )
+        np.add.at(self.counts, ids[missed], 1)
+        self.step += 1
+        if self.step % REFRESH == 0 or self.step & (self.step - 1) == 0:
+            room = (1 << TOTAL_BITS) - (1 << BITS)
+            share = self.counts * room // max(1, int(self.counts.sum())) + 1
+            self.ends[1:] = np.cumsum(share)
+
+
+def _narrow(low: np.ndarray, high: np.ndarray, emit) -> None:
+    """Shift out the bytes that both ends of the lanes' intervals share. An interval that gets narrow
+    around a boundary of such bytes is cut there first."""
     while True:
-        done = np.flatnonzero((low ^ high) >> 24 == 0)
+        apart = (low ^ high) >> STATE_BITS - 8 != 0
+        narrow = apart & (high - low < LEAST)
+        if narrow.any():
+            high[narrow] = low[narrow] | LEAST - 1
+            apart &= ~narrow
+        done = np.flatnonzero(~apart)
         if not len(done):
             return
         emit(done)
-        low[done] = low[done] << 8 & 0xFFFFFFFF
-        high[done] = high[done] << 8 & 0xFFFFFFFF | 255
+        low[done] = low[done] << 8 & STATE
+        high[done] = high[done] << 8 & STATE | 255
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     """Code blocks side by side: rows of ``ids``, of which the first ``lengths`` count; longest first."""
-    lanes, mixer = len(ids), Mixer(len(ids))
-    low, high = np.zeros(lanes, np.int64), np.full(lanes, 0xFFFFFFFF)
+    lanes, model = len(ids), Model()
+    low, high = np.zeros(lanes, np.int64), np.full(lanes, STATE)
     out, size = np.zeros((lanes, 4 * ids.shape[1] + 64), np.uint8), np.zeros(lanes, np.int64)
     first = second = np.zeros(lanes, np.int64)
 
@@ -114,23 +141,25 @@ def pack(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         nonlocal out
         if size.max() + 1 >= out.shape[1]:
             out = np.hstack([out, np.zeros_like(out)])
-        out[done, size[done]] = high[done] >> 24
+        out[done, size[done]] = high[done] >> STATE_BITS - 8
         size[done] += 1
 
     for t in range(ids.shape[1]):
         k = int(np.searchsorted(-lengths, -t, "left"))
-        symbol, context, node = ids[:k, t], _contexts(first[:k], second[:k]), np.ones(k, np.int64)
-        for bit in range(BITS):
-            value = symbol >> (BITS - 1 - bit) & 1
-            a, b = low[:k], high[:k]
-            middle = a + (b - a >> 12) * mixer.predict(bit, node, context)
-            np.copyto(b, middle, where=value == 1)
-            np.copyto(a, middle + 1, where=value == 0)
-            mixer.learn(bit, value)
-            node = node * 2 + value
-            _narrow(a, b, emit)
-        first, second = np.concatenate([symbol, first[k:]]), first
-    for shift in (24, 16, 8, 0):
+        symbol, a, b = ids[:k, t], low[:k], high[:k]
+        middle = a + (b - a >> 12) * model.predict(first[:k], second[:k])
+        held = model.guessed == symbol
+        np.copyto(b, middle, where=held)
+        np.copyto(a, middle + 1, where=~held)
+        missed = np.flatnonzero(~held)
+        if len(missed):
+            start, width = a[missed], b[missed] - a[missed] >> TOTAL_BITS
+            a[missed] = start + width * model.ends[symbol[missed]]
+            b[missed] = start + width * model.ends[symbol[missed] + 1] - 1
+        model.learn(symbol, held.astype(np.int64), missed)
+        _narrow(a, b, emit)
+        first, second = symbol, first
+    for shift in range(STATE_BITS - 8, -1, -8):
         if size.max() + 1 >= out.shape[1]:
             out = np.hstack([out, np.zeros_like(out)])
         out[np.arange(lanes), size] = low >> shift & 255
@@ -140,41 +169,51 @@ def pack(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
 
 def unpack(blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
     """Ids of coded blocks, one row each; longest first."""
-    lanes, mixer = len(blocks), Mixer(len(blocks))
+    lanes, model = len(blocks), Model()
     data = np.zeros((lanes, max(map(len, blocks)) + 8), np.uint8)
     for i, block in enumerate(blocks):
         data[i, : len(block)] = np.frombuffer(block, np.uint8)
-    low, high = np.zeros(lanes, np.int64), np.full(lanes, 0xFFFFFFFF)
-    code = data[:, 0].astype(np.int64) << 24 | data[:, 1].astype(np.int64) << 16
-    code |= data[:, 2].astype(np.int64) << 8 | data[:, 3]
-    at = np.full(lanes, 4)
+    low, high, code = np.zeros(lanes, np.int64), np.full(lanes, STATE), np.zeros(lanes, np.int64)
+    for i in range(STATE_BITS // 8):
+        code = code << 8 | data[:, i]
+    at = np.full(lanes, STATE_BITS // 8)
     ids = np.zeros((lanes, int(lengths[0])), np.int64)
     first = second = np.zeros(lanes, np.int64)
 
     def emit(done: np.ndarray) -> None:
-        code[done] = code[done] << 8 & 0xFFFFFFFF | data[done, np.minimum(at[done], data.shape[1] - 1)]
+        code[done] = code[done] << 8 & STATE | data[done, np.minimum(at[done], data.shape[1] - 1)]
         at[done] += 1
 
     for t in range(ids.shape[1]):
         k = int(np.searchsorted(-lengths, -t, "left"))
-        context, node = _contexts(first[:k], second[:k]), np.ones(k, np.int64)
-        for bit in range(BITS):
-            a, b = low[:k], high[:k]
-            middle = a + (b - a >> 12) * mixer.predict(bit, node, context)
-            value = (code[:k] <= middle).astype(np.int64)
-            np.copyto(b, middle, where=value == 1)
-            np.copyto(a, middle + 1, where=value == 0)
-            mixer.learn(bit, value)
-            node = node * 2 + value
-            _narrow(a, b, emit)
-        ids[:k, t] = node - (1 << BITS)
-        first, second = np.concatenate([ids[:k, t], first[k:]]), first
+        a, b = low[:k], high[:k]
+        middle = a + (b - a >> 12) * model.predict(first[:k], second[:k])
+        held = code[:k] <= middle
+        np.copyto(b, middle, where=held)
+        np.copyto(a, middle + 1, where=~held)
+        symbol, missed = model.guessed, np.flatnonzero(~held)
+        if len(missed):
+            start, width = a[missed], b[missed] - a[missed] >> TOTAL_BITS
+            target = np.clip((code[missed] - start) // np.maximum(width, 1), 0, model.ends[-1] - 1)
+            found = np.searchsorted(model.ends, target, "right") - 1
+            symbol[missed] = found
+            a[missed] = start + width * model.ends[found]
+            b[missed] = start + width * model.ends[found + 1] - 1
+        model.learn(symbol, held.astype(np.int64), missed)
+        _narrow(a, b, emit)
+        ids[:k, t] = symbol
+        first, second = symbol, first
     return ids
 
 
 # -- files ----------------------------------------------------------------------------------
 
 
+def _lanes(blocks: int) -> int:
+    """Blocks coded side by side: about ``LANES``, as even as can be, as a few cost as many steps."""
+    return -(-blocks // max(1, round(blocks / LANES))) or 1
+
+
 def write_group(documents: list[tuple[int | None, np.ndarray]]) -> bytes:
     """A group of documents as bytes."""
     ids = np.concatenate([d for _, d in documents]).astype(np.int64)
@@ -182,8 +221,9 @@ def write_group(documents: list[tuple[int | None, np.ndarray]]) -> bytes:
         raise ValueError("Ids above 65535 cannot be coded.")
     sizes = np.diff(np.append(np.arange(0, len(ids), BLOCK), len(ids)))
     coded: list[bytes] = []
-    for at in range(0, len(sizes), LANES):
-        own = sizes[at : at + LANES]
+    lanes = _lanes(len(sizes))
+    for at in range(0, len(sizes), lanes):
+        own = sizes[at : at + lanes]
         rows = np.zeros((len(own), int(own[0])), np.int64)
         flat = ids[at * BLOCK : at * BLOCK + int(own.sum())]
         rows.reshape(-1)[: len(flat)] = flat
@@ -204,8 +244,9 @@ def read_group(body: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
     blocks = [struct.unpack_from("<III", body, at + 12 * i) for i in range(n_blocks)]
     at += 12 * n_blocks
     parts = []
-    for start in range(0, n_blocks, LANES):
-        own = blocks[start : start + LANES]
+    lanes = _lanes(n_blocks)
+    for start in range(0, n_blocks, lanes):
+        own = blocks[start : start + lanes]
         coded = []
         for _, size, _ in own:
             coded.append(body[at : at + size])
@@ -230,16 +271,19 @@ class LibraryRuns(dict):
     def __init__(self, file_text: str):
         from tokenizers import Tokenizer
 
+        self.new: dict[str, bytes] = {}  # as in ``bpe.Runs``
         self.tokenizer = Tokenizer.from_str(file_text)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
     def __missing__(self, run: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.new.pop(run, None)
+        if ids is not None:
+            keep(self, run, ids, KEPT_RUNS)
+            return ids
+        ids = array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
         if len(run) <= KEPT_LENGTH:
-            if len(self) >= KEPT_RUNS:
-                self.clear()
-            self[run] = ids
+            keep(self.new, run, ids, NEW_RUNS)
         return ids
 
     def text(self, text: str) -> np.ndarray:
