@@ -226,6 +226,18 @@ def test_bpe_equals_the_library(frame, spark, odd_rows):
     both = Counter((r.doc_id, r.text, tuple(r.ids), r.decoded) for r in codec.round_trip(frame(rows)).collect())
     assert both == Counter((r.doc_id, r.text, tuple(r.ids), r.decoded) for r in codec.decode(codec.encode(frame(rows))).collect())
 
+def test_bpe_pieces_seen_before_are_not_cut_again(monkeypatch):
+    with open(TOKENIZER, encoding="utf-8") as file:
+        runs = bpe.Runs(bpe.Vocabulary(file.read()))
+    cut, seen = runs.vocabulary.cut, []
+    monkeypatch.setattr(runs.vocabulary, "cut", lambda data: seen.append(data) or cut(data))
+    assert runs[" heenly."] and runs[" heenly!!"] and runs[" heenly"]
+    assert seen == [b" heenly", b".", b"!!"]
+    rng = random.Random(6)
+    for _ in range(2000):
+        text = "".join(rng.choice("ab'stl9 \t\n\x1c\x00.%") for _ in range(rng.randint(0, 12)))
+        assert bpe.ASCII_PRETOKENS.findall(text) == bpe.PRETOKENS.findall(text)
+
 
 def test_bpe_slices_and_broken_utf8(frame, spark, monkeypatch):
     with open(TOKENIZER, encoding="utf-8") as file:

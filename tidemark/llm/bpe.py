@@ -3,8 +3,8 @@
 A merge can only join two bytes that stand side by side inside some vocabulary token. Every
 other byte pair is a certain cut: what lies left and right of it can be encoded apart and put
 together again. A text is first cut before each blank run (no token has a blank after another
-character), then by the tokenizer's own pattern, then at every forced byte pair; fragments and
-runs seen before are looked up instead of being merged again, in tables of bounded size that a
+character), then by the tokenizer's own pattern, then at every forced byte pair; runs and pieces of
+the pattern seen before are looked up instead of being merged again, in tables of bounded size that a
 worker keeps from task to task. A long fragment is merged from a heap, in n log n steps.
 
 Defined cases: a null text reads as empty and gives no ids; ids that form broken UTF-8 decode
@@ -39,11 +39,14 @@ PRETOKENS = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+"
     rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
+ASCII_PRETOKENS = re.compile(  # the same for texts of such characters only
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^{SPACE}A-Za-z0-9]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+)
 RUNS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 BOUNDARY = re.compile(f"[^{SPACE}][{SPACE}]")
 SLICE = 1 << 20
 NEVER = 1 << 31
-KEPT_RUNS, NEW_RUNS, KEPT_FRAGMENTS, KEPT_LENGTH = 1 << 18, 1 << 17, 1 << 17, 64
+KEPT_RUNS, NEW_RUNS, KEPT_PIECES, KEPT_LENGTH = 1 << 18, 1 << 17, 1 << 18, 64
 SHORT = 48
 
 
@@ -87,6 +90,9 @@ class Vocabulary:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[vocab[left], vocab[right]] = rank
             self.made.append(vocab[left + right])
+        # Ranks of pairs of single bytes, where every merge starts.
+        letters_of = [self.of_byte[b] for b in range(256)]
+        self.first = [self.ranks.get((a, b), NEVER) for a in letters_of for b in letters_of]
         self.forced = bytearray(b"\1" * (1 << 16))
         for token in self.bytes:
             for left, right in zip(token, token[1:]):
@@ -100,18 +106,19 @@ class Vocabulary:
 
     def merge(self, fragment: bytes) -> list[int]:
         """Ids of one fragment: the earliest merge first, leftmost first."""
-        ids, ranks = [self.of_byte[b] for b in fragment], self.ranks
+        ids = list(map(self.of_byte.__getitem__, fragment))
         if len(ids) > SHORT:
             return self.merge_long(ids)
-        order = [ranks.get(p, NEVER) for p in zip(ids, ids[1:])]
+        first, rank_of, made = self.first, self.ranks.get, self.made
+        order = [first[a << 8 | b] for a, b in zip(fragment, fragment[1:])]
         while order and (rank := min(order)) < NEVER:
             at = order.index(rank)
-            ids[at : at + 2] = [self.made[rank]]
-            del order[at]
+            ids[at] = new = made[rank]
+            del ids[at + 1], order[at]
             if at:
-                order[at - 1] = ranks.get((ids[at - 1], ids[at]), NEVER)
+                order[at - 1] = rank_of((ids[at - 1], new), NEVER)
             if at < len(order):
-                order[at] = ranks.get((ids[at], ids[at + 1]), NEVER)
+                order[at] = rank_of((new, ids[at + 1]), NEVER)
         return ids
 
     def merge_long(self, ids: list[int]) -> list[int]:
@@ -138,6 +145,11 @@ class Vocabulary:
         return [i for i in ids if i >= 0]
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as 32-bit numbers; as bytes they are nothing for the garbage collector to visit."""
+    return array("I", ids).tobytes()
+
+
 def keep(cache: dict, key, value, most: int) -> None:
     """Enter a pair; a full table first forgets its older half."""
     if len(cache) >= most:
@@ -155,7 +167,7 @@ class Runs(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.fragments: dict[bytes, list[int]] = {}
+        self.pieces: dict[str | bytes, bytes] = {}  # pretokens and the fragments of cut ones
         self.new: dict[str, bytes] = {}
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.split = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
@@ -165,30 +177,38 @@ class Runs(dict):
         if ids is not None:
             keep(self, run, ids, KEPT_RUNS)
             return ids
-        ids = array("I", self.encode(run)).tobytes()
+        ids = self.encode(run)
         if len(run) <= KEPT_LENGTH:
             keep(self.new, run, ids, NEW_RUNS)
         return ids
 
-    def encode(self, run: str) -> list[int]:
-        ids: list[int] = []
+    def encode(self, run: str) -> bytes:
+        if not self.split or not self.split.search(run):
+            return self.plain(run)
         special = self.vocabulary.special
-        for part in self.split.split(run) if self.split else [run]:
-            if part in special:
-                ids.append(special[part])
-            else:
-                for pretoken in PRETOKENS.findall(part):
-                    for fragment in self.vocabulary.cut(pretoken.encode("utf-8")):
-                        ids += self.fragment(fragment)
+        parts = self.split.split(run)
+        return b"".join([packed([special[p]]) if p in special else self.plain(p) for p in parts])
+
+    def plain(self, run: str) -> bytes:
+        """Ids of a run without special tokens."""
+        pretokens = (ASCII_PRETOKENS if run.isascii() else PRETOKENS).findall(run)
+        return b"".join([self.pieces.get(p) or self.pretoken(p) for p in pretokens])
+
+    def pretoken(self, pretoken: str) -> bytes:
+        fragments = self.vocabulary.cut(pretoken.encode("utf-8"))
+        if len(fragments) == 1:
+            ids = packed(self.vocabulary.merge(fragments[0]))
+        else:
+            ids = b"".join([self.pieces.get(f) or self.fragment(f) for f in fragments])
+        if len(pretoken) <= KEPT_LENGTH:
+            keep(self.pieces, pretoken, ids, KEPT_PIECES)
         return ids
 
-    def fragment(self, fragment: bytes) -> list[int]:
-        found = self.fragments.get(fragment)
-        if found is None:
-            found = self.vocabulary.merge(fragment)
-            if len(fragment) <= KEPT_LENGTH:
-                keep(self.fragments, fragment, found, KEPT_FRAGMENTS)
-        return found
+    def fragment(self, fragment: bytes) -> bytes:
+        ids = packed(self.vocabulary.merge(fragment))
+        if len(fragment) <= KEPT_LENGTH:
+            keep(self.pieces, fragment, ids, KEPT_PIECES)
+        return ids
 
     def text(self, text: str) -> bytes:
         """Ids of a whole text."""
