@@ -10,11 +10,13 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tidemark.llm import idcoder, language, latent, minmax, oracle, pitman_yor, queries, shards, warc
+from tidemark.llm.staging import Stage
 from tidemark.llm.words import hash_words, shingles, text_bytes
 
 SMALL = "/root/testdata/sf0.01"
@@ -176,6 +178,19 @@ def test_long_items(frame, spark):
     assert got == {(base + k, k) for base in (100, 200) for k, _ in items}
 
 
+def test_basis_is_of_all_items_and_no_sample(frame, spark, work):
+    """Which documents a hash of ids would pick makes no difference; terms are the items' words."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(40)) for _ in range(1500)]
+    items = [Row(item_id=k, text=" ".join(f"w{rng.randrange(60)}" for _ in range(90))) for k in range(20)]
+    fits = [
+        latent._fit(Stage(spark, "fit"), frame([(shift + i, t) for i, t in enumerate(texts)]), items, "0")
+        for shift in (0, 10_000)
+    ]
+    assert fits[0].terms.tolist() == sorted({w for r in items for w in latent.words_of(r.text).tolist()})
+    assert np.allclose(fits[0].vectors @ fits[0].vectors.T, fits[1].vectors @ fits[1].vectors.T, atol=1e-4)
+
+
 def test_decontamination_odd_rows(frame, odd_rows, spark):
     items = spark.createDataFrame(
         [(1, "One two three four. Five six seven eight nine ten eleven."), (2, None), (3, ""), (None, "zz yy xx ww vv")],

@@ -1,16 +1,17 @@
 """Benchmark passages in documents, found by latent semantic retrieval.
 
-TF-IDF passages (the benchmark's items and a sample of document passages) are decomposed by a
-randomised SVD whose products with the passage matrix are Spark jobs. Every window of every
-document is projected onto the latent terms. Items are cut into even passages of at most
+TF-IDF passages of all benchmark items, weighted by document frequencies over all documents, are
+decomposed by a randomised SVD whose products with the passage matrix are Spark jobs. Every window
+of every document is projected onto the latent terms. Items are cut into even passages of at most
 ``WINDOW`` words, as a window cannot hold more; a window that has a large enough share of a
 passage's latent vector and a large enough cosine with it is a candidate for the whole item. A
 candidate is then read word by word: the longest common subsequence of the item, and of its answer (the last
 sentence), with the words around the window decides. Words count by their inverse document
 frequency there, so that frequent words in a likely order are no evidence.
 
-Only the basis is fitted on a sample (about ``FIT_DOCUMENTS`` documents, picked by hash).
-Document frequencies and the search cover all words of all documents. Benchmarks are taken in
+Nothing is sampled: terms and basis come from all passages of all items, document frequencies and
+hits from all words of all documents. A word that no item has weighs nothing in a product with an
+item's passage, so the documents have no terms of their own. Benchmarks are taken in
 blocks of about ``BLOCK_ITEMS`` passages, each block in one pass over the documents, so that what
 tasks receive is bounded however many items there are. Windows near each other that are
 candidates for one item of several passages are read together, at most a quarter of its length.
@@ -41,9 +42,7 @@ from tidemark.llm.words import hash_words, text_bytes
 
 WINDOW, STRIDE = 64, 32
 RANK, SPARE, POWERS = 64, 8, 2
-FIT_DOCUMENTS = 512
 BLOCK_ITEMS, MOST_ITEMS = 2048, 8192
-ITEM_WEIGHT = 8.0  # of an item's row beside a document passage's in the decomposition
 SHARE, COSINE = 0.25, 0.15
 LCS, SURE_LCS, ANSWER = 0.5, 0.8, 0.5
 ROWS = 256
@@ -259,34 +258,26 @@ def _term_counts(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
     return counts, rows
 
 
-def passages(df: DataFrame) -> DataFrame:
-    """(weight, words) of (text, weight): a text's consecutive windows as word hashes."""
+def passages(items: DataFrame) -> DataFrame:
+    """(words) of (text): a text's consecutive windows as word hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, first = hash_words(*text_bytes(batch.column(0)))
-            weights, out = [], []
-            for weight, a, b in zip(batch.column(1).to_pylist(), first[:-1], first[1:]):
-                for start in range(a, b, WINDOW):
-                    weights.append(weight)
-                    out.append(words[start : min(b, start + WINDOW)].astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(weights, pa.float64()), pa.array(out, pa.list_(pa.int64()))], ["weight", "words"]
-            )
+            out = [
+                words[start : min(b, start + WINDOW)].astype(np.int64)
+                for a, b in zip(first[:-1], first[1:])
+                for start in range(a, b, WINDOW)
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["words"])
 
-    return df.select("text", "weight").mapInArrow(run, "weight double, words array<long>")
+    return items.select("text").mapInArrow(run, "words array<long>")
 
 
 def vocabulary(spread: DataFrame) -> np.ndarray:
-    """Sorted hashes of the items' words and of words that two sampled passages share."""
-    counted = (
-        spread.select("weight", F.explode(F.array_distinct("words")).alias("word"))
-        .groupBy("word")
-        .agg(F.count("*").alias("n"), F.max("weight").alias("weight"))
-        .where(f"n > 1 OR weight >= {ITEM_WEIGHT}")
-        .select("word")
-    )
-    return np.sort(np.array([r["word"] for r in counted.toLocalIterator()], np.int64).view(np.uint64))
+    """Sorted hashes of the items' words."""
+    words = spread.select(F.explode("words").alias("word")).distinct()
+    return np.sort(np.array([r["word"] for r in words.toLocalIterator()], np.int64).view(np.uint64))
 
 
 def _product(spread: DataFrame, terms: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -296,12 +287,11 @@ def _product(spread: DataFrame, terms: np.ndarray, idf: np.ndarray, basis: np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(terms), width))
         for batch in batches:
-            for weight, words in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for words in batch.column(0):
                 hashes = np.asarray(words.values).view(np.uint64)
                 place, tf = np.unique(find(terms, hashes), return_counts=True)
-                place, tf = place[place >= 0], tf[place >= 0]
                 row = tf * idf[place]
-                row = row * (weight / max(np.linalg.norm(row), 1e-12))
+                row = row / max(np.linalg.norm(row), 1e-12)
                 total[place] += row[:, None] * (row @ basis[place])
         for at in range(0, len(terms), TERMS_A_ROW):
             part = total[at : at + TERMS_A_ROW].reshape(-1)
@@ -347,17 +337,8 @@ def _items(rows: list, terms: np.ndarray, idf: np.ndarray) -> list[Item]:
 
 def _fit(stage: Stage, docs: DataFrame, rows: list, name: str) -> Model | None:
     spark = docs.sparkSession
-    items = spark.createDataFrame(
-        [(r["text"], ITEM_WEIGHT) for r in rows if r["text"]], "text string, weight double"
-    )
-    share = min(1.0, FIT_DOCUMENTS / max(1, docs.count()))
-    sample = (
-        docs.where("text IS NOT NULL")
-        .where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30))
-        .limit(2 * FIT_DOCUMENTS)
-        .select("text", F.lit(1.0).alias("weight"))
-    )
-    spread = stage.table(passages(items.unionByName(sample)), f"passages-{name}")
+    items = spark.createDataFrame([(r["text"],) for r in rows if r["text"]], "text string")
+    spread = stage.table(passages(items), f"passages-{name}")
     terms = vocabulary(spread)
     if not len(terms):
         return None
