@@ -2,6 +2,7 @@
 
 import random
 import time
+import weakref
 import zlib
 from collections import Counter
 
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import idcoder, language, latent, minmax, oracle, pitman_yor, queries, shards, warc
-from tidemark.llm.staging import Stage
+from tidemark.llm import bpe, idcoder, language, latent, minmax, oracle, pitman_yor, queries, shards, warc
+from tidemark.llm.staging import Stage, kept_by
 from tidemark.llm.words import hash_words, shingles, text_bytes
 
 SMALL = "/root/testdata/sf0.01"
@@ -115,6 +116,14 @@ def test_pairs_of_one_bucket_are_compared(spark):
     assert got == [(1, 2), (2, 3)]
 
 
+def test_a_worker_keeps_tables_of_one_operator():
+    with open(TOKENIZER, encoding="utf-8") as file:
+        runs = weakref.ref(bpe.load(file.read()))
+    assert runs() is not None and kept_by("bpe")
+    kept_by("latent")
+    assert runs() is None and not kept_by("bpe")
+
+
 # -- decontamination --------------------------------------------------------------------------
 
 

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.staging import ship
+from tidemark.llm.staging import give_back, kept_by, ship
 
 # Unicode white space, and the pattern of this kind of tokenizer.
 SPACE = "\t-\r " + "".join(
@@ -223,16 +223,14 @@ class Runs(dict):
         return b"".join(out)
 
 
-_LOADED: dict[str, Runs] = {}
-
-
 def load(file_text: str) -> Runs:
     """One table of runs per worker and tokenizer file."""
     key = hashlib.sha256(file_text.encode()).hexdigest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Runs(Vocabulary(file_text))
-    return _LOADED[key]
+    loaded = kept_by("bpe")
+    if key not in loaded:
+        loaded.clear()
+        loaded[key] = Runs(Vocabulary(file_text))
+    return loaded[key]
 
 
 def token_lists(texts: list[bytes]) -> pa.Array:
@@ -304,9 +302,11 @@ class Codec:
             for batch in batches:
                 packed = [runs.text(t.as_py() or "") for t in batch]
                 decoded = [tokens.text(np.frombuffer(p, "<i4")) for p in packed]
-                yield pa.StructArray.from_arrays(
-                    [token_lists(packed), pa.array(decoded, pa.string())], ["ids", "decoded"]
-                )
+                columns = [token_lists(packed), pa.array(decoded, pa.string())]
+                del packed, decoded
+                yield pa.StructArray.from_arrays(columns, ["ids", "decoded"])
+                del columns
+                give_back()
 
         rest = [F.col(f"`{c}`") for c in df.columns if c not in ("ids", "decoded", "_both")]
         found = df.select(*rest, run(F.col(text)).alias("_both"))

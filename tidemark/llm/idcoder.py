@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import BOUNDARY, KEPT_LENGTH, KEPT_RUNS, NEW_RUNS, RUNS, SLICE, keep
-from tidemark.llm.staging import ship
+from tidemark.llm.staging import kept_by, ship
 from tidemark.llm.warc import open_folder
 
 MAGIC = b"TIDS0002"
@@ -296,14 +296,13 @@ class LibraryRuns(dict):
         return np.frombuffer(b"".join(out), "<u4")
 
 
-_LOADED: dict[str, LibraryRuns] = {}
-
-
 def _library(file_text: str) -> LibraryRuns:
     key = hashlib.sha256(file_text.encode()).hexdigest()
-    if key not in _LOADED:
-        _LOADED[key] = LibraryRuns(file_text)
-    return _LOADED[key]
+    loaded = kept_by("idcoder")
+    if key not in loaded:
+        loaded.clear()
+        loaded[key] = LibraryRuns(file_text)
+    return loaded[key]
 
 
 def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> DataFrame:

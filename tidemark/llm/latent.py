@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.staging import Stage, ship
+from tidemark.llm.staging import Stage, give_back, kept_by, ship
 from tidemark.llm.words import hash_words, text_bytes
 
 WINDOW, STRIDE = 64, 32
@@ -234,6 +234,7 @@ def _term_counts(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
     """Number of documents that hold each term, and number of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("latent")
         counts, rows = np.zeros(len(terms), np.int64), 0
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
@@ -247,6 +248,7 @@ def _term_counts(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
         seen = np.flatnonzero(counts)
         places, numbers = np.append(seen, -1), np.append(counts[seen], rows)
         yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(numbers)], ["place", "n"])
+        give_back()
 
     found = docs.select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
     counts, rows = np.zeros(len(terms), np.int64), 0
@@ -359,6 +361,7 @@ def _search(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("latent")
         model = shared.value
         for batch in batches:
             out = []
@@ -370,6 +373,7 @@ def _search(docs: DataFrame, model: Model) -> DataFrame:
             columns = list(zip(*out)) if out else [[]] * len(HIT_SCHEMA)
             arrays = [pa.array(c, f.type) for c, f in zip(columns, HIT_SCHEMA)]
             yield pa.RecordBatch.from_arrays(arrays, schema=HIT_SCHEMA)
+        give_back()
 
     return docs.mapInArrow(
         run,

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tidemark.llm.components import components
-from tidemark.llm.staging import Stage, ship
+from tidemark.llm.staging import Stage, give_back, kept_by, ship
 from tidemark.llm.words import BASE, U64, hash_words, mix, shingles, text_bytes
 
 PERMUTATIONS, BAND = 126, 6
@@ -71,11 +71,13 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, list]]:
     """Ids and shingle sets, a few hundred rows at a time."""
+    kept_by("minmax")
     for batch in batches:
         for start in range(0, batch.num_rows, ROWS):
             part = batch.slice(start, ROWS)
             hashes, first = hash_words(*text_bytes(part.column(1)))
             yield part, [shingles(hashes[a:b], k) for a, b in zip(first[:-1], first[1:])]
+    give_back()
 
 
 def _key(found: np.ndarray) -> bytes:
