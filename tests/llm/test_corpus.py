@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tidemark.llm import bpe, idcoder, language, latent, minmax, oracle, pitman_yor, queries, shards, warc
+from tidemark.llm.components import components
 from tidemark.llm.staging import Stage, kept_by
 from tidemark.llm.words import hash_words, shingles, text_bytes
 
@@ -124,6 +125,18 @@ def test_a_worker_keeps_tables_of_one_operator():
     assert runs() is None and not kept_by("bpe")
 
 
+def test_small_tables_are_written_by_few_tasks(frame, spark, work):
+    spark.conf.set("spark.sql.shuffle.partitions", 60)
+    try:
+        stage = Stage(spark, "few")
+        links = frame([(i, "x") for i in range(400)]).selectExpr("doc_id a", "doc_id + 1 b")
+        found = components(stage, links, "labels")
+        assert {r.label for r in found.collect()} == {0} and found.count() == 401
+        assert len(found.inputFiles()) <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
 # -- decontamination --------------------------------------------------------------------------
 
 

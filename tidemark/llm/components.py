@@ -21,9 +21,10 @@ def components(stage: Stage, links: DataFrame, name: str) -> DataFrame:
         ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
         f"{name}-links",
     )
+    rows = both.count()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
     labels = labels.select("node", F.least("node", "near").alias("label"))
-    labels, step = stage.table(labels, f"{name}-0"), 0
+    labels, step = stage.table(labels, f"{name}-0", rows), 0
     while True:
         step += 1
         known = labels.withColumnsRenamed({"node": "b", "label": "other"})
@@ -33,7 +34,7 @@ def components(stage: Stage, links: DataFrame, name: str) -> DataFrame:
         moved = moved.join(jump, "next").select(
             "node", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("changed")
         )
-        moved = stage.table(moved, f"{name}-{step}")
+        moved = stage.table(moved, f"{name}-{step}", rows)
         stage.drop(f"{name}-{step - 1}")
         labels = moved.select("node", "label")
         if moved.where("changed").isEmpty():

@@ -212,19 +212,20 @@ def _proposals(buckets: DataFrame, tested: DataFrame | None, turn: int, least: i
     return pairs.groupBy("a").agg(best).select("a", F.col("best.b").alias("b"))
 
 
-def _mixed(stage: Stage, buckets: DataFrame) -> DataFrame:
-    """Rows of the buckets with two components or more, with the class's group and its size."""
+def _mixed(stage: Stage, buckets: DataFrame, n: int) -> DataFrame:
+    """Rows of the buckets with two components or more, with the class's group and its size; there are
+    ``n`` rows of buckets."""
     mixed = (
         buckets.groupBy("key")
         .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("rep").alias("first"))
         .where("low < high")
         .select("key", "first")
     )
-    rows = stage.table(buckets.join(mixed, "key"), "mixed")
+    rows = stage.table(buckets.join(mixed, "key"), "mixed", n)
     links = rows.where("rep != first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
     groups = components(stage, links, "groups").withColumnsRenamed({"node": "rep", "label": "group"})
     sizes = groups.groupBy("group").agg(F.count("*").alias("size"))
-    return stage.table(rows.drop("first").join(groups.join(sizes, "group"), "rep"), "grouped")
+    return stage.table(rows.drop("first").join(groups.join(sizes, "group"), "rep"), "grouped", n)
 
 
 def _pairs(mixed: DataFrame, tested: DataFrame, least: int) -> DataFrame:
@@ -329,21 +330,25 @@ def near_duplicates(
     able = 100 * F.col("alone") <= (100 - least) * F.col("n")
     counted = buckets.join(_alone(sets), "rep", "left").fillna(0, ["alone"])
     buckets = stage.table(counted.where(able), "candidates")
-    links = labels = tested = None
+    rows = buckets.count()
+    labels = tested = None
     for turn in range(ROUNDS + 1):
         current = _with_labels(buckets, labels)
         if turn == ROUNDS:
-            mixed = _mixed(stage, current)
+            mixed = _mixed(stage, current, rows)
             pairs = stage.table(_pairs(mixed, tested, least), f"pairs-{turn}")
             found = _linked(pairs, sets, least).unionByName(_blocks(mixed, sets, least))
         else:
-            pairs = stage.table(_proposals(current, tested, turn, least), f"pairs-{turn}")
+            pairs = stage.table(_proposals(current, tested, turn, least), f"pairs-{turn}", rows)
             found = _linked(pairs, sets, least)
         found = stage.table(found, f"links-{turn}")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        if labels is None or not found.isEmpty():
-            labels = components(stage, links, f"labels-{turn}")
+        if labels is None:
+            labels = components(stage, found, f"labels-{turn}")
+        elif not found.isEmpty():
+            # What was linked before is known by its labels, a link from each node to its smallest one.
+            before = labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+            labels = components(stage, found.unionByName(before), f"labels-{turn}")
     stage.drop("buckets", "candidates", "sets")
     own = classes.select("set_key", "rep")
     named = labels.withColumnRenamed("node", "rep")
