@@ -1,5 +1,6 @@
 """Operators over the whole corpus: near duplicates, decontamination, models, files, shards."""
 
+import json
 import random
 import time
 import weakref
@@ -364,6 +365,72 @@ def test_an_id_takes_few_steps():
     assert (got == ids).all() and time.process_time() - start < 8
 
 
+def test_a_model_learns_by_spans(monkeypatch):
+    """One look at the model a span of steps: mixing for each step made files three times too dear."""
+    learn, calls = idcoder.Model.learn, []
+    monkeypatch.setattr(idcoder.Model, "learn", lambda model, *a: (calls.append(len(a[0])), learn(model, *a)))
+    ids = np.random.default_rng(6).zipf(1.2, 30 * idcoder.BLOCK + 5) % (1 << 16)
+    group = idcoder.write_group([(1, ids)])
+    assert sum(calls) == len(ids) and len(calls) < idcoder.BLOCK / 8
+    ((_, got),) = idcoder.read_group(group[8:])
+    assert (got == ids).all() and sum(calls) == 2 * len(ids)
+
+
+def test_ids_of_any_odds_come_back():
+    rng = np.random.default_rng(7)
+    many = 6 * idcoder.BLOCK + 3
+    for ids in (
+        np.full(many, 65535), np.arange(many) % 2, rng.integers(0, 1 << 16, many), rng.geometric(0.9, many) - 1,
+        np.where(rng.random(many) < 0.999, 7, rng.integers(0, 1 << 16, many)), np.repeat(rng.integers(0, 9, many // 50 + 1), 50)[:many],
+    ):
+        ((_, got),) = idcoder.read_group(idcoder.write_group([(1, ids)])[8:])
+        assert (got == ids).all()
+
+
+ODD_PARTS = [
+    " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u3000", "\u2009", "\u200b", "\u1680", "\0", "'", "'s", "'t", "'re",
+    "'ll", "don't", "'tis", "\u2019s", "a", "The", "thing", "Stra\xdfe", "\xe9t\xe9", "\xd7", "\xf7", "\u0101", "\u0301", "\u0436\u0437",
+    "\u0482", "\u6c49\u5b57", "\uff0c", "\U0001f600", "1", "84.25", "\u0663", "\xb2", "\xaa", "\xb5", ".", "!?", "...", "$$", "\u2013", "\u2026", "<|endoftext|>",
+    "<|endof", "text|>", "|", "a" * 70, "#" * 70,
+]
+
+
+def test_pieces_equal_the_library(monkeypatch):
+    """Texts of all kinds of neighbours, many at once, cut by a few bytes, with a table that is often full."""
+    library, file_text = Tokenizer.from_file(TOKENIZER), open(TOKENIZER, encoding="utf-8").read()
+    rng = np.random.default_rng(8)
+    texts = ["".join(ODD_PARTS[i] for i in rng.integers(0, len(ODD_PARTS), n)) for n in rng.integers(0, 30, 3000)]
+    texts += [a + b + c for a in ODD_PARTS for b in ODD_PARTS for c in ("", "a", " a", "'s")] + [None, ""]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for sizes in ((), (("SLICES", 50), ("KEPT_PIECES", 300)), (("SLICES", 5), ("JOINED", 3))):
+        for name, value in sizes:
+            monkeypatch.setattr(idcoder, name, value)
+        pieces = idcoder.Pieces(file_text)
+        for column in (pa.array(texts[:100], pa.string())[5:], pa.array(texts[5:], pa.large_string())):
+            got = [x.tolist() for x in pieces.texts(column)]
+            at = 5
+            assert got == want[at : at + len(got)]
+
+
+def test_other_tokenizers_get_texts_whole():
+    data = json.loads(open(TOKENIZER, encoding="utf-8").read())
+    data["normalizer"] = {"type": "Lowercase"}
+    library, pieces = Tokenizer.from_str(json.dumps(data)), idcoder.Pieces(json.dumps(data))
+    texts = ["The THING, don't\nSAY", "", "A A  a"]
+    assert [x.tolist() for x in pieces.texts(pa.array(texts))] == [library.encode(t).ids for t in texts]
+
+
+def test_new_pieces_are_encoded_together(monkeypatch):
+    pieces, calls = idcoder.Pieces(open(TOKENIZER, encoding="utf-8").read()), []
+    for name in ("whole", "matches"):
+        run = getattr(pieces, name)
+        monkeypatch.setattr(pieces, name, lambda *a, run=run: (calls.append(1), run(*a))[1])
+    words = [f"w{''.join(chr(97 + int(d)) for d in str(i))}" for i in range(5000)]
+    for _ in range(3):
+        list(pieces.texts(pa.array([" ".join(words)] * 2)))
+    assert len(calls) == 1
+
+
 # -- WARC -------------------------------------------------------------------------------------
 
 PAGES = [

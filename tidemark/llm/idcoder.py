@@ -6,8 +6,9 @@ the order-1 and from the order-2 guess are mixed in the logistic domain with wei
 An id that was not guessed follows by the frequencies of ids so far. Both drive one range coder.
 
 A task codes about ``LANES`` blocks of ``BLOCK`` ids side by side, one array element each; they share a
-model that starts blank and learns from all of them after each step. Every block carries its length and
-the checksum of its ids.
+model that starts blank and learns from all of them after each span of steps. A decision depends on few
+small numbers (the trust in both guesses, whether they agree), so within a span mixing is one lookup in the
+table of all their cases. Every block carries its length and the checksum of its ids.
 
 All arithmetic is on whole numbers, so that files decode alike on any machine.
 
@@ -15,6 +16,9 @@ A file is a sequence of groups: the group's length, documents (id, number of ids
 (number of ids, bytes, CRC-32), then the blocks' bytes. Tasks write one file each, over
 documents in ascending order of id; the manifest names the files of finished tasks only.
 
+Texts are cut where no match of the byte-level pattern can reach across, many texts at once; the pieces are
+encoded by the tokenizers library once and looked up afterwards, in a bounded table.
+
 Defined cases: a null text is empty, so only its end id is stored; null ids come first;
 repeated ids stand side by side, in the order of their texts' hashes; ids up to 65535 can be
 coded, others are an error; an empty table makes no file.
@@ -23,11 +27,12 @@ coded, others are an error; an empty table makes no file.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
+import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,17 +41,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import BOUNDARY, KEPT_LENGTH, KEPT_RUNS, NEW_RUNS, RUNS, SLICE, keep
+from tidemark.llm.bpe import SPACE, byte_letters
 from tidemark.llm.staging import kept_by, ship
 from tidemark.llm.warc import open_folder
 
-MAGIC = b"TIDS0002"
-BLOCK, LANES, BITS = 1024, 2048, 16
-SLOT_BITS, MOST_TRUST = 18, 15
-RATE, LEARNING = 5, 10
+MAGIC = b"TIDS0003"
+BLOCK, LANES, BITS = 1024, 4096, 16
+SLOT_BITS, MOST_TRUST = 16, 15
+SPAN, LEARNING = 16, 40  # steps after which the model learns; rate of the mixing weights
+CHUNK = 1 << 14  # entries of a table renewed at once
+FEW, MOST_SEEN = 2, 1 << 16  # weight of the first odds, and where counts of odds are halved
+SURE = 8  # least share of either outcome of a decision, in 4096ths
 TOTAL_BITS, REFRESH = 18, 32  # of frequencies, taken anew after so many steps (and after 1, 2, 4, ...)
-STATE_BITS = 56
-STATE, LEAST = (1 << STATE_BITS) - 1, 1 << 36  # of the range coder, and the width it keeps
+WORD = np.uint64(32)  # bits put out at once; the interval stays wider than that
+LEAST = np.uint64(1 << 32)
 HASH, HASH2 = np.uint32(0x9E3779B1), np.uint32(0xC2B2AE35)
 MANIFEST = "file int, path string, n_docs long, n_tokens long"
 
@@ -60,6 +68,11 @@ SQUASH = np.array([squash(x) for x in range(-2047, 2048)], np.int64)
 STRETCH = np.array(
     [min(2047, max(-2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], np.int64
 )
+# An entry of a table of guesses is an id and, in its low byte, the trust in it: in bits 0-3 for order 1, in
+# bits 4-7 for order 2. The case of a decision is the low byte of both with bit 8 set where the ids agree.
+CASES = np.arange(512)
+KIND = 2 * (CASES >> 4 & 15 > 0) + (CASES >> 8)  # an order-2 guess is there, guesses agree
+PLACES = np.stack([KIND, 4 + 4 * (CASES & 15) + KIND, 68 + (CASES & 255)])  # of its odds, orders 0 to 2
 
 
 class Model:
@@ -67,143 +80,185 @@ class Model:
     mixing weights, and how often each id came unguessed."""
 
     def __init__(self) -> None:
-        self.guess = np.zeros((2 << SLOT_BITS), np.int64)
-        self.trust = np.zeros((2 << SLOT_BITS), np.int64)
-        self.odds = np.full(4 + 64 + 256, 1 << 15, np.int64)  # orders 0, 1 and 2
+        self.one = np.zeros(1 << BITS, np.uint32)
+        self.two = np.zeros(1 << SLOT_BITS, np.uint32)
+        self.held = np.full(68 + 256, FEW, np.int64)  # of 2 * FEW decisions to begin with
+        self.seen = np.full(68 + 256, 2 * FEW, np.int64)
         self.weights = np.full((3, 4), 1 << 15, np.int64)
         self.counts = np.zeros(1 << BITS, np.int64)
-        self.step = 0
-        self.ends = np.arange((1 << BITS) + 1) << TOTAL_BITS - BITS
-
-    def predict(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Probability that the guess holds, in 4096ths, for each lane."""
-        pair = (first.astype(np.uint32) * HASH ^ second.astype(np.uint32) + np.uint32(1)) * HASH2
-        self.slots = np.stack([first, (pair >> np.uint32(32 - SLOT_BITS)).astype(np.int64) + (1 << SLOT_BITS)])
-        self.guesses, self.trusts = self.guess[self.slots], self.trust[self.slots]
-        (one, two), (trust, more) = self.guesses, self.trusts
-        longer = more > 0
-        self.guessed = np.where(longer, two, one)
-        self.case = 2 * longer + (one == two)
-        self.at = np.stack([self.case, 4 + 4 * trust + self.case, 68 + 16 * more + trust])
-        self.seen = self.odds[self.at]
-        self.stretched = STRETCH[self.seen >> 4]
-        dot = (self.weights[:, self.case] * self.stretched).sum(0) >> 16
-        self.mixed = SQUASH[np.clip(dot, -2047, 2047) + 2047]
-        return self.mixed
-
-    def learn(self, ids: np.ndarray, held: np.ndarray, missed: np.ndarray) -> None:
-        """Take in the lanes' ids; of lanes that share an entry the last one counts."""
-        error = ((held << 12) - self.mixed) * LEARNING
-        lanes = np.maximum(np.bincount(self.case, minlength=4), 1)
+        self.missed: list[np.ndarray] = []  # since the counts were taken
+        self.step = self.refresh = 0
+        self.divide(np.full(1 << BITS, 1 << TOTAL_BITS - BITS))
+        self.mix()
+
+    def mix(self) -> None:
+        """Probability that the guess holds in each case, in 65536ths."""
+        odds = (self.held << 12) // self.seen
+        self.stretched = STRETCH[odds[PLACES]]
+        dot = (self.weights[:, KIND] * self.stretched).sum(0) >> 16
+        self.mixed = np.clip(SQUASH[np.clip(dot, -2047, 2047) + 2047], SURE, 4096 - SURE)
+        self.chance = (self.mixed << 4).astype(np.uint64)
+
+    def look_up(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Slots and entries of both orders, the guess and its case."""
+        slots = ((first * HASH ^ second + np.uint32(1)) * HASH2) >> np.uint32(32 - SLOT_BITS)
+        one, two = self.one.take(first), self.two.take(slots)
+        case = ((one | two) & np.uint32(255)) + (((one ^ two) < 256).astype(np.uint32) << np.uint32(8))
+        guess = np.where(two & np.uint32(240), two, one) >> np.uint32(8)
+        return slots, one, two, guess, case
+
+    def span(self, left: int) -> int:
+        """Steps until the model learns again."""
+        return min(SPAN, max(1, self.step), left)
+
+    def learn(self, ids, first, slots, one, two, held, case) -> None:
+        """Take in the ids of a span; of steps that share an entry the last one counts."""
+        for table, at, entry, unit in ((self.one, first, one, np.uint32(1)), (self.two, slots, two, np.uint32(16))):
+            for part in (slice(i, i + CHUNK) for i in range(0, len(ids), CHUNK)):
+                old, own = entry[part], ids[part]
+                trust = old & 15 * unit
+                less = (trust >> np.uint32(1)) & 15 * unit
+                wrong = np.where(trust > unit, old - less, own << np.uint32(8) | unit)
+                right = old + unit * (trust < MOST_TRUST * unit)
+                table[at[part]] = np.where(old >> np.uint32(8) == own, right, wrong)
+        both = np.bincount(case << np.uint32(1) | held, minlength=1024).reshape(512, 2)
+        seen, hit = both.sum(1), both[:, 1]
+        error = ((hit << 12) - seen * self.mixed) * LEARNING
+        total = np.maximum(_sums(KIND, seen, 4), 1)
         for weights, stretched in zip(self.weights, self.stretched):
-            total = np.bincount(self.case, stretched * error, 4).astype(np.int64)
-            weights += total // lanes + (1 << 15) >> 16
-        self.odds[self.at] = self.seen + (((held << 16) - held - self.seen) >> RATE)
-        same = self.guesses == ids
-        stays = same | (self.trusts > 1)
-        self.guess[self.slots] = np.where(stays, self.guesses, ids)
-        self.trust[self.slots] = np.where(
-            same, np.minimum(self.trusts + 1, MOST_TRUST), np.where(stays, self.trusts >> 1, 1)
-        )
-        np.add.at(self.counts, ids[missed], 1)
-        self.step += 1
-        if self.step % REFRESH == 0 or self.step & (self.step - 1) == 0:
+            weights += (_sums(KIND, stretched * error, 4) // total + (1 << 15)) >> 16
+        for places in PLACES:
+            self.held += _sums(places, hit, len(self.held))
+            self.seen += _sums(places, seen, len(self.seen))
+        full = self.seen > MOST_SEEN
+        self.held[full] = (self.held[full] >> 1) + 1
+        self.seen[full] = (self.seen[full] >> 1) + 2
+        self.mix()
+        self.missed.append(ids[~held])
+
+    def advance(self, steps: int) -> None:
+        self.step += steps
+        if self.step >= self.refresh:
+            self.refresh = self.step + min(self.step, REFRESH)
+            self.counts += np.bincount(np.concatenate(self.missed), minlength=1 << BITS)
+            self.missed = []
             room = (1 << TOTAL_BITS) - (1 << BITS)
-            share = self.counts * room // max(1, int(self.counts.sum())) + 1
-            self.ends[1:] = np.cumsum(share)
-
-
-def _narrow(low: np.ndarray, high: np.ndarray, emit) -> None:
-    """Shift out the bytes that both ends of the lanes' intervals share. An interval that gets narrow
-    around a boundary of such bytes is cut there first."""
-    while True:
-        apart = (low ^ high) >> STATE_BITS - 8 != 0
-        narrow = apart & (high - low < LEAST)
-        if narrow.any():
-            high[narrow] = low[narrow] | LEAST - 1
-            apart &= ~narrow
-        done = np.flatnonzero(~apart)
-        if not len(done):
-            return
-        emit(done)
-        low[done] = low[done] << 8 & STATE
-        high[done] = high[done] << 8 & STATE | 255
+            self.divide(self.counts * room // max(1, int(self.counts.sum())) + 1)
 
+    def divide(self, share: np.ndarray) -> None:
+        """Give each id its share of the frequencies' total."""
+        self.share, self.owners = share.astype(np.uint64), None
+        self.begin = (np.cumsum(share) - share).astype(np.uint64)
 
-def pack(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-    """Code blocks side by side: rows of ``ids``, of which the first ``lengths`` count; longest first."""
-    lanes, model = len(ids), Model()
-    low, high = np.zeros(lanes, np.int64), np.full(lanes, STATE)
-    out, size = np.zeros((lanes, 4 * ids.shape[1] + 64), np.uint8), np.zeros(lanes, np.int64)
-    first = second = np.zeros(lanes, np.int64)
+    def owner(self) -> np.ndarray:
+        """The id that each part of the total belongs to (the last one also has what is left)."""
+        if self.owners is None:
+            owners = np.repeat(np.arange(1 << BITS, dtype=np.uint16), self.share.astype(np.int64))
+            self.owners = np.append(owners, np.full((1 << TOTAL_BITS) - len(owners), (1 << BITS) - 1, np.uint16))
+        return self.owners
 
-    def emit(done: np.ndarray) -> None:
-        nonlocal out
-        if size.max() + 1 >= out.shape[1]:
-            out = np.hstack([out, np.zeros_like(out)])
-        out[done, size[done]] = high[done] >> STATE_BITS - 8
-        size[done] += 1
 
-    for t in range(ids.shape[1]):
+def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    np.add.at(out, at, values)
+    return out
+
+
+def _steps(lengths: np.ndarray, model: Model) -> Iterator[tuple[int, int, int]]:
+    """Spans of steps with the number of lanes (longest first) that take part."""
+    t = 0
+    while t < lengths[0]:
         k = int(np.searchsorted(-lengths, -t, "left"))
-        symbol, a, b = ids[:k, t], low[:k], high[:k]
-        middle = a + (b - a >> 12) * model.predict(first[:k], second[:k])
-        held = model.guessed == symbol
-        np.copyto(b, middle, where=held)
-        np.copyto(a, middle + 1, where=~held)
-        missed = np.flatnonzero(~held)
-        if len(missed):
-            start, width = a[missed], b[missed] - a[missed] >> TOTAL_BITS
-            a[missed] = start + width * model.ends[symbol[missed]]
-            b[missed] = start + width * model.ends[symbol[missed] + 1] - 1
-        model.learn(symbol, held.astype(np.int64), missed)
-        _narrow(a, b, emit)
-        first, second = symbol, first
-    for shift in range(STATE_BITS - 8, -1, -8):
-        if size.max() + 1 >= out.shape[1]:
+        steps = model.span(int(lengths[k - 1]) - t)
+        yield t, steps, k
+        model.advance(steps)
+        t += steps
+
+
+def pack(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    """Code blocks side by side: rows of ``ids``, of which the first ``lengths`` count; longest first."""
+    lanes, model = len(ids), Model()
+    low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    out, size = np.zeros((lanes, ids.shape[1] // 2 + 2 * SPAN), np.uint64), np.zeros(lanes, np.int64)
+    past = np.zeros((ids.shape[1] + 2, lanes), np.uint32)  # by step, after two blank ones
+    past[2:] = ids.T
+    for t, steps, k in _steps(lengths, model):
+        own, first = (past[t + i : t + i + steps, :k].reshape(-1) for i in (2, 1))
+        slots, one, two, guess, case = model.look_up(first, past[t : t + steps, :k].reshape(-1))
+        held = guess == own
+        chance = model.chance.take(case).reshape(steps, k)
+        start, share = (x.take(own).reshape(steps, k) for x in (model.begin, model.share))
+        if size.max() + 2 * steps >= out.shape[1]:
             out = np.hstack([out, np.zeros_like(out)])
-        out[np.arange(lanes), size] = low >> shift & 255
-        size += 1
-    return [out[i, : size[i]].tobytes() for i in range(lanes)]
+        a, w, filled, right = low[:k], width[:k], size[:k], held.reshape(steps, k)
+        for i in range(steps):
+            bound = (w >> np.uint64(16)) * chance[i]
+            rest = w - bound
+            part = rest >> np.uint64(TOTAL_BITS)
+            moved = a + np.where(right[i], np.uint64(0), bound + part * start[i])
+            over = np.flatnonzero(moved < a)
+            if len(over):
+                out[over, filled[over] - 1] += np.uint64(1)
+            a[:] = moved
+            w[:] = np.where(right[i], bound, part * share[i])
+            narrow = np.flatnonzero(w < LEAST)
+            taken = a[narrow]
+            out[narrow, filled[narrow]] = taken >> WORD
+            filled[narrow] += 1
+            a[narrow] = taken << WORD
+            w[narrow] <<= WORD
+        model.learn(own, first, slots, one, two, held, case)
+    if size.max() + 1 >= out.shape[1]:
+        out = np.hstack([out, np.zeros_like(out)])
+    last = low + (LEAST - np.uint64(1))  # one word of the final interval
+    over = np.flatnonzero(last < low)
+    out[over, size[over] - 1] += np.uint64(1)
+    out[np.arange(lanes), size] = last >> WORD
+    out = out[:, : size.max() + 1]
+    while (over := out >> WORD).any():
+        out &= LEAST - np.uint64(1)
+        out[:, :-1] += over[:, 1:]
+    words = out.astype("<u4")
+    return [words[i, : n + 1].tobytes() for i, n in enumerate(size)]
 
 
 def unpack(blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
     """Ids of coded blocks, one row each; longest first."""
     lanes, model = len(blocks), Model()
-    data = np.zeros((lanes, max(map(len, blocks)) + 8), np.uint8)
+    words = np.zeros((lanes, max(len(b) + 3 >> 2 for b in blocks) + 2), np.uint64)
     for i, block in enumerate(blocks):
-        data[i, : len(block)] = np.frombuffer(block, np.uint8)
-    low, high, code = np.zeros(lanes, np.int64), np.full(lanes, STATE), np.zeros(lanes, np.int64)
-    for i in range(STATE_BITS // 8):
-        code = code << 8 | data[:, i]
-    at = np.full(lanes, STATE_BITS // 8)
-    ids = np.zeros((lanes, int(lengths[0])), np.int64)
-    first = second = np.zeros(lanes, np.int64)
-
-    def emit(done: np.ndarray) -> None:
-        code[done] = code[done] << 8 & STATE | data[done, np.minimum(at[done], data.shape[1] - 1)]
-        at[done] += 1
-
-    for t in range(ids.shape[1]):
-        k = int(np.searchsorted(-lengths, -t, "left"))
-        a, b = low[:k], high[:k]
-        middle = a + (b - a >> 12) * model.predict(first[:k], second[:k])
-        held = code[:k] <= middle
-        np.copyto(b, middle, where=held)
-        np.copyto(a, middle + 1, where=~held)
-        symbol, missed = model.guessed, np.flatnonzero(~held)
-        if len(missed):
-            start, width = a[missed], b[missed] - a[missed] >> TOTAL_BITS
-            target = np.clip((code[missed] - start) // np.maximum(width, 1), 0, model.ends[-1] - 1)
-            found = np.searchsorted(model.ends, target, "right") - 1
-            symbol[missed] = found
-            a[missed] = start + width * model.ends[found]
-            b[missed] = start + width * model.ends[found + 1] - 1
-        model.learn(symbol, held.astype(np.int64), missed)
-        _narrow(a, b, emit)
-        ids[:k, t] = symbol
-        first, second = symbol, first
-    return ids
+        words[i, : len(block) >> 2] = np.frombuffer(block[: len(block) & ~3], "<u4")
+    code, width = words[:, 0] << WORD | words[:, 1], np.full(lanes, (1 << 64) - 1, np.uint64)
+    at, last = np.arange(lanes) * words.shape[1] + 2, np.arange(1, lanes + 1) * words.shape[1] - 1
+    words = words.reshape(-1)
+    past = np.zeros((int(lengths[0]) + 2, lanes), np.uint32)
+    for t, steps, k in _steps(lengths, model):
+        c, w, taken = code[:k], width[:k], []
+        owner = model.owner()
+        for i in range(t, t + steps):
+            slots, one, two, guess, case = model.look_up(past[i + 1, :k], past[i, :k])
+            bound = (w >> np.uint64(16)) * model.chance.take(case)
+            held = c < bound
+            missed = np.flatnonzero(~held)
+            if len(missed):
+                edge = bound[missed]
+                rest = c[missed] - edge
+                part = (w[missed] - edge) >> np.uint64(TOTAL_BITS)
+                found = owner.take((rest // part).astype(np.int64), mode="clip").astype(np.int64)
+                c[missed] = rest - part * model.begin.take(found)
+                bound[missed] = part * model.share.take(found)
+                guess[missed] = found
+            w[:] = bound
+            narrow = np.flatnonzero(bound < LEAST)
+            place = at[narrow]
+            c[narrow] = c[narrow] << WORD | words.take(np.minimum(place, last[narrow]))
+            at[narrow] = place + 1
+            w[narrow] <<= WORD
+            past[i + 2, :k] = guess
+            taken.append((slots, one, two, held, case))
+        own, first = (past[t + i : t + i + steps, :k].reshape(-1) for i in (2, 1))
+        model.learn(own, first, *(np.concatenate(x) for x in zip(*taken)))
+    return past[2:].T
 
 
 # -- files ----------------------------------------------------------------------------------
@@ -216,7 +271,7 @@ def _lanes(blocks: int) -> int:
 
 def write_group(documents: list[tuple[int | None, np.ndarray]]) -> bytes:
     """A group of documents as bytes."""
-    ids = np.concatenate([d for _, d in documents]).astype(np.int64)
+    ids = np.concatenate([d for _, d in documents]).astype(np.uint32)
     if len(ids) and ids.max() >= 1 << BITS:
         raise ValueError("Ids above 65535 cannot be coded.")
     sizes = np.diff(np.append(np.arange(0, len(ids), BLOCK), len(ids)))
@@ -224,7 +279,7 @@ def write_group(documents: list[tuple[int | None, np.ndarray]]) -> bytes:
     lanes = _lanes(len(sizes))
     for at in range(0, len(sizes), lanes):
         own = sizes[at : at + lanes]
-        rows = np.zeros((len(own), int(own[0])), np.int64)
+        rows = np.zeros((len(own), int(own[0])), np.uint32)
         flat = ids[at * BLOCK : at * BLOCK + int(own.sum())]
         rows.reshape(-1)[: len(flat)] = flat
         coded += pack(rows, own)
@@ -262,49 +317,245 @@ def read_group(body: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         at += n
 
 
-class LibraryRuns(dict):
-    """Ids of a blank run with the characters after it, by the tokenizers library.
-
-    The pattern of byte-level tokenizers never joins characters across such a boundary.
+# -- ids by the tokenizers library ------------------------------------------------------------
+
+KEPT_PIECES, KEPT_LENGTH, KEPT_IDS = 1 << 19, 64, 1 << 23
+SLICES, JOINED = 8 << 20, 1 << 15  # bytes of text, and new pieces, taken at once
+# Classes of characters. Between a character of one class and one of another there is a cut where no match
+# of the pattern (``bpe.PRETOKENS``) can hold both; of OTHER nothing is known but that it is not blank.
+BLANK, BREAK, LETTER, DIGIT, MARK, QUOTE, OTHER = (1 << i for i in range(7))
+CUT_BEFORE = {
+    BLANK: 0,
+    BREAK: LETTER | DIGIT | MARK | QUOTE | OTHER,  # after a single one; what follows takes only a blank along
+    LETTER: BLANK | BREAK | DIGIT | MARK | QUOTE,
+    DIGIT: BLANK | BREAK | LETTER | MARK | QUOTE,
+    MARK: BLANK | BREAK | LETTER | DIGIT,
+    QUOTE: BLANK | BREAK | DIGIT,  # 's and the like are one match
+    OTHER: BLANK | BREAK,
+}
+# Lead bytes of two whose characters are letters, all but C3 97 and C3 B7 (times and division signs).
+LETTER_LEADS = bytes([0xC3, 0xC4, 0xC5, 0xC6, 0xC7, 0xC8, 0xD0, 0xD1])
+WIDE_BLANKS = [c.encode() for c in map(chr, range(0x80, 0x3001)) if re.match(f"[{SPACE}]", c)]
+EDGE = re.compile(rb"[!-~][\t-\r ]")
+
+
+def _class_of(byte: int) -> int:
+    c = chr(byte)
+    if byte >= 128:
+        return LETTER if byte in LETTER_LEADS else OTHER
+    if c == " " or "\t" <= c <= "\r":
+        return BLANK if c == " " else BREAK
+    return LETTER if c.isalpha() else DIGIT if c.isdigit() else QUOTE if c == "'" else MARK
+
+
+CLASS = bytes(map(_class_of, range(256)))
+CUTS = bytes(CUT_BEFORE[c] for c in CLASS)
+PURE = np.isin(np.arange(256), [c | b for c in (LETTER, DIGIT, MARK) for b in (0, BLANK)])
+LETTERS = np.array(sorted((byte, ord(c)) for c, byte in byte_letters().items()), "<u2")[:, 1]
+
+
+def cuts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of UTF-8 text whether a match of the pattern surely begins there, and its class."""
+    raw = np.frombuffer(data, np.uint8)
+    own = np.frombuffer(bytearray(data.translate(CLASS)), np.uint8)
+    cut = np.frombuffer(bytearray(data.translate(CUTS)), np.uint8)
+    if not data.isascii():
+        second = np.flatnonzero((raw >= 0xC3) & (own == LETTER)) + 1  # of two bytes
+        own[second], cut[second] = LETTER, CUT_BEFORE[LETTER]
+        sign = second[(raw[second - 1] == 0xC3) & ((raw[second] == 0x97) | (raw[second] == 0xB7))]
+        for places in (sign - 1, sign):
+            own[places], cut[places] = OTHER, CUT_BEFORE[OTHER]
+        lead = np.flatnonzero((raw == 0xC2) | (raw >= 0xE1) & (raw <= 0xE3))
+        code = raw[lead].astype(np.int64)
+        for more in (1, 2):
+            code = code << 8 | raw.take(lead + more, mode="clip")
+            wide = lead[np.isin(code, [int.from_bytes(c) for c in WIDE_BLANKS if len(c) == more + 1])]
+            for place in range(more + 1):
+                own[wide + place], cut[wide + place] = BLANK, CUT_BEFORE[BLANK]
+    out = np.zeros(len(raw), bool)
+    np.not_equal(own[1:] & cut[:-1], 0, out=out[1:])
+    out[2:] &= (own[1:-1] != BREAK) | (own[:-2] & (BLANK | BREAK) == 0)  # how several end depends on what follows
+    return out, own
+
+
+class Pieces:
+    """Ids of pieces of text, by the tokenizers library, kept for the next texts.
+
+    A piece that surely is one match of the pattern goes to the library's model in its letters for bytes,
+    thousands at once; any other piece goes to the whole tokenizer.
     """
 
     def __init__(self, file_text: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
-        self.new: dict[str, bytes] = {}  # as in ``bpe.Runs``
         self.tokenizer = Tokenizer.from_str(file_text)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def __missing__(self, run: str) -> bytes:
-        ids = self.new.pop(run, None)
-        if ids is not None:
-            keep(self, run, ids, KEPT_RUNS)
-            return ids
-        ids = array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
-        if len(run) <= KEPT_LENGTH:
-            keep(self.new, run, ids, NEW_RUNS)
-        return ids
-
-    def text(self, text: str) -> np.ndarray:
-        out, start = [], 0
-        while start < len(text):
-            edge = BOUNDARY.search(text, start + SLICE)
-            end = edge.start() + 1 if edge else len(text)
-            out += map(self.__getitem__, RUNS.findall(text[start:end]))
-            start = end
-        return np.frombuffer(b"".join(out), "<u4")
-
-
-def _library(file_text: str) -> LibraryRuns:
+        data = json.loads(file_text)
+        model, before, added = data["model"], data.get("pre_tokenizer") or {}, data.get("added_tokens") or []
+        self.special = [t["content"].encode() for t in added]
+        # Other tokenizers get texts whole.
+        self.known = (
+            model["type"] == "BPE" and before.get("type") == "ByteLevel" and not data.get("normalizer")
+            and not before.get("add_prefix_space") and before.get("use_regex", True)
+            and not model.get("dropout") and set(byte_letters()) <= set(model["vocab"])
+            and not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip"))
+            and not any(re.search(f"[{SPACE}]", t["content"]) for t in added)
+        )
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = WhitespaceSplit()
+        self.lengths = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)  # a letter a byte
+        if self.known:
+            ids = np.array(list(model["vocab"].values()))
+            self.lengths = np.zeros(ids.max() + 1, np.int64)
+            self.lengths[ids] = [len(t) for t in model["vocab"]]
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.starts, self.sizes, self.uses = (np.zeros(0, k) for k in (np.int64, np.int64, np.int32))
+        self.ids = np.zeros(0, np.uint32)
+
+    def thin(self) -> None:
+        """Keep pieces that came in two batches or more, at most half of the table, and of those the latest."""
+        often = [(piece, at) for piece, at in self.index.items() if self.uses[at] > 1][-KEPT_PIECES // 2 :]
+        at = np.array([i for _, i in often], np.int64)
+        starts, sizes, ids = self.starts[at], self.sizes[at], self.ids
+        self.forget()
+        self.index = {piece: i for i, (piece, _) in enumerate(often)}
+        self.ids = ids[_places(starts, sizes)]
+        self.starts, self.sizes, self.uses = np.cumsum(sizes) - sizes, sizes, np.ones(len(sizes), np.int32)
+
+    def enter(self, pieces: list[bytes], found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Enter new pieces, found by parts: places, numbers of ids, ids. Long ones are not found again."""
+        first, at = len(self.sizes), len(self.ids)
+        starts, sizes = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        for places, own, ids in found:
+            starts[places], sizes[places] = at + np.cumsum(own) - own, own
+            at += len(ids)
+        self.starts, self.sizes = np.append(self.starts, starts), np.append(self.sizes, sizes)
+        self.uses = np.append(self.uses, np.zeros(len(pieces), np.int32))
+        self.ids = np.concatenate([self.ids, *(ids for *_, ids in found)])
+        self.index.update((p, i) for i, p in enumerate(pieces, first) if len(p) <= KEPT_LENGTH)
+
+    def whole(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids and ids of any pieces."""
+        found = [self.tokenizer.encode(p.decode(), add_special_tokens=False).ids for p in pieces]
+        return np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], np.uint32)
+
+    def matches(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pieces of ``raw`` that are one match each."""
+        ends = np.cumsum(sizes + 1)  # with a blank after each, which no letter for a byte is
+        letters = np.full(ends[-1], ord(" "), "<u2")
+        letters[_places(ends - sizes - 1, sizes)] = LETTERS[raw[_places(starts, sizes)]]
+        text = letters.tobytes().decode("utf-16-le")
+        ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        places = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 1
+        return np.diff(places, prepend=0), ids
+
+    def part(self, data: bytes, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that begin at ``begins`` of ``data``, and where those of each begin (and the last end)."""
+        if not data:
+            return np.zeros(0, np.uint32), np.zeros(len(begins) + 1, np.int64)
+        if len(self.index) > KEPT_PIECES or len(self.ids) > KEPT_IDS:
+            self.thin()
+        raw, known = np.frombuffer(data, np.uint8), self.index.get
+        cut, own = cuts(data) if self.known else (np.zeros(len(data), bool), np.full(len(data), OTHER, np.uint8))
+        for token in self.special:
+            at = data.find(token)
+            while at >= 0:
+                cut[at + 1 : at + len(token)] = False
+                own[at : at + len(token)] |= OTHER
+                at = data.find(token, at + 1)
+        cut[begins[begins < len(data)]] = True
+        places = np.flatnonzero(cut)
+        offsets = np.append(places, len(data)).astype(np.int32)
+        split = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        coded = split.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        where = np.zeros(len(coded.dictionary), np.int64)  # a place of each
+        where[codes] = np.arange(len(codes))
+        edges = zip(offsets[where].tolist(), offsets[where + 1].tolist())
+        entries = np.fromiter((known(data[a:b], -1) for a, b in edges), np.int64, len(where))
+        if len(new := np.flatnonzero(entries < 0)):
+            where = where[new]
+            starts, sizes = places[where], np.diff(offsets)[where].astype(np.int64)
+            single = PURE[np.bitwise_or.reduceat(own, places)[where]]
+            single &= (own[starts] != BLANK) | (sizes > 1) & (own.take(starts + 1, mode="clip") != BLANK)
+            rest, single, found = np.flatnonzero(~single), np.flatnonzero(single), []
+            pieces = [data[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist())]
+            for at in range(0, len(single), JOINED):
+                some = single[at : at + JOINED]
+                found.append((some, *self.matches(raw, starts[some], sizes[some])))
+            if len(rest):
+                found.append((rest, *self.whole([pieces[i] for i in rest.tolist()])))
+            entries[new] = np.arange(len(new)) + len(self.sizes)
+            self.enter(pieces, found)
+        self.uses[entries] += 1
+        sizes = self.sizes[entries][codes]
+        ids = self.ids[_places(self.starts[entries][codes], sizes)]
+        return ids, np.append(0, np.cumsum(sizes))[np.append(np.searchsorted(places, begins), len(places))]
+
+    def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text; null is empty. Texts are taken some ``SLICES`` bytes at a time."""
+        column = column.fill_null("").cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset :][: len(column) + 1]
+        data = memoryview(column.buffers()[2] or b"")
+        at = 0
+        while at < len(column):
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICES, "right")) - 1)
+            text = bytes(data[offsets[at] : offsets[end]])
+            if end > at + 1 or len(text) <= SLICES or not self.known:
+                ids, bounds = self.part(text, offsets[at:end] - offsets[at])
+                yield from (ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+            else:
+                yield np.concatenate([self.part(x, np.zeros(1, np.int64))[0] for x in _slices(text)])
+            at = end
+
+
+def _slices(text: bytes) -> Iterator[bytes]:
+    """A long text, cut before blanks."""
+    start = 0
+    while start < len(text):
+        edge = EDGE.search(text, start + SLICES)
+        end = edge.start() + 1 if edge else len(text)
+        yield text[start:end]
+        start = end
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of the members of runs that begin at ``starts``."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _library(file_text: str) -> Pieces:
     key = hashlib.sha256(file_text.encode()).hexdigest()
     loaded = kept_by("idcoder")
     if key not in loaded:
         loaded.clear()
-        loaded[key] = LibraryRuns(file_text)
+        loaded[key] = Pieces(file_text)
     return loaded[key]
 
 
+def _many(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+    """Columns of several batches in one, up to some ``SLICES`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= SLICES:
+            yield _joined(held)
+            held = []
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> tuple[list, pa.Array]:
+    columns = [[b.column(i) for b in batches] for i in (0, 1)]
+    return pa.concat_arrays(columns[0]).to_pylist(), pa.concat_arrays([c.cast(pa.large_string()) for c in columns[1]])
+
+
 def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write the ids of (doc_id, text) to files below ``path``; returns the manifest."""
     spark = df.sparkSession
@@ -313,13 +564,13 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> Data
         shared = spark.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, out, waiting, held, docs, tokens = None, None, [], 0, 0, 0
+        pieces, out, waiting, held, docs, tokens = None, None, [], 0, 0, 0
         system, root = open_folder(path)
         name = f"ids-{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}.bin"
-        for batch in batches:
-            runs = runs or _library(shared.value)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(runs.text(text.as_py() or ""), np.uint32(end_id))
+        for doc_ids, texts in _many(batches):
+            pieces = pieces or _library(shared.value)
+            for doc_id, ids in zip(doc_ids, pieces.texts(texts)):
+                ids = np.append(ids, np.uint32(end_id))
                 waiting.append((doc_id, ids))
                 held, docs, tokens = held + len(ids), docs + 1, tokens + len(ids)
                 if held >= BLOCK * LANES:
