@@ -402,7 +402,7 @@ def test_pieces_equal_the_library(monkeypatch):
     texts = ["".join(ODD_PARTS[i] for i in rng.integers(0, len(ODD_PARTS), n)) for n in rng.integers(0, 30, 3000)]
     texts += [a + b + c for a in ODD_PARTS for b in ODD_PARTS for c in ("", "a", " a", "'s")] + [None, ""]
     want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
-    for sizes in ((), (("SLICES", 50), ("KEPT_PIECES", 300)), (("SLICES", 5), ("JOINED", 3))):
+    for sizes in ((), (("SLICES", 50), ("KEPT_IDS", 300), ("KEPT_BITS", 6)), (("SLICES", 5), ("JOINED", 3))):
         for name, value in sizes:
             monkeypatch.setattr(idcoder, name, value)
         pieces = idcoder.Pieces(file_text)
@@ -424,11 +424,11 @@ def test_new_pieces_are_encoded_together(monkeypatch):
     pieces, calls = idcoder.Pieces(open(TOKENIZER, encoding="utf-8").read()), []
     for name in ("whole", "matches"):
         run = getattr(pieces, name)
-        monkeypatch.setattr(pieces, name, lambda *a, run=run: (calls.append(1), run(*a))[1])
+        monkeypatch.setattr(pieces, name, lambda *a, run=run: (calls.append(len(a[-1])), run(*a))[1])
     words = [f"w{''.join(chr(97 + int(d)) for d in str(i))}" for i in range(5000)]
     for _ in range(3):
         list(pieces.texts(pa.array([" ".join(words)] * 2)))
-    assert len(calls) == 1
+    assert len(calls) <= 3 and sum(calls) < 5500  # two pieces may want one slot
 
 
 # -- WARC -------------------------------------------------------------------------------------

@@ -319,8 +319,8 @@ def read_group(body: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
 
 # -- ids by the tokenizers library ------------------------------------------------------------
 
-KEPT_PIECES, KEPT_LENGTH, KEPT_IDS = 1 << 19, 64, 1 << 23
-SLICES, JOINED = 8 << 20, 1 << 15  # bytes of text, and new pieces, taken at once
+KEPT_BITS, KEPT_LENGTH, KEPT_IDS = 20, 23, 1 << 23  # slots of the table of pieces, bytes of a piece, all their ids
+SLICES, JOINED = 4 << 20, 1 << 15  # bytes of text, and new pieces, taken at once
 # Classes of characters. Between a character of one class and one of another there is a cut where no match
 # of the pattern (``bpe.PRETOKENS``) can hold both; of OTHER nothing is known but that it is not blank.
 BLANK, BREAK, LETTER, DIGIT, MARK, QUOTE, OTHER = (1 << i for i in range(7))
@@ -350,6 +350,10 @@ def _class_of(byte: int) -> int:
 
 CLASS = bytes(map(_class_of, range(256)))
 CUTS = bytes(CUT_BEFORE[c] for c in CLASS)
+MASKS = np.array(  # of the three numbers of a piece, by its length
+    [[(1 << 8 * min(8, max(0, n - at))) - 1 for n in range(KEPT_LENGTH + 1)] for at in (0, 8, 16)], np.uint64
+)
+MIX = np.uint64(0x9E3779B97F4A7C15)
 PURE = np.isin(np.arange(256), [c | b for c in (LETTER, DIGIT, MARK) for b in (0, BLANK)])
 LETTERS = np.array(sorted((byte, ord(c)) for c, byte in byte_letters().items()), "<u2")[:, 1]
 
@@ -382,7 +386,9 @@ class Pieces:
     """Ids of pieces of text, by the tokenizers library, kept for the next texts.
 
     A piece that surely is one match of the pattern goes to the library's model in its letters for bytes,
-    thousands at once; any other piece goes to the whole tokenizer.
+    thousands at once; any other piece goes to the whole tokenizer. Short pieces are kept in a table in
+    which a new piece takes the slot of an older one: a slot holds a piece as three numbers, the last of
+    which has its length in the high byte, and where its ids are.
     """
 
     def __init__(self, file_text: str):
@@ -413,32 +419,10 @@ class Pieces:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.starts, self.sizes, self.uses = (np.zeros(0, k) for k in (np.int64, np.int64, np.int32))
+        self.keys = [np.zeros(1 << KEPT_BITS, np.uint64) for _ in range(3)]
+        self.starts, self.sizes = np.zeros(1 << KEPT_BITS, np.int32), np.zeros(1 << KEPT_BITS, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
-    def thin(self) -> None:
-        """Keep pieces that came in two batches or more, at most half of the table, and of those the latest."""
-        often = [(piece, at) for piece, at in self.index.items() if self.uses[at] > 1][-KEPT_PIECES // 2 :]
-        at = np.array([i for _, i in often], np.int64)
-        starts, sizes, ids = self.starts[at], self.sizes[at], self.ids
-        self.forget()
-        self.index = {piece: i for i, (piece, _) in enumerate(often)}
-        self.ids = ids[_places(starts, sizes)]
-        self.starts, self.sizes, self.uses = np.cumsum(sizes) - sizes, sizes, np.ones(len(sizes), np.int32)
-
-    def enter(self, pieces: list[bytes], found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        """Enter new pieces, found by parts: places, numbers of ids, ids. Long ones are not found again."""
-        first, at = len(self.sizes), len(self.ids)
-        starts, sizes = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
-        for places, own, ids in found:
-            starts[places], sizes[places] = at + np.cumsum(own) - own, own
-            at += len(ids)
-        self.starts, self.sizes = np.append(self.starts, starts), np.append(self.sizes, sizes)
-        self.uses = np.append(self.uses, np.zeros(len(pieces), np.int32))
-        self.ids = np.concatenate([self.ids, *(ids for *_, ids in found)])
-        self.index.update((p, i) for i, p in enumerate(pieces, first) if len(p) <= KEPT_LENGTH)
-
     def whole(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids and ids of any pieces."""
         found = [self.tokenizer.encode(p.decode(), add_special_tokens=False).ids for p in pieces]
@@ -458,9 +442,9 @@ class Pieces:
         """Ids of texts that begin at ``begins`` of ``data``, and where those of each begin (and the last end)."""
         if not data:
             return np.zeros(0, np.uint32), np.zeros(len(begins) + 1, np.int64)
-        if len(self.index) > KEPT_PIECES or len(self.ids) > KEPT_IDS:
-            self.thin()
-        raw, known = np.frombuffer(data, np.uint8), self.index.get
+        if len(self.ids) > KEPT_IDS:
+            self.forget()
+        raw = np.frombuffer(data, np.uint8)
         cut, own = cuts(data) if self.known else (np.zeros(len(data), bool), np.full(len(data), OTHER, np.uint8))
         for token in self.special:
             at = data.find(token)
@@ -471,31 +455,40 @@ class Pieces:
         cut[begins[begins < len(data)]] = True
         places = np.flatnonzero(cut)
         offsets = np.append(places, len(data)).astype(np.int32)
-        split = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-        coded = split.dictionary_encode()
-        codes = coded.indices.to_numpy()
-        where = np.zeros(len(coded.dictionary), np.int64)  # a place of each
-        where[codes] = np.arange(len(codes))
-        edges = zip(offsets[where].tolist(), offsets[where + 1].tolist())
-        entries = np.fromiter((known(data[a:b], -1) for a, b in edges), np.int64, len(where))
-        if len(new := np.flatnonzero(entries < 0)):
-            where = where[new]
-            starts, sizes = places[where], np.diff(offsets)[where].astype(np.int64)
-            single = PURE[np.bitwise_or.reduceat(own, places)[where]]
-            single &= (own[starts] != BLANK) | (sizes > 1) & (own.take(starts + 1, mode="clip") != BLANK)
-            rest, single, found = np.flatnonzero(~single), np.flatnonzero(single), []
-            pieces = [data[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist())]
-            for at in range(0, len(single), JOINED):
-                some = single[at : at + JOINED]
-                found.append((some, *self.matches(raw, starts[some], sizes[some])))
-            if len(rest):
-                found.append((rest, *self.whole([pieces[i] for i in rest.tolist()])))
-            entries[new] = np.arange(len(new)) + len(self.sizes)
-            self.enter(pieces, found)
-        self.uses[entries] += 1
-        sizes = self.sizes[entries][codes]
-        ids = self.ids[_places(self.starts[entries][codes], sizes)]
-        return ids, np.append(0, np.cumsum(sizes))[np.append(np.searchsorted(places, begins), len(places))]
+        lengths = np.diff(offsets)
+        keys, slots = _keys(data, places, lengths)
+        same = lengths <= KEPT_LENGTH
+        for known, key in zip(self.keys, keys):
+            same &= known[slots] == key
+        starts, sizes = self.starts[slots], self.sizes[slots]
+        if len(missed := np.flatnonzero(~same)):
+            split = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            coded = split.take(pa.array(missed)).dictionary_encode()
+            codes = coded.indices.to_numpy()
+            new = np.zeros(len(coded.dictionary), np.int64)  # a piece of each
+            new[codes] = missed
+            single = PURE[np.bitwise_or.reduceat(own, places)[new]]
+            first = places[new]
+            single &= (own[first] != BLANK) | (lengths[new] > 1) & (own.take(first + 1, mode="clip") != BLANK)
+            begins_at, counts = np.zeros(len(new), np.int32), np.zeros(len(new), np.int32)
+            single, rest = np.flatnonzero(single), np.flatnonzero(~single)
+            for at in [*range(0, len(single), JOINED), *[-1] * bool(len(rest))]:
+                some = rest if at < 0 else single[at : at + JOINED]
+                if at < 0:
+                    own_counts, ids = self.whole(coded.dictionary.take(pa.array(rest)).to_pylist())
+                else:
+                    own_counts, ids = self.matches(raw, first[some], lengths[new[some]].astype(np.int64))
+                begins_at[some], counts[some] = len(self.ids) + np.cumsum(own_counts) - own_counts, own_counts
+                self.ids = np.append(self.ids, ids)
+            starts[missed], sizes[missed] = begins_at[codes], counts[codes]
+            short = np.flatnonzero(lengths[new] <= KEPT_LENGTH)
+            at = slots[new[short]]
+            for known, key in zip(self.keys, keys):
+                known[at] = key[new[short]]
+            self.starts[at], self.sizes[at] = begins_at[short], counts[short]
+        ids = self.ids[_places(starts, sizes)]
+        ends = np.append(0, np.cumsum(sizes, dtype=np.int64))
+        return ids, ends[np.append(np.searchsorted(places, begins), len(places))]
 
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text; null is empty. Texts are taken some ``SLICES`` bytes at a time."""
@@ -514,6 +507,15 @@ class Pieces:
             at = end
 
 
+def _keys(data: bytes, places: np.ndarray, lengths: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Pieces of ``KEPT_LENGTH`` bytes at most as three numbers each, and their slots."""
+    eights = np.ndarray(len(data) + 17, "<u8", data + bytes(24), strides=(1,))
+    keys = [eights[places + 8 * i] & mask[np.minimum(lengths, KEPT_LENGTH)] for i, mask in enumerate(MASKS)]
+    keys[2] |= lengths.astype(np.uint64) << np.uint64(56)
+    mixed = ((keys[0] * MIX ^ keys[1]) * MIX ^ keys[2]) * MIX
+    return keys, (mixed >> np.uint64(64 - KEPT_BITS)).astype(np.int64)
+
+
 def _slices(text: bytes) -> Iterator[bytes]:
     """A long text, cut before blanks."""
     start = 0
@@ -539,23 +541,6 @@ def _library(file_text: str) -> Pieces:
     return loaded[key]
 
 
-def _many(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
-    """Columns of several batches in one, up to some ``SLICES`` bytes."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.nbytes for b in held) >= SLICES:
-            yield _joined(held)
-            held = []
-    if held:
-        yield _joined(held)
-
-
-def _joined(batches: list[pa.RecordBatch]) -> tuple[list, pa.Array]:
-    columns = [[b.column(i) for b in batches] for i in (0, 1)]
-    return pa.concat_arrays(columns[0]).to_pylist(), pa.concat_arrays([c.cast(pa.large_string()) for c in columns[1]])
-
-
 def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write the ids of (doc_id, text) to files below ``path``; returns the manifest."""
     spark = df.sparkSession
@@ -567,9 +552,9 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> Data
         pieces, out, waiting, held, docs, tokens = None, None, [], 0, 0, 0
         system, root = open_folder(path)
         name = f"ids-{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}.bin"
-        for doc_ids, texts in _many(batches):
+        for batch in batches:
             pieces = pieces or _library(shared.value)
-            for doc_id, ids in zip(doc_ids, pieces.texts(texts)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), pieces.texts(batch.column(1))):
                 ids = np.append(ids, np.uint32(end_id))
                 waiting.append((doc_id, ids))
                 held, docs, tokens = held + len(ids), docs + 1, tokens + len(ids)
