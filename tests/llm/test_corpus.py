@@ -264,6 +264,103 @@ def test_probabilities_sum_to_one(frame, monkeypatch):
     assert all(-30 < r.score < 0 for r in got.values())
 
 
+def held_out(i):
+    return zlib.crc32(str(i).encode()) % 7 == 2
+
+
+def with_ids(teaching, probes):
+    """Rows of (doc_id, text) of which the model learns from the first and not from the second."""
+    taught, rest = ([i for i in range(10_000) if held_out(i) == out] for out in (False, True))
+    return [*zip(taught, teaching), *zip(rest, probes)]
+
+
+@pytest.mark.parametrize("block_tokens", [1 << 20, 300])
+def test_every_word_is_a_context_of_its_own(frame, monkeypatch, block_tokens):
+    """One learning text of distinct words: every dish has one customer, so nothing is left to chance,
+    and a context holds one word however many contexts there are."""
+    monkeypatch.setattr(pitman_yor, "BLOCK_TOKENS", block_tokens)
+    words = [f"w{i}" for i in range(5000)]
+    probes = ["w7 w8 w9", "w8 w7", "w4999", "", "w0 unseen w1", "unseen unseen"]
+    rows = with_ids([" ".join(words)], probes)
+    follows = set(zip([None, *words], [*words, None]))
+    n, discount = len(words) + 1, 0.95
+    unseen = (1 + discount * n) / (1 + n) / (n + 1)
+    known = {*words, None}
+
+    def probability(context, word):
+        seen = (context, word) in follows
+        root = (1 - discount) / (1 + n) * (word in known) + unseen
+        own = int(context in known)
+        return ((1 - discount) * seen + (1 + discount * own) * root) / (1 + own)
+
+    got = {r.doc_id: r.score for r in pitman_yor.score(frame(rows)).collect()}
+    for i, text in rows:
+        tokens = [None, *text.split(), None]
+        assert got[i] == pytest.approx(sum(np.log10(probability(u, w)) for u, w in zip(tokens, tokens[1:])), rel=1e-9)
+
+
+def test_probabilities_of_all_words_sum_to_one(frame, monkeypatch):
+    """Scores of texts of one and two words give the matrix of all probabilities up to a factor for each
+    word's row and its reciprocal for the column; with rows that sum to one its largest eigenvalue is one."""
+    monkeypatch.setattr(pitman_yor, "BLOCK_TOKENS", 100)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(words[: rng.randint(1, 12)]) for _ in range(rng.randrange(30))) for _ in range(90)]
+    words.append("unseen")
+    probes = ["", *words, *(f"{u} {w}" for u in words for w in words)]
+    rows = with_ids(texts, probes)
+    got = {r.doc_id: r.score for r in pitman_yor.score(frame(rows)).collect()}
+    score = {t: got[i] for i, t in rows if held_out(i)}
+    matrix = [[score[""]] * (len(words) + 1)]
+    matrix += [[score[u] - score[""], *(score[f"{u} {w}"] - score[w] for w in words)] for u in words]
+    assert abs(np.linalg.eigvals(10 ** np.array(matrix))).max() == pytest.approx(1, abs=1e-9)
+
+
+def test_model_by_brute_force(frame, monkeypatch):
+    """The sweeps over one table of all pairs come to the same score but for the draws."""
+    monkeypatch.setattr(pitman_yor, "BLOCK_TOKENS", 2000)
+    monkeypatch.setattr(pitman_yor, "PART_WORDS", 200)
+    rng = random.Random(4)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randint(0, 60))) for _ in range(700)]
+    tokens = [[None, *t.split(), None] for t in texts]
+    teaching = [t for i, t in enumerate(tokens) if not held_out(i)]
+    pairs = Counter(p for t in teaching for p in zip(t, t[1:]))
+    place = {w: i for i, w in enumerate({w for p in pairs for w in p})}
+    context, word = np.array([[place[u], place[w]] for u, w in pairs]).T
+    counts, n = np.array(list(pairs.values())), len(place)
+    discount, root_discount = (
+        (x == 1).sum() / ((x == 1).sum() + 2 * (x == 2).sum()) for x in (counts, np.bincount(word, minlength=n))
+    )
+    draw = np.random.Generator(np.random.Philox(key=8))
+    seats, means = pitman_yor.first_seats(counts, discount), []
+    for turn in range(4):
+        if turn:
+            seats = pitman_yor.seat(counts, seats, (1 + discount * tables)[context] * root[word], discount, draw, 4)
+        tables, customers = (np.bincount(x, seats, n).astype(int) for x in (context, word))
+        if turn:
+            base = (1 + root_discount * roots.sum()) / (n + 1)
+            roots = pitman_yor.seat(customers, roots.clip(1, customers), np.full(n, base), root_discount, draw, 4)
+        else:
+            roots = pitman_yor.first_seats(customers, root_discount)
+        new = (1 + root_discount * roots.sum()) / (1 + customers.sum()) / (n + 1)
+        root = (customers - root_discount * roots) / (1 + customers.sum()) + new
+        if turn > 1:
+            means.append((seats.copy(), tables, root, new))
+    people, row = np.bincount(context, counts, n), {p: i for i, p in enumerate(pairs)}
+
+    def probability(u, w, seats, tables, root, new):
+        mine = counts[row[u, w]] - discount * seats[row[u, w]] if (u, w) in row else 0.0
+        own, share = (people[place[u]], 1 + discount * tables[place[u]]) if u in place else (0, 1.0)
+        return (mine + share * (root[place[w]] if w in place else new)) / (1 + own)
+
+    got = {r.doc_id: r.score for r in pitman_yor.score(frame(list(enumerate(texts)))).collect()}
+    want = [sum(np.log10(np.mean([probability(u, w, *m) for m in means])) for u, w in zip(t, t[1:])) for t in tokens]
+    for out in (True, False):
+        own = [i for i in range(len(texts)) if held_out(i) == out]
+        assert sum(got[i] for i in own) == pytest.approx(sum(want[i] for i in own), rel=0.003)
+    assert np.corrcoef([got[i] for i in range(len(texts))], want)[0, 1] > 0.999
+
+
 def test_seating_keeps_customers():
     rng = np.random.Generator(np.random.Philox(key=5))
     counts = np.array([2, 3, 10, 500, 1])
